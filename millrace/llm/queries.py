@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, knn_quality, langid, repetition, token_store, warc
+from millrace.llm import bpe, chat, jaccard_join, knn_quality, langid, repetition, token_store, warc
 from millrace.llm.common import crc32_mod
 
 
@@ -38,6 +38,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), rank_file(), keep=["doc_id"], tokens=False)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.similar_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return found.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op8_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(crc32_mod("doc_id", 4) == 2, F.lit(False))
@@ -61,7 +66,7 @@ def op10_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_quality_rules, op3_token_store, op4_byte_bpe, op8_language_codes, op9_chat_masks, op10_quality_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_quality_rules, op3_token_store, op4_byte_bpe, op6_jaccard_join, op8_language_codes, op9_chat_masks, op10_quality_neighbours)}
 
 ORACLE_SQL = {
     "op1_warc_revisits": """
@@ -71,4 +76,15 @@ ORACLE_SQL = {
                CASE WHEN top IS NOT NULL AND b >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN top IS NOT NULL AND b >= 1000 AND page_id <> top THEN top END AS refers_to
         FROM p LEFT JOIN g USING (d)""",
+    "op6_jaccard_join": r"""
+        WITH RECURSIVE
+        w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [list_aggregate(ws, 'string_agg', ' ')]
+                ELSE list_transform(generate_series(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w WHERE ws IS NOT NULL),
+        n AS (SELECT d.doc_id, coalesce(len(sh), 0) AS n FROM documents d LEFT JOIN s USING (doc_id)),
+        e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+        pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+        SELECT x AS doc_id, any_value(n.n) AS n_shingles, min(y) AS component_id FROM reach JOIN n ON n.doc_id = x GROUP BY x""",
 }
