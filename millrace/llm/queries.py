@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, jaccard_join, knn_quality, langid, repetition, token_store, warc
+from millrace.llm import bpe, chat, jaccard_join, knn_quality, langid, paragraphs, repetition, token_store, warc
 from millrace.llm.common import crc32_mod
 
 
@@ -38,6 +38,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), rank_file(), keep=["doc_id"], tokens=False)
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraphs.similar_paragraphs(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("doc", "doc_id")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.similar_components(table(spark, sf_dir, "documents"), k=3, percent=90)
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
@@ -66,7 +71,7 @@ def op10_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_quality_rules, op3_token_store, op4_byte_bpe, op6_jaccard_join, op8_language_codes, op9_chat_masks, op10_quality_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_quality_rules, op3_token_store, op4_byte_bpe, op5_paragraph_dedup, op6_jaccard_join, op8_language_codes, op9_chat_masks, op10_quality_neighbours)}
 
 ORACLE_SQL = {
     "op1_warc_revisits": """
