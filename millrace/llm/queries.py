@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, jaccard_join, knn_quality, langid, paragraphs, repetition, token_store, warc
+from millrace.llm import bpe, chat, decontaminate, jaccard_join, knn_quality, langid, paragraphs, repetition, token_store, warc
 from millrace.llm.common import crc32_mod
 
 
@@ -48,6 +48,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
 def op8_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(crc32_mod("doc_id", 4) == 2, F.lit(False))
@@ -71,7 +76,7 @@ def op10_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_quality_rules, op3_token_store, op4_byte_bpe, op5_paragraph_dedup, op6_jaccard_join, op8_language_codes, op9_chat_masks, op10_quality_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_quality_rules, op3_token_store, op4_byte_bpe, op5_paragraph_dedup, op6_jaccard_join, op7_template_decontamination, op8_language_codes, op9_chat_masks, op10_quality_neighbours)}
 
 ORACLE_SQL = {
     "op1_warc_revisits": """
