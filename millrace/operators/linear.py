@@ -1,0 +1,67 @@
+"""Small dense matrices (at most SMALL rows and columns): cells are gathered, solved with LAPACK and given back as cells."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.operators.matrix import SMALL
+
+
+def small(m: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """Cells (i, j, v) as an array; cells that are not there are 0."""
+    if max(shape) > SMALL:
+        raise ValueError(f"more than {SMALL} rows or columns")
+    out = np.zeros(shape)
+    for r in m.select("i", "j", "v").where((F.col("i") < shape[0]) & (F.col("j") < shape[1])).collect():
+        out[r["i"], r["j"]] = r["v"]
+    return out
+
+
+def to_cells(spark: SparkSession, a: np.ndarray) -> DataFrame:
+    a = np.atleast_2d(a)
+    return spark.createDataFrame([(i, j, float(a[i, j])) for i in range(a.shape[0]) for j in range(a.shape[1])], "i long, j long, v double")
+
+
+def determinant(m: DataFrame, n: int) -> float:
+    return float(np.linalg.det(small(m, (n, n))))
+
+
+def inverse(m: DataFrame, n: int) -> DataFrame:
+    """A singular matrix raises numpy.linalg.LinAlgError."""
+    return to_cells(m.sparkSession, np.linalg.inv(small(m, (n, n))))
+
+
+def solve(m: DataFrame, b: DataFrame, n: int, columns: int = 1) -> DataFrame:
+    return to_cells(m.sparkSession, np.linalg.solve(small(m, (n, n)), small(b, (n, columns))))
+
+
+def cholesky(m: DataFrame, n: int) -> DataFrame:
+    return to_cells(m.sparkSession, np.linalg.cholesky(small(m, (n, n))))
+
+
+def eigenvalues(m: DataFrame, n: int) -> DataFrame:
+    """(k, re, im), by descending real part."""
+    v = sorted(np.linalg.eigvals(small(m, (n, n))), key=lambda z: (-z.real, z.imag))
+    return m.sparkSession.createDataFrame([(k, float(z.real), float(z.imag)) for k, z in enumerate(v)], "k int, re double, im double")
+
+
+def svd(m: DataFrame, shape: tuple[int, int]) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    u, s, v = np.linalg.svd(small(m, shape), full_matrices=False)
+    return to_cells(m.sparkSession, u), s, to_cells(m.sparkSession, v)
+
+
+def least_squares(m: DataFrame, b: DataFrame, shape: tuple[int, int]) -> tuple[np.ndarray, int, np.ndarray]:
+    """Coefficients, rank and singular values; singular values below 1e-10 of the first count as 0."""
+    x, _, rank, s = np.linalg.lstsq(small(m, shape), small(b, (shape[0], 1))[:, 0], rcond=1e-10)
+    return x, int(rank), s
+
+
+def pinv(m: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    return to_cells(m.sparkSession, np.linalg.pinv(small(m, shape), rcond=1e-10))
+
+
+def rank(m: DataFrame, shape: tuple[int, int]) -> int:
+    s = np.linalg.svd(small(m, shape), compute_uv=False)
+    return int((s > 1e-10 * s[0]).sum()) if len(s) and s[0] else 0

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions import dates, text
-from millrace.operators import matrix, ordered, random, reduce, regression, simulation
+from millrace.functions import dates, decimal, text
+from millrace.operators import forecast, linear, matrix, ordered, random, reduce, regression, simulation
 from millrace.plans.registry import query, r
 from millrace.sources import csv
 from millrace.sources.tables import table
@@ -286,3 +286,40 @@ def events_sliding(spark, sf):
     SELECT user_id, min(ts) AS session_start, count(*) AS n, round(sum(value), 3) AS total FROM s GROUP BY user_id, k""")
 def event_sessions(spark, sf):
     return events.sessions(table(spark, sf, "events"), "ts", "2 hours", "user_id", "value").select("user_id", "session_start", "n", r("total", 3))
+
+
+@query("decimal_scales", """SELECT o_orderkey, CAST(sign(x) * floor(abs(x) * 10 + 0.5) / 10 AS DOUBLE) AS half_up, CAST(sign(x) * floor(abs(x) * 10) / 10 AS DOUBLE) AS down, CAST(sign(x) * ceil(abs(x) * 10) / 10 AS DOUBLE) AS up, CAST(floor(x * 10) / 10 AS DOUBLE) AS floor, CAST(ceil(x * 10) / 10 AS DOUBLE) AS ceiling
+    FROM (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) - 200000 AS x FROM orders)""")
+def decimal_scales(spark, sf):
+    x = F.col("o_totalprice").cast("decimal(18,2)") - F.lit(200000)
+    modes = {"half_up": "HALF_UP", "down": "DOWN", "up": "UP", "floor": "FLOOR", "ceiling": "CEILING"}
+    return table(spark, sf, "orders").select("o_orderkey", *[decimal.set_scale(x, 1, m).cast("double").alias(n) for n, m in modes.items()])
+
+
+@query("decimal_arithmetic", """SELECT l_orderkey, l_linenumber, l_partkey, CAST(a * b AS DOUBLE) AS product, CAST(a * a * a AS DOUBLE) AS cube FROM (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS DECIMAL(9,2)) AS a, CAST(l_discount AS DECIMAL(9,2)) AS b FROM lineitem)""")
+def decimal_arithmetic(spark, sf):
+    a, b = F.col("l_quantity").cast("decimal(9,2)"), F.col("l_discount").cast("decimal(9,2)")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (a * b).cast("double").alias("product"), decimal.power(a, 3).cast("double").alias("cube"))
+
+
+def _gram8(spark, sf):
+    m = _cells(spark, sf).where("j < 8")
+    return matrix.matmul(matrix.transpose(m), m)
+
+
+@query("inverse_check", "SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0 END AS v FROM range(8) a(i), range(8) b(j)")
+def inverse_check(spark, sf):
+    """The Gram matrix of eight columns times its inverse."""
+    g = _gram8(spark, sf)
+    return matrix.matmul(g, linear.inverse(g, 8)).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query("gram_eigenvalues")
+def gram_eigenvalues(spark, sf):
+    return linear.eigenvalues(_gram8(spark, sf), 8)
+
+
+@query("factor_forecasts_by_label")
+def factor_forecasts_by_label(spark, sf):
+    wide = table(spark, sf, "embeddings").select("label", "vec_id", F.col("embedding")[0].cast("double").alias("y"), *[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(1, 7)])
+    return forecast.forecast_quality(forecast.out_of_sample(wide, "label", "vec_id", "y", [f"x{k}" for k in range(1, 7)], procedure="recursive", train=15), "label", "y")

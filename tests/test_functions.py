@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import dates, ieee, text
-from millrace.operators import matrix, ordered, random, reduce, regression, relational, simulation
+from millrace.functions import dates, decimal, ieee, text
+from millrace.operators import forecast, linear, matrix, ordered, random, reduce, regression, relational, simulation
 from millrace.sources import csv
 
 NAN, INF = float("nan"), float("inf")
@@ -183,3 +183,42 @@ def test_draws(spark):
     df = spark.range(4000).select("id", F.lit(1.0).alias("x"))
     a, b = random.dropout(df, ["x"], 0.25, 1, "id"), random.dropout(df.repartition(7), ["x"], 0.25, 1, "id")
     assert a.exceptAll(b).isEmpty() and 2850 < a.where("x > 0").count() < 3150
+
+
+def test_decimal_scales(spark):
+    import decimal as d
+
+    values = ["2.5", "-2.5", "3.45", "-3.45", "1.05", "-0.04", "7", None]
+    for mode in ("HALF_EVEN", "HALF_UP", "HALF_DOWN", "UP", "DOWN", "CEILING", "FLOOR"):
+        for scale in (0, 1):
+            df = spark.createDataFrame([(i, v and d.Decimal(v)) for i, v in enumerate(values)], "i int, x decimal(18,4)")
+            got = [r[0] for r in df.orderBy("i").select(decimal.set_scale("x", scale, mode)).collect()]
+            assert got == [v and d.Decimal(v).quantize(d.Decimal(1).scaleb(-scale), getattr(d, f"ROUND_{mode}")) for v in values], (mode, scale)
+    row = spark.createDataFrame([(d.Decimal("3.00"),)], "x decimal(9,2)").select(decimal.divide("x", F.lit(0)).alias("a"), decimal.power("x", 3).alias("b"), decimal.power("x", -1).alias("c"), decimal.sqrt(-F.col("x")).alias("e")).first()
+    assert row["a"] is None and row["b"] == 27 and row["c"] is None and row["e"] is None
+
+
+def test_linear_against_numpy(spark):
+    a = np.array([[4.0, 1.0, 0.5], [1.0, 3.0, 0.2], [0.5, 0.2, 2.0]])
+    c = cells(spark, a)
+    np.testing.assert_allclose(dense(linear.inverse(c, 3), (3, 3)), np.linalg.inv(a))
+    np.testing.assert_allclose(dense(linear.cholesky(c, 3), (3, 3)), np.linalg.cholesky(a))
+    np.testing.assert_allclose(dense(linear.pinv(c, (3, 3)), (3, 3)), np.linalg.pinv(a))
+    assert linear.determinant(c, 3) == pytest.approx(np.linalg.det(a)) and linear.rank(c, (3, 3)) == 3
+    with pytest.raises(np.linalg.LinAlgError):
+        linear.inverse(cells(spark, np.ones((2, 2))), 2)
+
+
+def test_forecasts_against_a_loop(spark):
+    g = np.random.default_rng(4)
+    x = g.normal(size=(2, 30, 3))
+    y = x @ [1.0, -1.0, 0.5] + g.normal(size=(2, 30)) * 0.2
+    rows = [(k, t, float(y[k, t]), *map(float, x[k, t])) for k in range(2) for t in range(30)]
+    df = spark.createDataFrame(rows, "k int, t int, y double, a double, b double, c double")
+    for procedure, seen in (("recursive", lambda t, s: s < t), ("rolling", lambda t, s: t - 12 <= s < t), ("cross", lambda t, s: s != t)):
+        got = {(r["k"], r["t"]): r["forecast"] for r in forecast.out_of_sample(df, "k", "t", "y", ["a", "b", "c"], procedure=procedure, train=12).collect()}
+        for k, t in ((0, 12), (1, 29), (1, 20)):
+            at = [s for s in range(30) if seen(t, s)]
+            a, b = forecast._fit(y[k, at], x[k, at], y[k, at][:, None])
+            assert got[k, t] == pytest.approx(a + b @ x[k, t])
+        assert procedure == "cross" or math.isnan(got[0, 3])
