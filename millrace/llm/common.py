@@ -40,6 +40,23 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Has texts go to Python in Arrow batches of so many rows at most, as some are long; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+    return spark
+
+
+#: Rows of a few numbers (under 40 bytes each) up to which a table is sent to all tasks.
+FEW = 500_000
+
+
+def few_to_all(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, a written table of narrow rows, with a broadcast hint if it has at most so many; beyond that joins shuffle both sides."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc32_of, pieces, shared_dir, shuffle_partitions
+from millrace.llm.common import crc32_of, mix64, pieces, shared_dir, shuffle_partitions, small_batches
 
 #: Documents whose ids train the dictionary, those of the least hashed ids; the bound of what one task gets.
 SAMPLE = 1500
@@ -29,52 +30,115 @@ LEVEL = 3
 END = 0
 
 
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
+_SOLID = np.ones(256, bool)
+_SOLID[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = False
+_WIDE_LEAD = np.zeros(256, bool)
+_WIDE_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True  # leads of all white space beyond ASCII
+
+
+def stretch_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+    """Where stretches start in texts laid end to end: at each text, and at each single space between two
+    characters that are surely not white space. The split pattern ends a match there in any context."""
+    at = np.flatnonzero(data == 0x20)
+    at = at[(at > 0) & (at < len(data) - 1)]
+    left, right = data[at - 1], data[at + 1]
+    sure = _SOLID[left] & _SOLID[right] & ~_WIDE_LEAD[right]
+    wide = sure & (left >= 0x80)
+    sure &= ~(wide & (_WIDE_LEAD[data[at - 2]] | _WIDE_LEAD[data[at - 3]]))
+    return np.union1d(text_starts[text_starts < len(data)], at[sure])
+
+
+@functools.cache
+def _powers(n: int) -> np.ndarray:
+    out = np.full(n, _A, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 class Encoder:
-    """Texts to ids by a tokenizer file. The split pattern ends a match before a space that follows a
-    non-space, so a text's ids are those of its stretches between such spaces; each stretch is encoded
-    by the library and remembered, in two generations of bounded size."""
+    """Texts to ids by a tokenizer file, each different stretch of text encoded by the library once.
+
+    Stretches are known by a 64-bit hash in an open-addressing table of arrays, which is emptied
+    when 60 % full: memory is bounded, and no Python object is kept for a stretch.
+    """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, bits: int = 21):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.new, self.old = Tokenizer.from_file(path), most, {}, {}
+        self.tokenizer, self.bits = Tokenizer.from_file(path), bits
         self.tokenizer.encode_special_tokens = True
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [stretches(t) for t in texts]
-        have, old = self.new, self.old
-        missing = [s for s in {s for p in parts for s in p} if s not in have]
-        if missing:
-            if len(have) + len(missing) > self.most:
-                self.old = old = have
-                self.new = have = {}
-                missing = list({s for p in parts for s in p})
-            unknown = []
-            for s in missing:
-                if s in old:
-                    have[s] = old[s]
-                else:
-                    unknown.append(s)
-            for low in range(0, len(unknown), 20_000):
-                some = unknown[low : low + 20_000]
-                have.update(zip(some, [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]))
-        return [np.frombuffer(b"".join([have[s] for s in p]), "<u4") for p in parts]
-
-
-def stretches(text: str) -> list[str]:
-    """Cuts a text before each single space between two characters that are not white space."""
-    parts = text.split(" ")
-    if len(parts) == 1:
-        return parts if text else []
-    out, held = [], parts[0]
-    for p in parts[1:]:
-        if p and not p[0].isspace() and held and not held[-1].isspace():
-            out.append(held)
-            held = " " + p
-        else:
-            held += " " + p
-    out.append(held)
-    return out
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.entry, self.used = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32), 0
+        self.ids, self.bounds = np.empty(1 << 16, "<u4"), np.zeros(1 << 12, np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Entry of each hash, -1 where it has none."""
+        slot, out, todo = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.full(len(h), -1, np.int64), np.arange(len(h))
+        while len(todo):
+            key = self.keys[slot[todo]]
+            hit = key == h[todo]
+            out[todo[hit]] = self.entry[slot[todo[hit]]]
+            todo = todo[~hit & (key != 0)]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
+        """h: different hashes that have no entry."""
+        sizes = np.array([len(x) for x in ids], np.int64)
+        n, top = self.used, int(self.bounds[self.used])
+        while top + sizes.sum() > len(self.ids):
+            self.ids = np.append(self.ids, np.empty_like(self.ids))
+        while n + len(h) + 1 > len(self.bounds):
+            self.bounds = np.append(self.bounds, np.empty_like(self.bounds))
+        self.ids[top : top + int(sizes.sum())] = np.fromiter((i for x in ids for i in x), "<u4", int(sizes.sum()))
+        self.bounds[n + 1 : n + 1 + len(h)] = top + np.cumsum(sizes)
+        slot, todo = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] == 0]
+            got = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[got]], self.entry[slot[got]] = h[got], n + got
+            left = np.ones(len(h), bool)
+            left[got] = False
+            todo = todo[left[todo]]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+        self.used += len(h)
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        joined = b"".join(texts)
+        data = np.frombuffer(joined, np.uint8)
+        text_ends = np.cumsum([len(t) for t in texts])
+        if not len(data):
+            return [np.empty(0, "<u4")] * len(texts)
+        starts = stretch_starts(data, text_ends - [len(t) for t in texts])
+        sizes = np.diff(np.append(starts, len(data)))
+        place = np.arange(len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+        bits = _BYTE[data]
+        bits *= _powers(1 << max(6, int(sizes.max() - 1).bit_length()))[place]
+        h = mix64(np.add.reduceat(bits, starts) + sizes.astype(np.uint64) * _B) | np.uint64(1)
+        del bits, place
+        found = self.find(h)
+        if (found < 0).any():
+            new, first = np.unique(h[found < 0], return_index=True)
+            if self.used + len(new) > 0.6 * (1 << self.bits):
+                self.clear()
+                new, first = np.unique(h, return_index=True)
+                at = first
+            else:
+                at = np.flatnonzero(found < 0)[first]
+            for low in range(0, len(new), 5000):
+                some = [joined[a : a + n].decode("utf-8", "replace") for a, n in zip(starts[at[low : low + 5000]].tolist(), sizes[at[low : low + 5000]].tolist())]
+                self.add(new[low : low + 5000], [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
+            found = self.find(h)
+        begin, n = self.bounds[found], self.bounds[found + 1] - self.bounds[found]
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(begin - ends + n, n) + np.arange(ends[-1])]
+        cut = np.append(0, ends)[np.searchsorted(starts, text_ends)]
+        return np.split(ids, cut[:-1])
 
 
 @functools.cache
@@ -88,8 +152,12 @@ def _codec(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=shared), zstandard.ZstdDecompressor(dict_data=shared)
 
 
-def _texts(values: list[bytes | None]) -> list[str]:
-    return ["" if v is None else v.decode("utf-8", "replace") for v in values]
+def _texts(values: list[bytes | None]) -> list[bytes]:
+    return [v or b"" for v in values]
+
+
+#: Bytes of text that are encoded at once.
+PIECE = 1 << 19
 
 
 def train_dictionary(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> bytes:
@@ -100,7 +168,7 @@ def train_dictionary(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, blobs = _encoder(tokenizer_path), []
         for batch in batches:
-            for _, values in pieces(batch, 1):
+            for _, values in pieces(batch, 1, PIECE):
                 blobs += [np.append(x, np.uint32(END)).astype("<u4").tobytes() for x in encode(_texts(values))]
         try:
             made = zstandard.train_dictionary(DICTIONARY_BYTES, blobs).as_bytes()
@@ -130,7 +198,7 @@ def write(df: DataFrame, tokenizer_path: str, path: str | None = None, id_col: s
     id, nulls first, repeated ids by text. Documents are dealt into ranges of ids before they
     are encoded; a task streams through its range and holds one block.
     """
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     path = path or shared_dir(spark, "tokens")
     dictionary = train_dictionary(df, tokenizer_path, id_col, text_col)
     sha = hashlib.sha256(dictionary).hexdigest()
@@ -142,7 +210,7 @@ def write(df: DataFrame, tokenizer_path: str, path: str | None = None, id_col: s
         encode, compressor = _encoder(tokenizer_path), _codec(dictionary)[0]
         part, k, before, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
         for batch in batches:
-            for some, values in pieces(batch, 1):
+            for some, values in pieces(batch, 1, PIECE):
                 for i, ids in zip(some.column(0).to_pylist(), encode(_texts(values))):
                     frame = compressor.compress(ids.tobytes() + END.to_bytes(4, "little"))
                     held.append((i, len(ids) + 1, frame))
