@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import mix64, pieces, written
+from millrace.llm.common import few_to_all, mix64, pieces, written
 
 #: Units that count as such after a number.
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "sec", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "years", "euros", "euro", "dollars", "dollar", "cents", "percent", "%", "$", "€", "miles", "feet", "inches", "pounds", "kilometers", "meters", "grams", "litres", "liters"]
@@ -233,5 +233,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs' rows but for those that hold a benchmark item; rows with null ids stay."""
-    out = written(contaminated(docs, benchmark, id_col, text_col, **options).select("doc").distinct(), "contaminated")
+    out = few_to_all(written(contaminated(docs, benchmark, id_col, text_col, **options).select("doc").distinct(), "contaminated"))
     return docs.join(out, docs[id_col] == out["doc"], "left_anti")

@@ -3,10 +3,17 @@
 A paragraph is a line of a text. Bands are tuned to a recall at the threshold; paragraphs
 that collide in a band are compared through the bucket's hub, and components of linked
 paragraphs keep their first occurrence.
+
+A passage may also sit inside a longer paragraph, whose similarity it does not lift over the
+threshold. So stretches of STRETCH words are paragraphs of their own kind: they start where
+the hash of three words is least among those of some places in a row, which any PASSAGE words
+decide by themselves, so that two places with a common passage of that length share a
+stretch. Equal stretches are one class, and those of a document that overlap are one span.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,14 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import pieces, written
+from millrace.llm.common import FEW, few_to_all, pieces, written
 from millrace.llm.links import SKETCH, linked_components, shared_buckets, sketches
-from millrace.llm.shingles import common, set_ids, sets, text_sets, word_hashes
+from millrace.llm.shingles import common, runs, set_ids, sets, text_sets, word_hashes, words
 
 #: Paragraphs of fewer words are left alone: headings, notices and other lines that texts rightly share.
 MIN_WORDS = 40
 #: One document's paragraphs that a map task remembers as already indexed.
 REMEMBER = 2_000_000
+#: Words of a stretch, and the length from which on a verbatim passage is sure to hold one.
+STRETCH, PASSAGE = 32, 50
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def tune_bands(percent: int, recall: float = 0.999, most_at_half: float = 0.5) -> tuple[int, int]:
@@ -89,8 +99,10 @@ def similar_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     paragraphs are the same occurrence. Lines are read whole, however long.
     """
     source = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    own = written(paragraphs(source, "doc", "text", min_words, k), "paragraphs").dropDuplicates(["doc", "line"])
+    every = written(paragraphs(source, "doc", "text", min_words, k), "paragraphs")
+    own = every.dropDuplicates(["doc", "line"])
     classes = written(own.groupBy("id").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")), "classes")
+    unique = every.groupBy("doc", "line").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()  # else texts of repeated ids are shuffled to drop them
     rows, bands = tune_bands(percent, recall)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +120,9 @@ def similar_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([pa.array(sig.ravel()), pa.array(np.repeat(ids[fresh], bands)), pa.array(np.ones(sig.size, bool))], names=["sig", "id", "probe"])
 
     def content(ids: DataFrame) -> DataFrame:
-        wanted = written(classes.join(ids, "id").select("id", "first.doc", "first.line"), "wanted").groupBy("doc").agg(F.collect_list(F.struct("line", "id")).alias("lines"))  # of one document
+        first = written(classes.join(ids, "id").select("id", "first.doc", "first.line"), "wanted")
+        wanted = first.groupBy("doc").agg(F.collect_list(F.struct("line", "id")).alias("lines"))  # of one document
+        wanted = F.broadcast(wanted) if first.count() <= FEW else wanted
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -120,7 +134,8 @@ def similar_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                         out += [lines[x["line"]].decode("utf-8", "replace") for x in some]
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "text"])
 
-        return source.join(wanted, "doc").select("text", "lines").mapInArrow(run, "id long, text string").dropDuplicates(["id"])
+        found = source.join(wanted, "doc").select("text", "lines").mapInArrow(run, "id long, text string")
+        return found if unique else found.dropDuplicates(["id"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,15 +168,107 @@ def similar_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return own.join(per_set, "id").select("doc", "line", "n_words", "class_doc", "class_line", ((F.col("doc") != F.col("class_doc")) | (F.col("line") != F.col("class_line"))).alias("removed"))
 
 
+def stretch_starts(w, size: int, passage: int) -> np.ndarray:
+    """Words that stretches start at: of any passage - size + 1 places in a row in a text, the one with the least hash of three words."""
+    near = passage - size + 1
+    key = runs(w.hashes, 3)
+    n = len(w.hashes) - size + 1
+    if n < near:
+        return np.empty(0, np.int64)
+    text = np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))
+    low = np.arange(n - near + 1)
+    least = np.lib.stride_tricks.sliding_window_view(key[:n], near).argmin(1) + low
+    whole = text[low] == text[low + near + size - 2]  # all those stretches are inside one text
+    return np.unique(least[whole])
+
+
+def repeated_spans(source: DataFrame, size: int = STRETCH, passage: int = PASSAGE) -> DataFrame:
+    """doc, at, to (words), class_doc, class_at and removed of stretches that occur at two places or more, joined where they overlap.
+
+    Equal stretches are counted with partial sums; their least places are written, and all
+    stretches are joined with them by hash, a join whose hot keys Spark can split.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in pieces(batch, 1):
+                w = words(texts)
+                at = stretch_starts(w, size, passage)
+                owner = np.searchsorted(w.bounds, at, "right") - 1
+                h = runs(w.hashes, size)[at] if len(at) else np.empty(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(pa.array(owner)), pa.array((at - w.bounds[owner]).astype(np.int32))], names=["h", "doc", "at"])
+
+    every = source.select("doc", "text").mapInArrow(cut, "h long, doc long, at int")
+    firsts = every.groupBy("h").agg(F.min(F.struct("doc", "at")).alias("low"), F.max(F.struct("doc", "at")).alias("high")).where("low <> high")
+    firsts = written(firsts.select("h", F.col("low.doc").alias("class_doc"), F.col("low.at").alias("class_at")), "stretches")
+    found = every.join(firsts, "h").select("doc", "at", "class_doc", "class_at")
+    found = found.repartition("doc").sortWithinPartitions("doc", "at")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "at", "to", "class_doc", "class_at", "removed"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
+        now = None
+        for batch in batches:
+            out = []
+            for doc, at, class_doc, class_at in zip(*[c.to_pylist() for c in batch.columns]):
+                removed = (doc, at) != (class_doc, class_at)
+                if now is not None and now[0] == doc and at <= now[2] and now[5] == removed:
+                    now[2] = at + size
+                    now[3:5] = min((now[3], now[4]), (class_doc, class_at))
+                else:
+                    if now is not None:
+                        out.append(now)
+                    now = [doc, at, at + size, class_doc, class_at, removed]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names=names)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(now, kinds)], names=names)
+
+    return found.mapInArrow(join, "doc long, at int, to int, class_doc long, class_at int, removed boolean")
+
+
+def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS, **options) -> DataFrame:
+    """doc, kind (`line` or `stretch`), at (line, or first word), n_words, class_doc, class_at (the class's first place) and removed.
+
+    Alike lines as in similar_paragraphs, and spans of STRETCH words or more that occur word for
+    word (but for the case of A to Z) at another place, whatever stands around them; of any two
+    equal passages of PASSAGE words the larger part is found.
+    """
+    source = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
+    lines = similar_paragraphs(df, id_col, text_col, min_words=min_words, **options).select("doc", F.lit("line").alias("kind"), F.col("line").alias("at"), "n_words", "class_doc", F.col("class_line").alias("class_at"), "removed")
+    spans = repeated_spans(source).select("doc", F.lit("stretch").alias("kind"), F.col("at").cast("long").alias("at"), (F.col("to") - F.col("at")).cast("long").alias("n_words"), "class_doc", F.col("class_at").cast("long").alias("class_at"), "removed")
+    return lines.unionByName(spans)
+
+
+def cut_text(text: str, lines: set[int], spans: list[tuple[int, int]]) -> str:
+    """text without these lines and without the words of these spans; lines that lose all their words go."""
+    out, word, gone = [], 0, sorted(spans)
+    for k, line in enumerate(text.split("\n")):
+        places = [m.span() for m in _WORD.finditer(line)]
+        mine = [(max(a, word) - word, min(b, word + len(places)) - word) for a, b in gone if a < word + len(places) and b > word]
+        word += len(places)
+        if k in lines:
+            continue
+        if mine:
+            kept, low = [], 0
+            for a, b in mine:
+                kept.append(line[low : places[a][0]])
+                low = places[b - 1][1]
+            line = "".join([*kept, line[low:]])
+            if not _WORD.search(line):
+                continue
+        out.append(line)
+    return "\n".join(out)
+
+
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", **options) -> DataFrame:
-    """df's rows with repeated paragraphs cut out of their texts, each component keeping its first one.
+    """df's rows with repeated paragraphs and spans cut out of their texts, each class keeping its first one.
 
     count_col, where df has it, becomes the length of the text that is left in rows that were
     cut. A text all of whose lines go becomes empty. Rows with null ids or texts stay as they are.
     """
-    found = similar_paragraphs(df, id_col, text_col, **options).where("removed")
-    cut = written(found.groupBy("doc").agg(F.collect_set("line").alias("__lines")), "cut")  # of one document
-    both = df.join(cut, df[id_col] == cut["doc"], "left").drop("doc")
+    found = repeats(df, id_col, text_col, **options).where("removed")
+    cut = written(found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("kind", "at", "n_words")).alias("__gone")), "cut")  # of one document
+    both = df.join(few_to_all(cut), F.col(id_col) == F.col("__doc"), "left").drop("__doc")
     at = both.columns.index(text_col)
     count = both.columns.index(count_col) if count_col in df.columns else None
     kind = df.schema
@@ -169,16 +276,15 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = batch.columns
-            lines = cols[-1].to_pylist()
-            if any(lines):
+            cuts = cols[-1].to_pylist()
+            if any(cuts):
                 texts = cols[at].to_pylist()
-                for i, gone in enumerate(lines):
+                for i, gone in enumerate(cuts):
                     if gone:
-                        gone = set(gone)
-                        texts[i] = "\n".join(x for j, x in enumerate(texts[i].split("\n")) if j not in gone)
+                        texts[i] = cut_text(texts[i], {x["at"] for x in gone if x["kind"] == "line"}, [(x["at"], x["at"] + x["n_words"]) for x in gone if x["kind"] == "stretch"])
                 cols[at] = pa.array(texts, pa.string())
                 if count is not None:
-                    cols[count] = pa.array([len(t) if gone else n for t, gone, n in zip(texts, lines, cols[count].to_pylist())], cols[count].type)
+                    cols[count] = pa.array([len(t) if gone else n for t, gone, n in zip(texts, cuts, cols[count].to_pylist())], cols[count].type)
             yield pa.RecordBatch.from_arrays(cols[:-1], names=kind.names)
 
     return both.mapInArrow(run, T.StructType(kind.fields))

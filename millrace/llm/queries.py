@@ -39,7 +39,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = paragraphs.similar_paragraphs(table(spark, sf_dir, "documents"))
+    found = paragraphs.repeats(table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("doc", "doc_id")
 
 

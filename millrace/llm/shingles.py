@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -23,24 +24,51 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words `[^\\x20\\x09-\\x0D]+` of the texts in order, the bound of each text's words
-    (one more than texts), and for each word the number of line feeds before it in the joined texts."""
+@dataclass
+class Words:
+    """Words of several texts laid end to end with a line feed between them."""
+
+    hashes: np.ndarray
+    bounds: np.ndarray  # of each text's words, one more than texts
+    feeds: np.ndarray  # line feeds before each word
+    last: np.ndarray  # last byte of each word
+
+
+def words(texts: list[bytes], lower: bool = True) -> Words:
+    """All words `[^\\x20\\x09-\\x0D]+` of the texts in order; A to Z are lower-cased before hashing."""
     data = np.frombuffer(b"\n".join(texts), np.uint8)
     blank = _BLANK[data]
     solid = np.flatnonzero(~blank)
     ends = np.cumsum([len(t) + 1 for t in texts])
     if not len(solid):
-        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int64)
+        return Words(np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8))
     first = np.flatnonzero(np.append(True, solid[1:] != solid[:-1] + 1))  # where words start among the solid bytes
     sizes = np.diff(np.append(first, len(solid)))
     place = np.arange(len(solid)) - np.repeat(first, sizes)
-    bits = _BYTE[(_LOWER if lower else np.arange(256, dtype=np.uint8))[data[solid]]]
-    top = int(sizes.max())
-    bits *= _powers(1 << max(6, (top - 1).bit_length()))[place]
+    raw = data[solid]
+    bits = _BYTE[_LOWER[raw] if lower else raw]
+    bits *= _powers(1 << max(6, (int(sizes.max()) - 1).bit_length()))[place]
     hashes = mix64(np.add.reduceat(bits, first) + sizes.astype(np.uint64) * _B)
     at = solid[first]
-    return hashes, np.append(0, np.searchsorted(at, ends)), np.cumsum(data == 10)[at]
+    return Words(hashes, np.append(0, np.searchsorted(at, ends)), np.cumsum(data == 10)[at], raw[first + sizes - 1])
+
+
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, the bound of each text's words, and the line feeds before each word in the joined texts."""
+    w = words(texts, lower)
+    return w.hashes, w.bounds, w.feeds
+
+
+def runs(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k words from each place on, by differences of one running sum."""
+    n = len(hashes) - k + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    inverse = np.uint64(pow(int(_A), -1, 1 << 64))
+    down = np.full(len(hashes), inverse, np.uint64)
+    down[:1] = 1
+    total = np.append(np.uint64(0), np.cumsum(hashes * np.cumprod(down, dtype=np.uint64), dtype=np.uint64))
+    return mix64((total[k:] - total[:n]) * _powers(1 << max(6, (n - 1).bit_length()))[:n])
 
 
 def windows(hashes: np.ndarray, groups: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
