@@ -89,17 +89,26 @@ def l2(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once a row, not once for each item of an inner loop."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _total(row: Column) -> Column:
+    return F.aggregate(row, F.lit(0.0), lambda s, x: s + x)
+
+
 def softmax(row: Column) -> Column:
     """Of an array, after its largest item is taken away."""
     row = row.cast("array<double>")
-    up = F.transform(row, lambda x: F.exp(x - F.array_max(row)))
-    return F.transform(up, lambda x: x / F.aggregate(up, F.lit(0.0), lambda s, y: s + y))
+    up = let(F.array_max(row), lambda m: F.transform(row, lambda x: F.exp(x - m)))
+    return let(up, lambda u: let(_total(u), lambda t: F.transform(u, lambda x: x / t)))
 
 
 def log_softmax(row: Column) -> Column:
     row = row.cast("array<double>")
-    total = F.aggregate(F.transform(row, lambda x: F.exp(x - F.array_max(row))), F.lit(0.0), lambda s, y: s + y)
-    return F.transform(row, lambda x: x - F.array_max(row) - F.ln(total))
+    less = let(F.array_max(row), lambda m: F.transform(row, lambda x: x - m))
+    return let(less, lambda u: let(F.ln(_total(F.transform(u, lambda x: F.exp(x)))), lambda t: F.transform(u, lambda x: x - t)))
 
 
 def argsort(row: Column) -> Column:

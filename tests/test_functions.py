@@ -128,6 +128,10 @@ def test_matrix_against_numpy(spark):
     s = spark.createDataFrame([(i, float(v)) for i, v in enumerate(a.ravel())], "i long, v double")
     got = {r["i"]: r["v"] for r in matrix.correlate(s, [1.0, -2.0, 0.5], 12).collect()}
     np.testing.assert_allclose([got[i] for i in sorted(got)], np.correlate(a.ravel(), [1.0, -2.0, 0.5], "valid"))
+    vectors = spark.createDataFrame([(list(map(float, a.ravel())),)], "r array<double>").select(matrix.softmax(F.col("r")).alias("s"), matrix.log_softmax(F.col("r")).alias("l"), matrix.argsort(F.col("r")).alias("o")).first()
+    np.testing.assert_allclose(vectors["s"], np.exp(a.ravel()) / np.exp(a).sum())
+    np.testing.assert_allclose(vectors["l"], np.log(vectors["s"]))
+    assert vectors["o"] == np.argsort(a.ravel(), kind="stable").tolist()
     wide = spark.createDataFrame([tuple(map(float, r)) for r in a], "x double, y double, z double")
     np.testing.assert_allclose([r["value"] for r in matrix.singular_values(wide, ["x", "y", "z"]).orderBy("k").collect()], np.linalg.svd(a)[1])
     np.testing.assert_allclose(np.abs(matrix.qr_r(wide, ["x", "y", "z"])), np.abs(np.linalg.qr(a)[1]))
