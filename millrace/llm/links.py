@@ -2,7 +2,7 @@
 
 A bucket's members are first compared with one member of it, the hub. What is linked is
 contracted to components, and buckets whose members are all of one component are done. The
-rest get another hub each round. When hubs no longer help, all pairs of different
+rest get other hubs each round. When hubs no longer help, all pairs of different
 components in what is left are compared, after an exact bound on their difference has
 ruled out most. Every link that could join two components is so tested.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import written
 
+HUBS = 2  # in a bucket and round, after the first
 WORDS = 8  # of 64 bits in a parity sketch
 SKETCH = ", ".join(f"s{k} long" for k in range(WORDS))
 
@@ -110,7 +111,7 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "sig long, id long, hub long")
 
 
-def linked_components(buckets: DataFrame, content: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], sketch: Callable[[DataFrame], DataFrame], most_apart: Callable[[Column, Column], Column], rounds: int = 3) -> DataFrame:
+def linked_components(buckets: DataFrame, content: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], sketch: Callable[[DataFrame], DataFrame], most_apart: Callable[[Column, Column], Column], rounds: int = 2) -> DataFrame:
     """id and component of all ids that a link joins to another.
 
     buckets: sig, id, hub, from shared_buckets. content(ids): id and text of these ids.
@@ -136,25 +137,26 @@ def linked_components(buckets: DataFrame, content: Callable[[DataFrame], DataFra
         return written(named.join(mixed, "sig", "left_semi"), "open")
 
     rest = open_rows()
-    before = None
     for k in range(rounds):
-        n = rest.count()
-        if n == 0 or (before is not None and n > 0.7 * before):
+        if rest.isEmpty():
             break
-        before = n
-        hubs = written(rest.groupBy("sig").agg(F.min_by(F.struct("id", "component"), F.xxhash64(F.col("component"), F.lit(k))).alias("hub")), "hubs")
+        slot = F.pmod(F.xxhash64("id", F.lit(-k)), F.lit(HUBS))
+        hubs = written(rest.groupBy("sig", slot.alias("slot")).agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(k))).alias("hub")), "hubs")
         pairs = rest.join(hubs, "sig").where("component <> hub.component").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
         new = written(tested(pairs), "links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            done = written(components(links), "components")
-            rest = open_rows()
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        done = written(components(links), "components")
+        rest = open_rows()
     if not rest.isEmpty():
         marks = written(sketch(rest.select("id").distinct().join(texts, "id")), "sketches")
         names = ["n", *(f"s{k}" for k in range(WORDS))]
-        side = lambda x: written(rest.join(marks, "id").select("sig", F.col("id").alias(x), F.col("component").alias(f"c_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in names]), "sides")
+        every = written(rest.groupBy("id").agg(F.collect_list("sig").alias("sigs")), "sigs")  # of one set
+        side = lambda x: written(rest.join(marks, "id").join(every, "id").select("sig", F.col("sigs").alias(f"sigs_{x}"), F.col("id").alias(x), F.col("component").alias(f"c_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in names]), "sides")
         apart = sum(F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(WORDS))
         pairs = side("a").join(side("b"), "sig").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (apart <= most_apart(F.col("n_a"), F.col("n_b"))))
+        pairs = pairs.where(F.array_min(F.array_intersect("sigs_a", "sigs_b")) == F.col("sig"))  # each pair in one of its buckets only
         new = written(tested(pairs.select("a", "b").distinct()), "links")
         if not new.isEmpty():
             done = written(components(links.unionByName(new)), "components")
