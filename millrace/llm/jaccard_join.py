@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import mix64, pieces, written
+from millrace.llm.common import few_to_all, mix64, pieces, written
 from millrace.llm.links import SKETCH, linked_components, shared_buckets, sketches
 from millrace.llm.shingles import common, set_ids, sets, text_sets, word_hashes
 
@@ -172,6 +172,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     largest = classes.agg(F.max("n")).first()[0] or 0
     schemes = bands(largest, percent, {2 ** int(p) + 2 ** int(p) // 2: c for p, c in sizes.items()}, plan)
     source = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc IS NOT NULL")
+    unique = named.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()  # else texts of repeated ids are shuffled to drop them
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -181,8 +182,9 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ident), pa.array(probe)], names=["sig", "id", "probe"])
 
     def content(ids: DataFrame) -> DataFrame:
-        wanted = written(classes.join(ids, "id").select("id", F.col("least").alias("doc")), "wanted")
-        return wanted.join(source, "doc").select("id", "text").dropDuplicates(["id"])
+        wanted = few_to_all(written(classes.join(ids, "id").select("id", F.col("least").alias("doc")), "wanted"))
+        found = source.join(wanted, "doc").select("id", "text")
+        return found if unique else found.dropDuplicates(["id"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,5 +226,5 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k
     Of repeated rows of the id that stays, all stay.
     """
     found = similar_components(df, id_col, text_col, k=k, percent=percent)
-    out = written(found.where("doc <> component_id").select("doc").distinct(), "repeats")
+    out = few_to_all(written(found.where("doc <> component_id").select("doc").distinct(), "repeats"))
     return df.join(out, df[id_col] == out["doc"], "left_anti")
