@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import written
 
+FIRST = 12  # buckets of a set that are looked at to take a pair once
 HUBS = 2  # in a bucket and round, after the first
 WORDS = 8  # of 64 bits in a parity sketch
 SKETCH = ", ".join(f"s{k} long" for k in range(WORDS))
@@ -152,11 +153,15 @@ def linked_components(buckets: DataFrame, content: Callable[[DataFrame], DataFra
     if not rest.isEmpty():
         marks = written(sketch(rest.select("id").distinct().join(texts, "id")), "sketches")
         names = ["n", *(f"s{k}" for k in range(WORDS))]
-        every = written(rest.groupBy("id").agg(F.collect_list("sig").alias("sigs")), "sigs")  # of one set
-        side = lambda x: written(rest.join(marks, "id").join(every, "id").select("sig", F.col("sigs").alias(f"sigs_{x}"), F.col("id").alias(x), F.col("component").alias(f"c_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in names]), "sides")
+        every = rest.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRST).alias("sigs"))  # of one set
+        marks = written(marks.join(every, "id"), "marks")
+        side = lambda x: written(rest.join(marks, "id").select("sig", F.col("sigs").alias(f"sigs_{x}"), F.col("id").alias(x), F.col("component").alias(f"c_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in names]), "sides")
         apart = sum(F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(WORDS))
-        pairs = side("a").join(side("b"), "sig").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (apart <= most_apart(F.col("n_a"), F.col("n_b"))))
-        pairs = pairs.where(F.array_min(F.array_intersect("sigs_a", "sigs_b")) == F.col("sig"))  # each pair in one of its buckets only
+        most = most_apart(F.col("n_a"), F.col("n_b"))
+        near = (F.abs(F.col("n_a") - F.col("n_b")) <= most) & (apart <= most)
+        pairs = side("a").join(side("b"), "sig").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near)
+        # Of buckets that a pair shares among the first ones of both, it is taken from the first only.
+        pairs = pairs.where(F.coalesce(F.col("sig") <= F.array_min(F.array_intersect("sigs_a", "sigs_b")), F.lit(True)))
         new = written(tested(pairs.select("a", "b").distinct()), "links")
         if not new.isEmpty():
             done = written(components(links.unionByName(new)), "components")
