@@ -26,8 +26,10 @@ from millrace.llm.common import FEW, few_to_all, pieces, written
 from millrace.llm.links import SKETCH, linked_components, shared_buckets, sketches
 from millrace.llm.shingles import common, runs, set_ids, sets, text_sets, word_hashes, words
 
-#: Paragraphs of fewer words are left alone: headings, notices and other lines that texts rightly share.
-MIN_WORDS = 40
+#: Lines of fewer words have no whole shingle and are not searched.
+MIN_WORDS = 5
+#: A decision of the removal, not of the search: shorter like lines are reported but stay in texts, which rightly share headings and notices.
+LEAST_CUT = 40
 #: One document's paragraphs that a map task remembers as already indexed.
 REMEMBER = 2_000_000
 #: Words of a stretch, and the length from which on a verbatim passage is sure to hold one.
@@ -90,7 +92,7 @@ def paragraphs(df: DataFrame, id_col: str, text_col: str, min_words: int, k: int
 
 
 def similar_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS, k: int = 5, percent: int = 80, recall: float = 0.999) -> DataFrame:
-    """A row for each long paragraph that is alike another: doc, line, n_words, class_doc and class_line (the
+    """A row for each paragraph of min_words words or more that is alike another: doc, line, n_words, class_doc and class_line (the
     component's first paragraph by document and line) and removed (it is not that first one).
 
     Alike are paragraphs whose sets of k-word shingles (A to Z lower-cased) have a Jaccard
@@ -112,10 +114,11 @@ def similar_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 h, cut, *_ = long_lines(texts, min_words, k)
                 if len(cut) < 2:
                     continue
-                ids = set_ids(h, cut)
+                ids, size = set_ids(h, cut), np.diff(cut)
+                other = 100 * size >= percent * (size + 1)  # smaller sets are alike to equal ones only, which are one class already
                 if len(seen) > REMEMBER:  # only a saving: an id that comes twice does no harm
                     seen.clear()
-                fresh = np.array([i not in seen and not seen.add(i) for i in ids.tolist()])
+                fresh = other & np.array([i not in seen and not seen.add(i) for i in ids.tolist()])
                 sig = minhash_bands(h, cut, rows, bands)[fresh]
                 yield pa.RecordBatch.from_arrays([pa.array(sig.ravel()), pa.array(np.repeat(ids[fresh], bands)), pa.array(np.ones(sig.size, bool))], names=["sig", "id", "probe"])
 
@@ -260,13 +263,14 @@ def cut_text(text: str, lines: set[int], spans: list[tuple[int, int]]) -> str:
     return "\n".join(out)
 
 
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", **options) -> DataFrame:
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", *, least_cut: int = LEAST_CUT, **options) -> DataFrame:
     """df's rows with repeated paragraphs and spans cut out of their texts, each class keeping its first one.
 
+    Like lines of fewer than least_cut words are found by the search (repeats) but stay.
     count_col, where df has it, becomes the length of the text that is left in rows that were
     cut. A text all of whose lines go becomes empty. Rows with null ids or texts stay as they are.
     """
-    found = repeats(df, id_col, text_col, **options).where("removed")
+    found = repeats(df, id_col, text_col, **options).where("removed").where((F.col("kind") != "line") | (F.col("n_words") >= least_cut))
     cut = written(found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("kind", "at", "n_words")).alias("__gone")), "cut")  # of one document
     both = df.join(few_to_all(cut), F.col(id_col) == F.col("__doc"), "left").drop("__doc")
     at = both.columns.index(text_col)

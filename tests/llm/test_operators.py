@@ -331,6 +331,22 @@ def test_passages_inside_other_text(spark):
     assert {r["doc"] for r in found} == set(range(12)) and {r["doc"] for r in found if r["removed"]} == set(range(1, 12))
 
 
+def test_short_paragraphs(spark):
+    rng = random.Random(21)
+    short = [prose(rng, n) for n in (5, 7, 8, 20, 30)]
+    rows = [(i, "\n".join(y for x in [*short, "two words"] for y in (prose(rng, 12), x))) for i in range(3)] + [(9, short[-1] + " " + prose(rng, 1))]
+    sets = {(i, j): sets_of(x, 5) for i, t in rows for j, x in enumerate(t.split("\n")) if len(words_of(x)) >= 5}
+    want = brute_components(sets, 80)
+    many = collections.Counter(want.values())
+    found = [r for r in paragraphs.repeats(docs(spark, rows)).collect() if r["kind"] == "line"]
+    got = {(r["doc"], r["at"]): (r["class_doc"], r["class_at"]) for r in found}
+    assert got == {k: v for k, v in want.items() if many[v] > 1} and len(got) >= 15
+    kept = {r["doc_id"]: r["text"] for r in paragraphs.without_repeats(docs(spark, rows)).collect()}
+    assert all(x in kept[i].split("\n") for i in range(3) for x in short)  # short notices stay: a decision of the removal
+    cut = {r["doc_id"]: r["text"] for r in paragraphs.without_repeats(docs(spark, rows), least_cut=5).collect()}
+    assert all(x in cut[0].split("\n") and x not in cut[i].split("\n") for i in (1, 2) for x in short)
+
+
 def test_band_tuning():
     rows, bands = paragraphs.tune_bands(80)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
