@@ -145,15 +145,37 @@ def _is_number(x: str) -> bool:
         return False
 
 
+def shape_of(spark: SparkSession, path: str, delimiter: str) -> tuple[int, bool]:
+    """The widest row's fields, and whether a quote holds a line end anywhere: one aggregation over all lines.
+
+    Only files with such a quote are parsed whole to find the width.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widest, held = 0, False
+            for line in batch.column(0).to_pylist():
+                rows = list(split_rows(f"{line}\nx", delimiter))
+                held |= rows[-1] != ["x"]  # the line's last quote is open
+                widest = max(widest, *(len(r) for r in rows))
+            yield pa.RecordBatch.from_arrays([pa.array([widest], pa.int32()), pa.array([held], pa.bool_())], names=["width", "held"])
+
+    found = spark.read.text(path).mapInArrow(run, "width int, held boolean").agg(F.max("width"), F.max("held")).first()
+    if not found[1]:
+        return found[0] or 1, False
+    return read_ragged(spark, path, delimiter).agg(F.max(F.size("fields"))).first()[0] or 1, True
+
+
 def read_smart(spark: SparkSession, path: str, kind: str = "double") -> DataFrame:
-    """A table of numbers: delimiter and header detected from the first lines, cells read leniently, bad ones NaN (DOUBLE) or NULL."""
+    """A table of numbers: delimiter and header detected from the first lines, the width
+    from all, cells read leniently, bad ones NaN (DOUBLE) or NULL. Files without line ends in quotes are split over tasks."""
     sample = sample_of(spark, path)
     d = detect_delimiter(sample)
     first = list(split_rows(sample, d))
     head = header_of(first[:2], _is_number)
-    width = max((len(r) for r in first), default=1)
+    width, held = shape_of(spark, path, d)
     schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(width)])
-    raw = spark.read.schema(schema).option("sep", d).option("escape", '"').option("header", head is not None).option("enforceSchema", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("multiLine", True).csv(path)
+    raw = spark.read.schema(schema).option("sep", d).option("escape", '"').option("header", head is not None).option("enforceSchema", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("multiLine", held).csv(path)
     titles = [*(head or []), *[f"col{k + 1}" for k in range(len(head or []), width)]] if head else [f"col{k + 1}" for k in range(width)]
     cell = lambda c: F.coalesce(str2num(c).cast("double"), F.lit(float("nan"))) if kind == "double" else str2num(c, kind)
     return raw.select(*[cell(F.col(f"c{k}")).alias(t) for k, t in enumerate(titles)])

@@ -174,6 +174,19 @@ def test_csv(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["1.0,0.02,NaN", "3.0,4.0,5.0"]
 
 
+def test_width_of_all_rows(spark, tmp_path):
+    p = tmp_path / "late.csv"
+    p.write_text("1,2,3\n" * 150 + "4,5,6,7,8\n")
+    df = csv.read_smart(spark, str(p))
+    assert csv.shape_of(spark, str(p), ",") == (5, False)
+    assert len(df.columns) == 5 and [tuple(r) for r in df.where("col1 = 4").collect()] == [(4.0, 5.0, 6.0, 7.0, 8.0)] and df.count() == 151
+    q = tmp_path / "held.csv"
+    q.write_text("1,2,3\n" * 150 + '4,"x\ny",6,7\n')
+    df = csv.read_smart(spark, str(q))
+    assert csv.shape_of(spark, str(q), ",") == (4, True)
+    assert len(df.columns) == 4 and df.count() == 151 and df.where("col4 = 7").count() == 1
+
+
 def test_simulation(spark):
     df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate([10, 8, 9, 11, 5, 6])], "p int, s int, x double")
     got = simulation.episodes(df, "p", "s", "x", 10).orderBy("start").collect()
