@@ -148,8 +148,8 @@ def polynomial_fit(spark, sf):
 
 @query("singular_values")
 def singular_values(spark, sf):
-    wide = table(spark, sf, "embeddings").select(*[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(16)])
-    return matrix.singular_values(wide, [f"x{k}" for k in range(16)])
+    wide = table(spark, sf, "embeddings").select(*[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(64)])
+    return matrix.singular_values(wide, [f"x{k}" for k in range(64)])
 
 
 @query("factor_forecast")
@@ -302,6 +302,11 @@ def decimal_arithmetic(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (a * b).cast("double").alias("product"), decimal.power(a, 3).cast("double").alias("cube"))
 
 
+def _gram(spark, sf):
+    m = _cells(spark, sf)
+    return matrix.matmul(matrix.transpose(m), m)
+
+
 def _gram8(spark, sf):
     m = _cells(spark, sf).where("j < 8")
     return matrix.matmul(matrix.transpose(m), m)
@@ -316,7 +321,7 @@ def inverse_check(spark, sf):
 
 @query("gram_eigenvalues")
 def gram_eigenvalues(spark, sf):
-    return linear.eigenvalues(_gram8(spark, sf), 8)
+    return linear.eigenvalues(_gram(spark, sf), 64)
 
 
 @query("factor_forecasts_by_label")

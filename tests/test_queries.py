@@ -4,6 +4,7 @@ import math
 import sys
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -45,3 +46,12 @@ def test_query(spark, duck, sf, name):
     order = sorted(range(len(theirs)), key=lambda k: theirs[k])
     assert names == sorted(theirs)
     assert rows == sorted(tuple(norm(r[k]) for k in order) for r in found.fetchall())
+
+
+def test_all_columns(spark, sf):
+    x = np.array([r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding").collect()], float)
+    values = np.sort(np.linalg.svd(x, compute_uv=False))[::-1]
+    got = [r["value"] for r in registry.QUERIES["singular_values"](spark, sf).orderBy("k").collect()]
+    np.testing.assert_allclose(got, values, rtol=1e-6)
+    rows = registry.QUERIES["gram_eigenvalues"](spark, sf).orderBy("k").collect()
+    np.testing.assert_allclose([r["re"] for r in rows], values**2, rtol=1e-6)
