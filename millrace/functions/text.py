@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,6 +53,29 @@ def num_str_percent(x, decimals: int = 2) -> Column:
     return F.when(shown == "N/A", shown).otherwise(F.concat(shown, F.lit("%")))
 
 
+#: Fixed values of the presets: decimals, factor, whether M and B are used, suffix.
+FORMATS = {"default": (2, 1.0, False, ""), "abbreviated": (2, 1.0, True, ""), "percent": (2, 100.0, False, "%"), "whole percent": (0, 100.0, False, "%")}
+
+
+def formatted(x, preset: str = "default", width: int = 9) -> Column:
+    """A number by a preset, padded on the left to a width."""
+    decimals, factor, abbreviate, suffix = FORMATS[preset]
+    shown = num_str(_c(x) * factor, decimals, abbreviate)
+    shown = F.when(shown == "N/A", shown).otherwise(F.concat(shown, F.lit(suffix)))
+    return F.when(F.length(shown) < width, F.lpad(shown, width, " ")).otherwise(shown)
+
+
+def signed(x, decimals: int) -> Column:
+    """Fixed decimals with a sign, but none on what rounds to 0."""
+    shown = F.format_string(f"%+.{decimals}f", _c(x).cast("double"))
+    return F.when(shown.rlike(r"^[+-]0(\.0*)?$"), shown.substr(F.lit(2), F.length(shown))).otherwise(shown)
+
+
+def is_number_char(x) -> Column:
+    """Whether a character may be part of a number."""
+    return _c(x).rlike(r"^[-+0-9.,$%eE]$")
+
+
 def posix_path(x) -> Column:
     return F.regexp_replace(_c(x), r"\\", "/")
 
@@ -100,32 +125,24 @@ def normalize_line(x) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(x), "\r\n?", "\n"), r"\s+$", "")
 
 
-def _crc_table() -> list[int]:
-    out = []
-    for i in range(256):
-        c = i << 24
-        for _ in range(8):
-            c = ((c << 1) ^ 0x04C11DB7 if c & 0x80000000 else c << 1) & 0xFFFFFFFF
-        out.append(c)
-    return out
+_TURNED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))  # each byte with its bits turned round
 
 
 @F.pandas_udf(T.LongType())
 def cksum(values: pd.Series) -> pd.Series:
-    """POSIX cksum: CRC-32, high bit first, of the bytes and their length. NULL gives NULL."""
-    table = _crc_table()
+    """POSIX cksum: CRC-32, high bit first, of the bytes and their length. NULL gives NULL.
+
+    zlib's CRC is the same polynomial, low bit first: it is asked of bytes with their bits
+    turned round, and its start and end values are undone.
+    """
 
     def one(data):
         if data is None:
             return None
         data = data.encode() if isinstance(data, str) else bytes(data)
-        crc, n = 0, len(data)
-        for b in data:
-            crc = ((crc << 8) & 0xFFFFFFFF) ^ table[(crc >> 24) ^ b]
-        while n:
-            crc = ((crc << 8) & 0xFFFFFFFF) ^ table[(crc >> 24) ^ (n & 255)]
-            n >>= 8
-        return ~crc & 0xFFFFFFFF
+        whole = data + len(data).to_bytes((len(data).bit_length() + 7) // 8, "little")
+        crc = zlib.crc32(whole.translate(_TURNED), 0xFFFFFFFF)
+        return int(f"{crc:032b}"[::-1], 2)
 
     return values.map(one).astype("Int64")
 

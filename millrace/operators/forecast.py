@@ -1,24 +1,42 @@
-"""Out-of-sample factor forecasts: one panel (a key's rows in order) a group, panels side by side."""
+"""Out-of-sample factor forecasts from running moments: a panel (a key's rows in order) is streamed, and never held."""
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _fit(y: np.ndarray, x: np.ndarray, z: np.ndarray) -> tuple[float, np.ndarray]:
-    """Intercept and weights of the three-pass filter, by moments of the rows given."""
-    d = x.std(0, ddof=1)
-    d = np.where(d > 0, d, 1.0)
-    c = x - x.mean(0)
-    s = c / d
-    w = s.T @ (z - z.mean(0))
+class Moments:
+    """Count, sums and sums of products of rows, less a fixed row near them, so that large means cost few digits."""
+
+    def __init__(self, width: int):
+        self.n, self.s, self.p = 0, np.zeros(width), np.zeros((width, width))
+
+    def add(self, row: np.ndarray, sign: int = 1) -> None:
+        self.n += sign
+        self.s += sign * row
+        self.p += sign * np.outer(row, row)
+
+    def centred(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.s / self.n, self.p - np.outer(self.s, self.s) / self.n
+
+
+def fit(m: Moments, k: int) -> tuple[float, np.ndarray]:
+    """Intercept and weights of the three-pass filter, from moments of rows y, k columns x, proxies."""
+    mean, c = m.centred()
+    x, z = slice(1, 1 + k), slice(1 + k, None)
+    var = np.diag(c)[x]
+    d = np.sqrt(np.maximum(var, 0) / (m.n - 1))
+    d = np.where(d > 1e-9 * (1 + np.abs(mean[x])), d, 1.0)
+    w = c[x, z] / d[:, None]
     w = w - w.mean(0)
-    f = s @ w
-    alpha = w @ np.linalg.lstsq(f.T @ f, f.T @ (y - y.mean()), rcond=1e-12)[0] / d
-    return float(y.mean() - alpha @ x.mean(0)), alpha
+    alpha = w @ np.linalg.lstsq(w.T @ (c[x, x] / np.outer(d, d)) @ w, w.T @ (c[x, 0] / d), rcond=1e-12)[0] / d
+    return float(mean[0] - alpha @ mean[x]), alpha
 
 
 def out_of_sample(df: DataFrame, key: str, order: str, y: str, xs: list[str], zs: list[str] | None = None, *, procedure: str = "recursive", train: int = 20, window: int = 0) -> DataFrame:
@@ -27,31 +45,120 @@ def out_of_sample(df: DataFrame, key: str, order: str, y: str, xs: list[str], zs
     recursive: each row from all rows before it, from row `train` on. rolling: from the
     `train` rows before it. cross: each row from all rows but those within `window` of it.
     zs None: y itself is the proxy. Rows with a NaN or NULL in any column teach nothing.
+
+    Rows are dealt out by key and sorted; a task streams through them with the moments of what
+    was learnt and the last `train` or 2 * window rows. For cross, a first such stream gives
+    each key's moments, a row for each key.
     """
     if procedure not in ("recursive", "rolling", "cross"):
         raise ValueError(procedure)
-    used = [y, *xs, *(zs or [])]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        data = pdf[used].to_numpy(dtype=float)
-        good, n = ~np.isnan(data).any(1), len(pdf)
-        forecast, mean = np.full(n, np.nan), np.full(n, np.nan)
-        for t in range(n):
-            at = np.arange(n)
-            seen = good & {"recursive": at < t, "rolling": (at < t) & (at >= t - train), "cross": np.abs(at - t) > window}[procedure]
-            if seen.sum() < max(train if procedure != "cross" else 3, 3) or np.isnan(data[t, 1 : 1 + len(xs)]).any():
-                continue
-            rows = data[seen]
-            proxy = rows[:, 1 + len(xs) :] if zs else rows[:, :1]
-            a, b = _fit(rows[:, 0], rows[:, 1 : 1 + len(xs)], proxy)
-            forecast[t], mean[t] = a + b @ data[t, 1 : 1 + len(xs)], rows[:, 0].mean()
-        return pd.DataFrame({key: pdf[key], order: pdf[order], y: pdf[y], "forecast": forecast, "mean_forecast": mean})
-
-    kinds = dict(df.dtypes)
-    cast = df.select(key, order, *[F.col(c).cast("double").alias(c) for c in used])
-    found = cast.groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, `{y}` double, forecast double, mean_forecast double")
-    return found.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in (y, "forecast", "mean_forecast")})  # pandas gives NaN as NULL
+    used, k = [y, *xs, *(zs or [])], len(xs)
+    width = 1 + k + (len(zs) if zs else 1)
+    nan = F.lit(float("nan"))
+    rows = df.select(F.col(key).alias("__key"), F.col(order).alias("__order"), *[F.coalesce(F.col(c).cast("double"), nan).alias(f"__{i}") for i, c in enumerate(used)])
+    dealt = rows.repartition("__key").sortWithinPartitions("__key", "__order")
+    names, kinds = [f"__{i}" for i in range(len(used))], dict(df.dtypes)
+
+    def arrays(batch: pa.RecordBatch) -> tuple[list, list, np.ndarray]:
+        return batch.column(0).to_pylist(), batch.column(1), np.column_stack([np.asarray(batch.column(2 + i)) for i in range(len(used))]) if batch.num_rows else np.empty((0, len(used)))
+
+    def learnt(row: np.ndarray, base: np.ndarray) -> np.ndarray | None:
+        full = np.append(row, row[:1]) if not zs else row
+        return None if np.isnan(full).any() else full - base
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, m, base, begun = None, None, None, False
+
+        def out():
+            kind = pa.list_(pa.float64())
+            cols = [pa.array([current]), pa.array([base.tolist()], kind), pa.array([[float(m.n), *m.s, *m.p.ravel()]], kind)]
+            return pa.RecordBatch.from_arrays([cols[0].cast(key_type), *cols[1:]], names=["__key", "__base", "__moments"])
+
+        for batch in batches:
+            keys, _, data = arrays(batch)
+            key_type = batch.schema.field(0).type
+            for name, row in zip(keys, data):
+                if not begun or name != current:
+                    if begun:
+                        yield out()
+                    current, m, begun = name, Moments(width), True
+                    base = np.nan_to_num(np.append(row, row[:1]) if not zs else row)
+                if (v := learnt(row, base)) is not None:
+                    m.add(v)
+        if begun:
+            yield out()
+
+    if procedure == "cross":
+        sums = dealt.mapInArrow(total, f"__key {kinds[key]}, __base array<double>, __moments array<double>")
+        dealt = rows.join(sums, rows["__key"].eqNullSafe(sums["__key"])).drop(sums["__key"]).repartition("__key").sortWithinPartitions("__key", "__order")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, begun = None, False
+        m = base = near = None  # what was learnt; the row taken from all; rows near by, ahead ones included
+        waiting: deque = deque()  # rows of cross whose later neighbours are not all there yet
+
+        def say(row):
+            enough = m.n >= max(train if procedure != "cross" else 3, 3)
+            if not enough or np.isnan(row[1 : 1 + k]).any():
+                return float("nan"), float("nan")
+            a, b = fit(m, k)
+            return base[0] + a + float(b @ (row[1 : 1 + k] - base[1 : 1 + k])), base[0] + m.s[0] / m.n
+
+        def settle():
+            """The forecast of the first waiting row: all rows less those within the window of it."""
+            name, at, row = waiting.popleft()
+            out = name, at, row, say(row)
+            near.append(row)
+            if len(near) > window:  # it is out of the next row's window
+                v = learnt(near.popleft(), base)
+                if v is not None:
+                    m.add(v)
+            return out
+
+        def batch_of(found, schema):
+            cols = list(zip(*[(n, o, r[0], *s) for n, o, r, s in found])) if found else [[]] * 5
+            types = [schema.field(0).type, schema.field(1).type, *[pa.float64()] * 3]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["__key", "__order", "__y", "forecast", "mean_forecast"])
+
+        schema = None
+        for batch in batches:
+            schema, found = batch.schema, []
+            keys, orders, data = arrays(batch)
+            more = [batch.column(2 + len(used) + i) for i in range(2)] if procedure == "cross" else None
+            for j, (name, at, row) in enumerate(zip(keys, orders.to_pylist(), data)):
+                if not begun or name != current:
+                    while waiting:
+                        found.append(settle())
+                    current, begun, near = name, True, deque()
+                    m, base = Moments(width), np.nan_to_num(np.append(row, row[:1]) if not zs else row)
+                    if more:
+                        base, v = np.array(more[0][j].as_py()), np.array(more[1][j].as_py())
+                        m.n, m.s, m.p = int(v[0]), v[1 : 1 + width].copy(), v[1 + width :].reshape(width, width).copy()
+                v = learnt(row, base)
+                if procedure == "cross":
+                    waiting.append((name, at, row))
+                    if v is not None:
+                        m.add(v, -1)
+                    if len(waiting) > window:
+                        found.append(settle())
+                    continue
+                found.append((name, at, row, say(row)))
+                if procedure == "rolling":
+                    near.append(v)
+                    if len(near) > train and (old := near.popleft()) is not None:
+                        m.add(old, -1)
+                if v is not None:
+                    m.add(v)
+            yield batch_of(found, schema)
+        if waiting:
+            found = []
+            while waiting:
+                found.append(settle())
+            yield batch_of(found, schema)
+
+    held = ["__key", "__order", *names, *(["__base", "__moments"] if procedure == "cross" else [])]
+    found = dealt.select(*held).mapInArrow(run, f"__key {kinds[key]}, __order {kinds[order]}, __y double, forecast double, mean_forecast double")
+    return found.select(F.col("__key").alias(key), F.col("__order").alias(order), F.col("__y").alias(y), "forecast", "mean_forecast")
 
 
 def forecast_quality(df: DataFrame, key: str, y: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Columns of a matrix whose Gram matrix (this squared) may be solved on the driver.
@@ -80,6 +80,116 @@ def tile(m: DataFrame, shape: tuple[int, int], down: int, across: int) -> DataFr
     return out.select((F.col("i") + F.col("__a") * shape[0]).alias("i"), (F.col("j") + F.col("__b") * shape[1]).alias("j"), "v")
 
 
+def pick(m: DataFrame, rows: list[int] | None = None, columns: list[int] | None = None) -> DataFrame:
+    """Cells of these rows and columns in the order given, which becomes their new index; repeated ones come again. None: all, as they are."""
+    out = m
+    for axis, wanted in (("i", rows), ("j", columns)):
+        if wanted is not None:
+            places = F.broadcast(m.sparkSession.createDataFrame([(int(w), k) for k, w in enumerate(wanted)], f"{axis} long, __at long"))  # as long as the list given
+            out = out.join(places, axis).withColumn(axis, F.col("__at")).drop("__at")
+    return out.select("i", "j", "v")
+
+
+def part(m: DataFrame, shape: tuple[int, int], rows: tuple[int | None, int | None] = (None, None), columns: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+    """Cells of half-open ranges, counted from the end where negative; indices start at 0 again."""
+    (a, b), (c, d) = (tuple(x if x is not None else e for x, e in zip(r, (0, n))) for r, n in zip((rows, columns), shape))
+    a, b, c, d = a + shape[0] * (a < 0), b + shape[0] * (b < 0), c + shape[1] * (c < 0), d + shape[1] * (d < 0)
+    inside = (F.col("i") >= a) & (F.col("i") < b) & (F.col("j") >= c) & (F.col("j") < d)
+    return m.where(inside).select((F.col("i") - a).alias("i"), (F.col("j") - c).alias("j"), "v")
+
+
+def split(m: DataFrame, at: list[int], axis: int = 0) -> DataFrame:
+    """Cells with `part`, the block between cut points (ascending) of an axis that they lie in; indices start at 0 in each."""
+    c, cuts = F.col("ij"[axis]), F.array(*[F.lit(int(x)).cast("long") for x in at])
+    begin = F.element_at(F.concat(F.array(F.lit(0).cast("long")), cuts), F.col("part") + 1)
+    return m.withColumn("part", F.size(F.filter(cuts, lambda x: x <= c)) if at else F.lit(0)).withColumn("ij"[axis], c - begin).select("part", "i", "j", "v")
+
+
+def split_evenly(m: DataFrame, n: int, size: int, axis: int = 0) -> DataFrame:
+    if n < 1 or size % n:
+        raise ValueError(f"{size} can't be split into {n} equal parts")
+    return split(m, [size // n * k for k in range(1, n)], axis)
+
+
+def broadcast_to(m: DataFrame, shape: tuple[int, int], to: tuple[int, int]) -> DataFrame:
+    """Cells repeated along axes of size 1."""
+    if any(a != b and a != 1 for a, b in zip(shape, to)):
+        raise ValueError(f"{shape} can't become {to}")
+    out = m
+    for axis, a, b in zip("ij", shape, to):
+        if a != b:
+            out = out.withColumn(axis, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(b - 1).cast("long")))) if b else out.limit(0)
+    return out.select("i", "j", "v")
+
+
+def with_each(m: DataFrame, vector: DataFrame, axis: int, f) -> DataFrame:
+    """f(cell, item) with a vector (i, v) along the columns of each row (axis 1) or the rows of each column (axis 0)."""
+    c = "ji"[axis == 0]
+    return m.join(vector.select(F.col("i").alias(c), F.col("v").alias("__w")), c).select("i", "j", f(F.col("v"), F.col("__w")).alias("v"))
+
+
+def along(m: DataFrame, axis: int, f: Column) -> DataFrame:
+    """(i, v): an aggregate of column v for each column (axis 0) or row (axis 1), with partial aggregates before the shuffle."""
+    return m.groupBy(F.col("ji"[axis]).alias("i")).agg(f.alias("v"))
+
+
+def lanes(m: DataFrame, axis: int, f) -> DataFrame:
+    """f from an array of one column's cells (axis 0) or one row's (axis 1), in order, to an array: as cells again. A lane must fit a task."""
+    key, other = ("j", "i") if axis == 0 else ("i", "j")
+    lane = F.transform(F.array_sort(F.collect_list(F.struct(other, "v"))), lambda x: x["v"])
+    out = m.groupBy(key).agg(lane.alias("__lane")).select(key, F.posexplode(f(F.col("__lane"))).alias("__at", "v"))
+    return out.select(F.col(key), F.col("__at").cast("long").alias(other), "v").select("i", "j", "v")
+
+
+def over_axis(m: DataFrame, axis: int, f) -> DataFrame:
+    """f(window) as the new v, the window running down each column (axis 0) or along each row (axis 1), a lane being a partition."""
+    key, other = ("j", "i") if axis == 0 else ("i", "j")
+    return m.withColumn("v", f(Window.partitionBy(key).orderBy(other)))
+
+
+def cumulative(m: DataFrame, axis: int, how: str = "sum") -> DataFrame:
+    fold = {"sum": F.sum, "max": F.max, "min": F.min}[how]
+    return over_axis(m, axis, lambda w: fold("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def difference(m: DataFrame, axis: int) -> DataFrame:
+    """Each cell less the one before it along the axis; the first row (column) goes."""
+    c = "ij"[axis]
+    return over_axis(m, axis, lambda w: F.col("v") - F.lag("v").over(w)).where(F.col(c) > 0).withColumn(c, F.col(c) - 1)
+
+
+def pct_change(m: DataFrame, axis: int) -> DataFrame:
+    """(x - before) / before along the axis; NaN where that is NaN, 0 or not there."""
+    def f(w):
+        before = F.lag("v").over(w)
+        return F.when(before.isNull() | F.isnan(before) | (before == 0), float("nan")).otherwise(F.try_divide(F.col("v") - before, before))
+
+    return over_axis(m, axis, f)
+
+
+def shifted(m: DataFrame, n: int, axis: int, fill: float = float("nan")) -> DataFrame:
+    """Cells n places further along the axis, the fill where nothing is."""
+    return over_axis(m, axis, lambda w: F.lag("v", n, fill).over(w) if n >= 0 else F.lead("v", -n, fill).over(w))
+
+
+def ordered(m: DataFrame, axis: int) -> DataFrame:
+    """Cells of each column (axis 0) or row (axis 1) in ascending order, NaN last."""
+    key, other = ("j", "i") if axis == 0 else ("i", "j")
+    place = F.row_number().over(Window.partitionBy(key).orderBy("v", other)) - 1
+    return m.withColumn(other, place.cast("long")).select("i", "j", "v")
+
+
+def outer(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Cells a[i] b[j] of two vectors (i, v): one for each pair by definition."""
+    return a.select("i", F.col("v").alias("__a")).crossJoin(b.select(F.col("i").alias("j"), F.col("v").alias("__b"))).select("i", "j", (F.col("__a") * F.col("__b")).alias("v"))
+
+
+def cross(a: Column, b: Column) -> Column:
+    """The cross product of two arrays of three items."""
+    at = lambda x, y: a[x] * b[y] - a[y] * b[x]
+    return F.array(at(1, 2), at(2, 0), at(0, 1))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Of two arrays of one length."""
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -116,10 +226,21 @@ def argsort(row: Column) -> Column:
     return F.transform(F.array_sort(F.transform(row, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), lambda s: s["i"])
 
 
-def convolve(signal: DataFrame, kernel: list[float]) -> DataFrame:
-    """Full convolution of (i, v) with a short kernel: each item spreads to its places and they are summed."""
+def convolve(signal: DataFrame, kernel: list[float], mode: str = "full", n: int | None = None) -> DataFrame:
+    """Convolution of (i, v) with a short kernel: each item spreads to its places and they are summed.
+
+    full: all places. same: as many as the longer of both has, from the middle. valid: where
+    they overlap whole. The last two need n, the signal's length.
+    """
     k = F.array(*[F.lit(float(x)) for x in kernel])
-    return signal.select("i", "v", F.posexplode(k).alias("k", "w")).groupBy((F.col("i") + F.col("k")).alias("i")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    out = signal.select("i", "v", F.posexplode(k).alias("k", "w")).groupBy((F.col("i") + F.col("k")).alias("i")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    if mode == "full":
+        return out
+    if n is None or mode not in ("same", "valid"):
+        raise ValueError("mode is full, same or valid, and the last two need n")
+    size = max(n, len(kernel)) if mode == "same" else max(n, len(kernel)) - min(n, len(kernel)) + 1
+    low = (n + len(kernel) - 1 - size) // 2 if mode == "same" else min(n, len(kernel)) - 1
+    return out.where((F.col("i") >= low) & (F.col("i") < low + size)).select((F.col("i") - low).alias("i"), "v")
 
 
 def correlate(signal: DataFrame, kernel: list[float], n: int) -> DataFrame:

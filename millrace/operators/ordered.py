@@ -95,16 +95,36 @@ def log_returns(df: DataFrame, index: str, value: str, name: str = "log_return",
     return _near(df, index, 1, {name: F.ln(F.try_divide(F.col(value), F.lag(value).over(window_of(index))))}, rows).where(F.col(index) > 0)
 
 
-def percentiles(df: DataFrame, value: str, ps: list[float], n: int | None = None) -> DataFrame:
-    """(p, value) with linear interpolation, for p in 0 to 100: only the rows at the ranks asked for are gathered."""
+def percentiles_of(df: DataFrame, columns: list[str], ps: list[float], n: int = 64) -> DataFrame:
+    """(name, p, value) of columns with linear interpolation, for p in 0 to 100.
+
+    Equal values are counted first, so that a value that most rows have is one row. Each
+    column's distinct values are cut into n ranges by approximate quantiles; a row for each
+    range carries the rows before it, and only values at the ranks asked for are kept.
+    NaN is above all numbers; NULL is left out.
+    """
     if any(not 0 <= p <= 100 for p in ps):
         raise ValueError("percentiles are from 0 to 100")
-    rows = dense_index(df.select(F.col(value).cast("double").alias("v")), "v", n=n)
-    ask = df.sparkSession.createDataFrame([(float(p),) for p in ps], "p double").crossJoin(df.agg(F.count(F.lit(1)).alias("n"))).withColumn("r", F.col("p") / 100 * (F.col("n") - 1))
-    ask = ask.withColumns({"lo": F.floor("r"), "hi": F.ceil("r")}).select("p", "r", "lo", "hi")
-    found = rows.join(F.broadcast(ask), (rows["i"] == ask["lo"]) | (rows["i"] == ask["hi"]))  # two rows for each p asked for
-    low, high = F.min("v"), F.max("v")
-    return found.groupBy("p").agg((low + (high - low) * (F.max("r") - F.floor(F.max("r")))).alias("value"))
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").where("v IS NOT NULL")
+    counts = cells.groupBy("name", "v").agg(F.count(F.lit(1)).alias("k"))
+    bounds = counts.groupBy("name").agg(F.approx_percentile("v", [j / n for j in range(1, n)], 1000).alias("bounds"))
+    cut = counts.join(F.broadcast(bounds), "name")  # a row for each column
+    cut = cut.select("name", "v", "k", F.size(F.filter("bounds", lambda b: b < F.col("v"))).alias("range"))
+    sums = cut.groupBy("name", "range").agg(F.sum("k").alias("t"))
+    whole = Window.partitionBy("name")  # n rows for each column
+    before = sums.select("name", "range", (F.sum("t").over(whole.orderBy("range")) - F.col("t")).alias("before"), F.sum("t").over(whole).alias("n"))
+    upto = F.sum("k").over(Window.partitionBy("name", "range").orderBy("v"))
+    rows = cut.withColumn("upto", upto).join(F.broadcast(before), ["name", "range"]).select("name", "v", "n", (F.col("before") + F.col("upto") - F.col("k")).alias("low"), (F.col("before") + F.col("upto")).alias("high"))
+    rows = rows.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps]))).withColumn("r", F.col("p") / 100 * (F.col("n") - 1))
+    inside = lambda x: (x >= F.col("low")) & (x < F.col("high"))
+    found = rows.where(inside(F.floor("r")) | inside(F.ceil("r")))  # two rows at most for each p asked for
+    low, high, share = F.min("v"), F.max("v"), F.max("r") - F.floor(F.max("r"))
+    return found.groupBy("name", "p").agg(F.when(low == high, low).otherwise(low + (high - low) * share).alias("value"))
+
+
+def percentiles(df: DataFrame, value: str, ps: list[float], n: int = 64) -> DataFrame:
+    """(p, value) of one column, as percentiles_of()."""
+    return percentiles_of(df, [value], ps, n).select("p", "value")
 
 
 def quantile_nearest(df: DataFrame, value: str, q: float, n: int | None = None) -> DataFrame:

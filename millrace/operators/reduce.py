@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import percentiles_of
+
 
 def stacked(df: DataFrame, columns: list[str]) -> DataFrame:
     """(name, value) of each cell of the columns; it stays inside the stage."""
@@ -15,9 +17,9 @@ def stacked(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row for each column: count (rows), mean, std (population), min, quartiles by linear interpolation, max."""
-    p = F.percentile("value", [0.25, 0.5, 0.75])
-    found = stacked(df, columns).groupBy("name").agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), p.alias("p"), F.max("value").alias("max"))
-    return found.select("name", "count", "mean", "std", "min", F.col("p")[0].alias("p25"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p75"), "max")
+    sums = stacked(df, columns).groupBy("name").agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    quartiles = percentiles_of(df, columns, [25.0, 50.0, 75.0]).groupBy("name").pivot("p", [25.0, 50.0, 75.0]).agg(F.max("value"))
+    return sums.join(quartiles, "name").select("name", "count", "mean", "std", "min", F.col("`25.0`").alias("p25"), F.col("`50.0`").alias("p50"), F.col("`75.0`").alias("p75"), "max")
 
 
 def row_sum(columns: list[str]) -> Column:
@@ -71,10 +73,34 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def covariance(df: DataFrame, columns: list[str], ddof: int = 1) -> DataFrame:
-    """(a, b, cov, corr) of every two columns, by centred single-pass aggregates."""
-    pairs = [(a, b) for a in columns for b in columns]
-    row = df.agg(*[F.struct((F.covar_samp(a, b) if ddof else F.covar_pop(a, b)).alias("cov"), F.corr(a, b).alias("corr")).alias(f"{a}|{b}") for a, b in pairs])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`.cov").alias("cov"), F.col(f"`{a}|{b}`.corr").alias("corr")) for a, b in pairs])).alias("x")).select("x.*")
+    """(a, b, cov, corr) of every two columns: centred single-pass aggregates of the upper triangle, from which the rest follows."""
+    cov = F.covar_samp if ddof else F.covar_pop
+    row = df.agg(*[cov(a, b).alias(f"{a}|{b}") for i, a in enumerate(columns) for b in columns[i:]])
+    at = lambda a, b: F.col(f"`{a}|{b}`" if columns.index(a) <= columns.index(b) else f"`{b}|{a}`")
+    corr = lambda a, b: F.try_divide(at(a, b), F.sqrt(at(a, a) * at(b, b)))
+    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), at(a, b).alias("cov"), corr(a, b).alias("corr")) for a in columns for b in columns])).alias("x")).select("x.*")
+
+
+def variance(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the population variance of each column."""
+    return df.agg(*[F.var_pop(c).alias(c) for c in columns])
+
+
+def nan_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, mean, std, n) of each column's cells that are not NaN or NULL; std with n - 1."""
+    good = stacked(df, columns).where("value IS NOT NULL AND NOT isnan(value)")
+    return good.groupBy("name").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count(F.lit(1)).alias("n"))
+
+
+def histogram_of(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
+    """bin (from 0), left_edge, right_edge and n of bins between ascending edges, the last closed on the right; values outside and NaN are left out."""
+    if len(edges) < 2 or any(a >= b for a, b in zip(edges, edges[1:])):
+        raise ValueError("edges must be two or more, in ascending order")
+    c, every = F.col(column).cast("double"), F.array(*[F.lit(float(e)) for e in edges])
+    at = F.least(F.size(F.filter(every, lambda e: e <= F.col("v"))) - 1, F.lit(len(edges) - 2))
+    counts = df.select(c.alias("v")).where((F.col("v") >= edges[0]) & (F.col("v") <= edges[-1])).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bins = df.sparkSession.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(edges, edges[1:]))], "bin int, left_edge double, right_edge double")
+    return bins.join(counts, "bin", "left").select("bin", "left_edge", "right_edge", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def scale(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:

@@ -26,18 +26,26 @@ class Fit:
         return df.sparkSession.createDataFrame([(k, float(v)) for k, v in found], "term string, value double")
 
 
+def centred_moments(df: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Means, sums of centred products, and the rows without a NaN or NULL in these columns: two passes, so that large means cost no digits."""
+    own = [f"x{k}" for k in range(len(names))]  # a column may be asked for twice
+    good = df.select(*[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(names, own)]).where(" AND ".join(f"{x} IS NOT NULL AND NOT isnan({x})" for x in own))
+    row = good.agg(*[F.avg(x).alias(x) for x in own]).first()
+    if row["x0"] is None:
+        return np.full(len(names), np.nan), np.zeros((len(names), len(names))), 0
+    means = np.array([row[x] for x in own], float)
+    g, s, n = gram(good.select(*[(F.col(x) - F.lit(float(m))).alias(x) for x, m in zip(own, means)]), own)
+    return means + s / n, g - np.outer(s, s) / n, n
+
+
 def lm(df: DataFrame, y: str, columns: list[str]) -> Fit:
     """Ordinary least squares with an intercept; rows with a NaN or NULL in y or the columns are left out."""
-    names = [y, *columns]
-    good = df.select(*[F.col(c).cast("double").alias(c) for c in names]).where(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in names))
-    means = good.agg(*[F.avg(c).alias(c) for c in names]).first()
-    if means[y] is None:
+    means, g, n = centred_moments(df, [y, *columns])
+    if not n:
         return Fit(columns, float("nan"), np.full(len(columns), np.nan), float("nan"), float("nan"), 0)
-    centred = good.select(*[(F.col(c) - F.lit(means[c])).alias(c) for c in names])  # a second pass, so that large means cost no digits
-    g, _, n = gram(centred, names)
     beta = np.linalg.lstsq(g[1:, 1:], g[1:, 0], rcond=1e-12)[0]
     r2 = float(beta @ g[1:, 0] / g[0, 0]) if g[0, 0] else float("nan")
-    return Fit(columns, means[y] - float(beta @ [means[c] for c in columns]), beta, r2, 1 - (1 - r2) * (n - 1) / max(1, n - len(columns) - 1), n)
+    return Fit(columns, float(means[0] - beta @ means[1:]), beta, r2, 1 - (1 - r2) * (n - 1) / max(1, n - len(columns) - 1), n)
 
 
 def polyfit(df: DataFrame, x: str, y: str, degree: int) -> np.ndarray:
@@ -60,25 +68,24 @@ class Factor:
     alpha: np.ndarray  # by column of X
     intercept: float
     r_squared: float
+    n: int  # rows that it was learnt from
 
 
 def three_pass_filter(df: DataFrame, y: str, xs: list[str], zs: list[str]) -> Factor:
-    """The three-pass regression filter in closed form, from one pass of moments.
+    """The three-pass regression filter in closed form, from centred moments.
 
-    Columns of X are scaled to a standard deviation (n - 1) of one. alpha = W (W' Sxx W)^-1 W' sxy,
+    Rows with a NaN or NULL in any column are left out. Columns of X are scaled to a standard deviation (n - 1) of one. alpha = W (W' Sxx W)^-1 W' sxy,
     where W is the cross moments of X and Z less their mean over the columns of X; the fit is
     intercept + X alpha, with alpha given for the unscaled columns.
     """
-    names = [y, *xs, *zs]
-    g, s, n = gram(df, names)
-    c = g - np.outer(s, s) / n
+    means, c, n = centred_moments(df, [y, *xs, *zs])
     p = len(xs)
     d = np.sqrt(np.diag(c)[1 : 1 + p] / (n - 1))
     sxx, sxz, sxy = c[1 : 1 + p, 1 : 1 + p] / np.outer(d, d), c[1 : 1 + p, 1 + p :] / d[:, None], c[1 : 1 + p, 0] / d
     alpha = _alpha(sxx, sxz - sxz.mean(0), sxy)
     r2 = float(2 * alpha @ sxy - alpha @ sxx @ alpha) / c[0, 0]
     beta = alpha / d
-    return Factor(beta, float(s[0] / n - beta @ s[1 : 1 + p] / n), r2)
+    return Factor(beta, float(means[0] - beta @ means[1 : 1 + p]), r2, n)
 
 
 def _alpha(sxx: np.ndarray, sxz: np.ndarray, sxy: np.ndarray) -> np.ndarray:
@@ -88,8 +95,7 @@ def _alpha(sxx: np.ndarray, sxz: np.ndarray, sxy: np.ndarray) -> np.ndarray:
 
 def pls1(df: DataFrame, y: str, xs: list[str]) -> Factor:
     """One-component partial least squares: the direction of the covariances with y, scaled by least squares."""
-    g, s, n = gram(df, [y, *xs])
-    c = g - np.outer(s, s) / n
+    means, c, n = centred_moments(df, [y, *xs])
     w = c[1:, 0]
     beta = w * float(w @ c[1:, 0]) / float(w @ c[1:, 1:] @ w)
-    return Factor(beta, float(s[0] / n - beta @ s[1:] / n), float(2 * beta @ c[1:, 0] - beta @ c[1:, 1:] @ beta) / c[0, 0])
+    return Factor(beta, float(means[0] - beta @ means[1:]), float(2 * beta @ c[1:, 0] - beta @ c[1:, 1:] @ beta) / c[0, 0], n)

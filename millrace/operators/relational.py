@@ -93,3 +93,12 @@ def hstack(a: DataFrame, b: DataFrame, rid: str) -> DataFrame:
     """Columns of both at equal row ids; names of b that clash get _y."""
     renamed = b.select(rid, *[F.col(c).alias(f"{c}_y" if c in a.columns else c) for c in b.columns if c != rid])
     return a.join(renamed, rid)
+
+
+def bad_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, bad): cells, and those that are NULL, blank or NaN."""
+    kinds = dict(df.dtypes)
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True))
+    bad = lambda c: blank(c) | F.isnan(c) if kinds[c] in ("double", "float") else blank(c)
+    row = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(bad(c)).alias(c) for c in columns])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col("__n").alias("n"), F.col(f"`{c}`").alias("bad")) for c in columns])).alias("x")).select("x.*")

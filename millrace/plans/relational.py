@@ -44,14 +44,14 @@ def group_by_map(spark, sf):
 
 
 def _sides(spark, sf):
-    a = table(spark, sf, "customer").where("c_custkey % 3 <> 1").select(F.col("c_custkey").cast("double").alias("k"), F.col("c_acctbal").alias("v"))
+    a = table(spark, sf, "customer").select((F.col("c_custkey") + 10).cast("double").alias("k"), F.col("c_acctbal").alias("v"))
     b = table(spark, sf, "orders").select(F.col("o_custkey").cast("double").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").cast("double").alias("id"))
     return a, b
 
 
 for _how in ("inner", "left", "right"):
     @query(f"merge_{_how}", f"""
-        WITH a AS (SELECT CAST(c_custkey AS DOUBLE) AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 1), b AS (SELECT CAST(o_custkey AS DOUBLE) AS k, o_totalprice AS v, CAST(o_orderkey AS DOUBLE) AS id FROM orders)
+        WITH a AS (SELECT CAST(c_custkey + 10 AS DOUBLE) AS k, c_acctbal AS v FROM customer), b AS (SELECT CAST(o_custkey AS DOUBLE) AS k, o_totalprice AS v, CAST(o_orderkey AS DOUBLE) AS id FROM orders)
         SELECT coalesce(a.k, b.k) AS k, {"coalesce(a.v, 'nan'::DOUBLE)" if _how != "inner" else "a.v"} AS v_x, {"coalesce(b.v, 'nan'::DOUBLE)" if _how != "inner" else "b.v"} AS v_y, {"coalesce(b.id, 'nan'::DOUBLE)" if _how != "inner" else "b.id"} AS id FROM a {_how} JOIN b ON a.k = b.k""")
     def _(spark, sf, how=_how):
         return relational.merge(*_sides(spark, sf), "k", how)

@@ -95,9 +95,9 @@ def matrix_shapes(spark, sf):
     return matrix.reshape(_cells(spark, sf), 64, 16).select("i", "j", "v")
 
 
-@query("triangles", _CELLS + "SELECT i, CAST(j AS INT) AS j, CASE WHEN j <= i + 1 THEN v ELSE 0 END AS low, CASE WHEN j >= i - 2 THEN v ELSE 0 END AS up FROM m WHERE i < 64")
+@query("triangles", _CELLS + "SELECT i, CAST(j AS INT) AS j, CASE WHEN j <= i + 1 THEN v ELSE 0 END AS low, CASE WHEN j >= i - 2 THEN v ELSE 0 END AS up FROM m")
 def triangles(spark, sf):
-    m = _cells(spark, sf).where("i < 64")
+    m = _cells(spark, sf)
     return matrix.elementwise(matrix.tril(m, 1), matrix.triu(m, -2), lambda a, b: F.struct(a.alias("low"), b.alias("up"))).select("i", "j", "v.low", "v.up")
 
 
@@ -134,16 +134,37 @@ def line_fit(spark, sf):
     return spark.createDataFrame([(round(float(fit.coefficients[0]), 4), round(fit.intercept, 3), round(fit.r_squared, 6))], "slope double, intercept double, r_squared double")
 
 
-@query("least_squares")
+def _covariances(names, source):
+    """SQL of one row c: means m_k and population covariances s_a_b of columns by place."""
+    k = range(len(names))
+    return f"c AS (SELECT count(*) AS n, {', '.join(f'avg({x}) AS m_{i}' for i, x in enumerate(names))}, {', '.join(f'covar_pop({names[a]}, {names[b]}) AS s_{a}_{b}' for a in k for b in k)} FROM {source})"
+
+
+def _det3(m):
+    return " + ".join(f"({m[0][a]}) * (({m[1][b]}) * ({m[2][c]}) - ({m[1][c]}) * ({m[2][b]}))" for a, b, c in ((0, 1, 2), (1, 2, 0), (2, 0, 1)))
+
+
+def _least_squares_sql():
+    s = [[f"s_{a}_{b}" for b in (1, 2, 3)] for a in (1, 2, 3)]
+    swap = lambda k: [[f"s_0_{a + 1}" if b == k else s[a][b] for b in range(3)] for a in range(3)]
+    names = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+    return f"""WITH {_covariances(names, "lineitem")}, b AS (SELECT *, {', '.join(f'({_det3(swap(k))}) / ({_det3(s)}) AS b{k + 1}' for k in range(3))} FROM c),
+        f AS (SELECT *, (b1 * s_0_1 + b2 * s_0_2 + b3 * s_0_3) / s_0_0 AS r2 FROM b)
+        SELECT 'intercept' AS term, round(m_0 - b1 * m_1 - b2 * m_2 - b3 * m_3, 4) AS value FROM f UNION ALL SELECT 'l_quantity', round(b1, 4) FROM f UNION ALL SELECT 'l_discount', round(b2, 4) FROM f UNION ALL SELECT 'l_tax', round(b3, 4) FROM f
+        UNION ALL SELECT 'r_squared', round(r2, 4) FROM f UNION ALL SELECT 'adj_r_squared', round(1 - (1 - r2) * (n - 1) / (n - 4), 4) FROM f"""
+
+
+@query("least_squares", _least_squares_sql())
 def least_squares(spark, sf):
     items = table(spark, sf, "lineitem")
-    return regression.lm(items, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]).rows(items)
+    return regression.lm(items, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]).rows(items).select("term", r("value", 4))
 
 
-@query("polynomial_fit")
+@query("polynomial_fit", f"""WITH {_covariances(["y", "x", "x * x"], "(SELECT l_extendedprice AS y, l_quantity AS x FROM lineitem)")}, b AS (SELECT *, (s_0_2 * s_1_1 - s_0_1 * s_1_2) / (s_1_1 * s_2_2 - s_1_2 * s_1_2) AS b2, (s_0_1 * s_2_2 - s_0_2 * s_1_2) / (s_1_1 * s_2_2 - s_1_2 * s_1_2) AS b1 FROM c)
+    SELECT 0 AS k, round(b2, 5) AS value FROM b UNION ALL SELECT 1, round(b1, 3) FROM b UNION ALL SELECT 2, round(m_0 - b1 * m_1 - b2 * m_2, 2) FROM b""")
 def polynomial_fit(spark, sf):
     c = regression.polyfit(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 2)
-    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(c)], "k int, value double")
+    return spark.createDataFrame([(k, round(float(x), d)) for k, (x, d) in enumerate(zip(c, (5, 3, 2)))], "k int, value double")
 
 
 @query("singular_values")
@@ -152,18 +173,44 @@ def singular_values(spark, sf):
     return matrix.singular_values(wide, [f"x{k}" for k in range(64)])
 
 
-@query("factor_forecast")
+def _factor_forecast_sql():
+    """The closed form with eight scaled columns and two proxies, written out."""
+    names = [f"CAST(embedding[{k + 1}] AS DOUBLE)" for k in range(11)]
+    x, z = range(1, 9), (9, 10)
+    scaled = lambda a, b: f"s_{a}_{b} / (d_{a} * d_{b})"
+    steps = [
+        f"d AS (SELECT *, {', '.join(f'sqrt(s_{a}_{a} * n / (n - 1)) AS d_{a}' for a in x)} FROM c)",
+        f"u AS (SELECT *, {', '.join('(' + ' + '.join(f's_{a}_{q} / d_{a}' for a in x) + f') / 8 AS u_{q}' for q in z)} FROM d)",
+        f"w AS (SELECT *, {', '.join(f's_{a}_{q} / d_{a} - u_{q} AS w_{a}_{q}' for a in x for q in z)} FROM u)",
+        f"a AS (SELECT *, {', '.join('(' + ' + '.join(f'w_{a}_{p} * ({scaled(a, b)}) * w_{b}_{q}' for a in x for b in x) + f') AS a_{p}_{q}' for p in z for q in z)}, {', '.join('(' + ' + '.join(f'w_{a}_{q} * s_0_{a} / d_{a}' for a in x) + f') AS b_{q}' for q in z)} FROM w)",
+        "g AS (SELECT *, (b_9 * a_10_10 - b_10 * a_9_10) / (a_9_9 * a_10_10 - a_9_10 * a_10_9) AS g_9, (b_10 * a_9_9 - b_9 * a_10_9) / (a_9_9 * a_10_10 - a_9_10 * a_10_9) AS g_10 FROM a)",
+        f"f AS (SELECT {', '.join(f'(w_{a}_9 * g_9 + w_{a}_10 * g_10) / d_{a} AS f_{a}, m_{a}' for a in x)}, m_0 FROM g)",
+    ]
+    fitted = " + ".join(f"({names[a]} - m_{a}) * f_{a}" for a in x)
+    return f"WITH {_covariances(names, 'embeddings')}, {', '.join(steps)} SELECT vec_id, round(m_0 + {fitted}, 6) AS fitted FROM embeddings, f"
+
+
+@query("factor_forecast", _factor_forecast_sql())
 def factor_forecast(spark, sf):
-    wide = table(spark, sf, "embeddings").select(F.col("embedding")[0].cast("double").alias("y"), *[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(1, 9)], *[F.col("embedding")[k].cast("double").alias(f"z{k}") for k in (9, 10)])
+    wide = table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("y"), *[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(1, 9)], *[F.col("embedding")[k].cast("double").alias(f"z{k}") for k in (9, 10)])
     f = regression.three_pass_filter(wide, "y", [f"x{k}" for k in range(1, 9)], ["z9", "z10"])
-    return wide.select((F.lit(f.intercept) + sum(F.col(f"x{k}") * float(f.alpha[k - 1]) for k in range(1, 9))).alias("fitted"), "y")
+    return wide.select("vec_id", r(F.lit(f.intercept) + sum(F.col(f"x{k}") * float(f.alpha[k - 1]) for k in range(1, 9)), 6, "fitted"))
 
 
-@query("partial_least_squares")
+_EIGHT = [f"CAST(embedding[{k + 1}] AS DOUBLE)" for k in range(9)]
+
+
+def _partial_least_squares_sql():
+    size = " + ".join(f"s_0_{a} * s_0_{a}" for a in range(1, 9))
+    curve = " + ".join(f"s_0_{a} * s_{a}_{b} * s_0_{b}" for a in range(1, 9) for b in range(1, 9))
+    return f"WITH {_covariances(_EIGHT, 'embeddings')} " + " UNION ALL ".join(f"SELECT {a - 1} AS k, round(s_0_{a} * ({size}) / ({curve}), 6) AS value FROM c" for a in range(1, 9))
+
+
+@query("partial_least_squares", _partial_least_squares_sql())
 def partial_least_squares(spark, sf):
     wide = table(spark, sf, "embeddings").select(F.col("embedding")[0].cast("double").alias("y"), *[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(1, 9)])
     f = regression.pls1(wide, "y", [f"x{k}" for k in range(1, 9)])
-    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(f.alpha)], "k int, value double")
+    return spark.createDataFrame([(k, round(float(x), 6)) for k, x in enumerate(f.alpha)], "k int, value double")
 
 
 @query("dropout")
@@ -196,7 +243,7 @@ def numbers_from_text(spark, sf):
     return o.select("o_orderkey", text.str2num(money).cast("double").alias("money"), r(text.str2num(F.concat((F.col("o_orderkey") % 100).cast("string"), F.lit("%"))).cast("double"), 4, "pct"), text.is_numeric("o_orderpriority").alias("word_is_number"))
 
 
-@query("number_formats")
+@query("number_formats", "SELECT o_orderkey, CAST(CAST(round(o_totalprice::DECIMAL(18,2), 1) AS DECIMAL(18,1)) AS VARCHAR) AS shown, CAST(CAST(round((o_totalprice / 10000)::DECIMAL(18,6), 1) AS DECIMAL(18,1)) AS VARCHAR) || '%' AS percent FROM orders")
 def number_formats(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", text.num_str("o_totalprice", 1, True).alias("shown"), text.num_str_percent(F.col("o_totalprice") / 1e6, 1).alias("percent"))
 
@@ -257,19 +304,25 @@ def drawdown_episodes(spark, sf):
     return simulation.episodes(_user_paths(spark, sf), "user_id", "event_id", "px", 50).select("user_id", "start", "end", r("depth", 6), "sessions", "recovered")
 
 
-@query("hysteresis")
+@query("hysteresis", """WITH RECURSIVE p AS (SELECT user_id, event_id, value + 1 AS px, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+    h AS (SELECT *, px AS held FROM p WHERE rn = 1 UNION ALL SELECT p.*, CASE WHEN abs(p.px - h.held) > 5 THEN p.px ELSE h.held END FROM h JOIN p ON p.user_id = h.user_id AND p.rn = h.rn + 1) SELECT user_id, event_id, px, held FROM h""")
 def hysteresis(spark, sf):
     return simulation.banded(_user_paths(spark, sf), "user_id", "event_id", "px", 5.0)
 
 
-@query("smoothed")
+@query("smoothed", """WITH q AS (SELECT user_id, event_id, value + 1 AS px, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t FROM events)
+    SELECT user_id, event_id, round(pow(0.94, t) * sum(CASE WHEN t = 0 THEN px ELSE 0.06 * px / pow(0.94, t) END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS ewma FROM q""")
 def smoothed(spark, sf):
     return simulation.ewma(_user_paths(spark, sf), "user_id", "event_id", "px", 0.94).select("user_id", "event_id", r("ewma", 6))
 
 
-@query("path_grades")
+@query("path_grades", """WITH p AS (SELECT user_id, event_id, value + 1 AS px, max(value + 1) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS peak, (value + 1) / lag(value + 1) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS r FROM events),
+    g AS (SELECT user_id, count(*) AS sessions, arg_max(px, event_id) / arg_min(px, event_id) - 1 AS total, avg(r) AS m, stddev_pop(r) AS s, max(1 - px / peak) AS deepest, sqrt(avg((1 - px / peak) * (1 - px / peak))) AS ulcer FROM p GROUP BY user_id)
+    SELECT user_id, sessions, round(total, 6) AS total_return, CASE WHEN s > 0 THEN round(m / s * sqrt(252), 5) END AS sharpe, round(deepest, 6) AS max_drawdown, CASE WHEN sessions > 1 AND deepest > 0 THEN round(ln(1 + total) * 252 / (sessions - 1), 5) END AS log_yearly, round(ulcer, 6) AS ulcer FROM g""")
 def path_grades(spark, sf):
-    return simulation.grading(_user_paths(spark, sf), "user_id", "event_id", "px")
+    g = simulation.grading(_user_paths(spark, sf), "user_id", "event_id", "px")
+    yearly = F.when(F.col("max_drawdown") > 0, F.ln(1 + F.col("total_return")) * 252 / F.when(F.col("sessions") > 1, F.col("sessions") - 1))
+    return g.select("user_id", "sessions", r("total_return", 6), r("sharpe", 5), r("max_drawdown", 6), r(yearly, 5, "log_yearly"), r("ulcer", 6))
 
 
 @query("events_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
@@ -307,16 +360,11 @@ def _gram(spark, sf):
     return matrix.matmul(matrix.transpose(m), m)
 
 
-def _gram8(spark, sf):
-    m = _cells(spark, sf).where("j < 8")
-    return matrix.matmul(matrix.transpose(m), m)
-
-
-@query("inverse_check", "SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0 END AS v FROM range(8) a(i), range(8) b(j)")
+@query("inverse_check", "SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0 END AS v FROM range(64) a(i), range(64) b(j)")
 def inverse_check(spark, sf):
-    """The Gram matrix of eight columns times its inverse."""
-    g = _gram8(spark, sf)
-    return matrix.matmul(g, linear.inverse(g, 8)).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.round("v", 6) + 0.0).alias("v"))
+    """The Gram matrix times its inverse."""
+    g = _gram(spark, sf)
+    return matrix.matmul(g, linear.inverse(g, 64)).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.round("v", 6) + 0.0).alias("v"))
 
 
 @query("gram_eigenvalues")

@@ -6,7 +6,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,31 +80,116 @@ def sample_of(spark: SparkSession, path: str, rows: int = 100) -> str:
     return "\n".join(r[0] for r in spark.read.text(path).limit(rows).collect())
 
 
+def ends_open(line: str, delimiter: str, opened: bool) -> bool:
+    """Whether a quote is open at a line's end, given whether one is at its start."""
+    if '"' not in line:
+        return opened
+    blank, n, i = True, len(line), 0
+    while i < n:
+        c = line[i]
+        if opened:
+            if c == '"':
+                after = line[i + 1] if i + 1 < n else ""
+                if after == '"':
+                    i += 1
+                elif after in ("", delimiter):
+                    opened, blank = False, False
+        elif c == '"' and blank:
+            opened = True
+        elif c == delimiter:
+            blank = True
+        elif not c.isspace():
+            blank = False
+        i += 1
+    return opened
+
+
+def _decoded(line: bytes, latin: bool) -> str:
+    return line.decode("latin-1") if latin else line.decode("utf-8-sig", "replace")
+
+
 def read_ragged(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """(path, rid, fields) with rows as they are, rid ascending inside a file. A file is parsed whole by one task, as a quote may
-    hold any line end; rows without content are left out."""
+    """(path, rid, fields) with rows as they are, rid ascending inside a file; rows without content are left out.
+
+    Files are split over tasks. A quote may hold line ends (read as LF), also over the bounds
+    of splits: each split's effect on the quote state is found first, the effects are composed
+    in the order of a file's splits, and then every split knows whether it starts inside a
+    quote. What a record has in other splits is gathered by record. A file with a line that is
+    not UTF-8 is read as Latin-1.
+    """
     d = delimiter or detect_delimiter(sample_of(spark, path))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
+
+    def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None  # path, block, states from closed and from open, whether a line is not UTF-8
+
+        def out():
+            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(now, kinds)], names=["path", "block", "closed", "opened", "latin"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, block, line in zip(*[c.to_pylist() for c in batch.columns]):
+                if now is None or now[:2] != [name, block]:
+                    if now is not None:
+                        yield out()
+                    now = [name, block, False, True, False]
                 try:
-                    text = content.decode("utf-8-sig")
+                    text = line.decode("utf-8")
                 except UnicodeDecodeError:
-                    text = content.decode("latin-1")
-                held: list[tuple[int, list[str]]] = []
-                for rid, row in enumerate(split_rows(text, d)):
-                    held.append((rid, row))
-                    if len(held) == 10_000:
-                        yield _rows(name, held)
-                        held = []
-                yield _rows(name, held)
+                    text, now[4] = line.decode("latin-1"), True
+                now[2], now[3] = ends_open(text, d, now[2]), ends_open(text, d, now[3])
+        if now is not None:
+            yield out()
+
+    found = lines.mapInArrow(effects, "path string, block long, closed boolean, opened boolean, latin boolean")
+    per = found.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("block", "closed", "opened"))).alias("b"), F.max("latin").alias("latin"))  # a row for each split
+    states = F.aggregate("b", F.array(F.lit(False)), lambda acc, x: F.concat(acc, F.array(F.when(F.element_at(acc, -1), x["opened"]).otherwise(x["closed"]))))
+    starts = per.select("path", "latin", states.alias("s"), F.posexplode("b").alias("k", "x")).select("path", F.col("x.block").alias("block"), "latin", F.get("s", "k").alias("inside"))
 
-    def _rows(name, held):
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(held), pa.string()), pa.array([r for r, _ in held], pa.int64()), pa.array([f for _, f in held], pa.list_(pa.string()))], names=["path", "rid", "fields"])
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["path", "rid", "block", "fields", "fragment"], [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string()]
+        key, held, rid, opened, count, out = None, [], None, False, 0, []
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, rid long, fields array<string>")
+        def fragment():
+            if held:
+                out.append((key[0], rid, key[1], None, "\n".join(held)))
+
+        for batch in batches:
+            for name, block, line, latin, inside in zip(*[c.to_pylist() for c in batch.columns]):
+                if key != (name, block):
+                    fragment()
+                    key, held, rid, opened, count = (name, block), [], None, inside, 0
+                    from_before = inside
+                text = _decoded(line, latin)
+                if not held and not from_before:
+                    rid = block + count
+                count += 1
+                held.append(text)
+                opened = ends_open(text, d, opened)
+                if not opened:
+                    if from_before:
+                        fragment()
+                    else:
+                        out += [(name, rid, block, row, None) for row in split_rows("\n".join(held), d)]
+                    held, from_before = [], False
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                out = []
+        fragment()
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=names)
+
+    rows = lines.join(F.broadcast(starts), ["path", "block"]).select("path", "block", "line", "latin", "inside")  # starts: a row for each split
+    rows = rows.mapInArrow(records, "path string, rid long, block long, fields array<string>, fragment string")
+    cut = rows.where("fragment IS NOT NULL").withColumn("rid", F.last("rid", True).over(Window.partitionBy("path").orderBy("block", F.col("rid").isNotNull())))  # two rows for each split at most
+    joined = cut.groupBy("path", "rid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "fragment"))), lambda x: x["fragment"]), "\n").alias("text"))
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(name, rid, row) for name, rid, text in zip(*[c.to_pylist() for c in batch.columns]) for row in split_rows(text, d)]
+            kinds = [pa.string(), pa.int64(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, kinds)], names=["path", "rid", "fields"])
+
+    return rows.where("fragment IS NULL").select("path", "rid", "fields").unionByName(joined.mapInArrow(parsed, "path string, rid long, fields array<string>"))
 
 
 def rectangular(df: DataFrame, fields: str = "fields") -> DataFrame:
@@ -146,21 +231,19 @@ def _is_number(x: str) -> bool:
 
 
 def shape_of(spark: SparkSession, path: str, delimiter: str) -> tuple[int, bool]:
-    """The widest row's fields, and whether a quote holds a line end anywhere: one aggregation over all lines.
-
-    Only files with such a quote are parsed whole to find the width.
-    """
+    """The widest row's fields, and whether a quote holds a line end anywhere: one aggregation over all lines, and over all
+    records where a quote does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             widest, held = 0, False
             for line in batch.column(0).to_pylist():
-                rows = list(split_rows(f"{line}\nx", delimiter))
-                held |= rows[-1] != ["x"]  # the line's last quote is open
-                widest = max(widest, *(len(r) for r in rows))
+                text = _decoded(line, True)  # only quotes and delimiters matter
+                held |= ends_open(text, delimiter, False)
+                widest = max(widest, *(len(r) for r in split_rows(text, delimiter)), 0)
             yield pa.RecordBatch.from_arrays([pa.array([widest], pa.int32()), pa.array([held], pa.bool_())], names=["width", "held"])
 
-    found = spark.read.text(path).mapInArrow(run, "width int, held boolean").agg(F.max("width"), F.max("held")).first()
+    found = spark.read.text(path).select(F.col("value").cast("binary")).mapInArrow(run, "width int, held boolean").agg(F.max("width"), F.max("held")).first()
     if not found[1]:
         return found[0] or 1, False
     return read_ragged(spark, path, delimiter).agg(F.max(F.size("fields"))).first()[0] or 1, True
@@ -175,9 +258,16 @@ def read_smart(spark: SparkSession, path: str, kind: str = "double") -> DataFram
     head = header_of(first[:2], _is_number)
     width, held = shape_of(spark, path, d)
     schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(width)])
-    raw = spark.read.schema(schema).option("sep", d).option("escape", '"').option("header", head is not None).option("enforceSchema", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("multiLine", held).csv(path)
+    if held:  # split over tasks all the same
+        rows = read_ragged(spark, path, d)
+        if head is not None:
+            first = F.broadcast(rows.groupBy("path").agg(F.min("rid").alias("rid")))  # a row for each file
+            rows = rows.join(first, ["path", "rid"], "left_anti")
+        raw = rows.select(*[F.get("fields", F.lit(k)).alias(f"c{k}") for k in range(width)])
+    else:
+        raw = spark.read.schema(schema).option("sep", d).option("escape", '"').option("header", head is not None).option("enforceSchema", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
     titles = [*(head or []), *[f"col{k + 1}" for k in range(len(head or []), width)]] if head else [f"col{k + 1}" for k in range(width)]
-    cell = lambda c: F.coalesce(str2num(c).cast("double"), F.lit(float("nan"))) if kind == "double" else str2num(c, kind)
+    cell = lambda c: F.coalesce(str2num(c, "double"), F.lit(float("nan"))) if kind == "double" else str2num(c, kind)
     return raw.select(*[cell(F.col(f"c{k}")).alias(t) for k, t in enumerate(titles)])
 
 
