@@ -3,58 +3,102 @@ cut lineage, and Arrow batches dealt out in pieces of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text that one call of a batch function gets; a single longer text comes alone.
-PIECE_BYTES = 4 << 20
+from millrace.sources.shared import shared_dir
+
+#: Bytes of text that one call of a batch function gets; a single longer text comes alone. Arrays over its
+#: bytes take 25 to 40 times as much for a moment.
+PIECE_BYTES = 1 << 20
 #: ASCII white space, the word separators of every contract: 0x20 and 0x09 to 0x0D.
 WHITE = b" \t\n\x0b\x0c\r"
 
 _MASK = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset (tests), under a temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_millrace_dir", None)
-        if base is None:
-            base = spark._millrace_dir = tempfile.mkdtemp(prefix="millrace-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The rows of df, written to the shared folder and read again, so that a lost executor costs no recomputation."""
     path = shared_dir(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes the files of written tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_millrace_path", None)
+        if path:
+            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow; at the end of each task the worker, which Spark keeps, gives back the memory it has freed."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+class Recent:
+    """Ids met lately, in a table of one place for each hash (8 MB): a saving only, as an id that is forgotten comes again."""
+
+    def __init__(self, bits: int = 20):
+        self.table = np.zeros(1 << bits, np.int64)
+        self.table[0] = 8  # no free place holds an id that belongs there
+
+    def fresh(self, ids: np.ndarray) -> np.ndarray:
+        """Which ids have not been met, each once; from now on they have."""
+        slot = (ids.view(np.uint64) >> np.uint64(3)) & np.uint64(len(self.table) - 1)
+        new = self.table[slot] != ids
+        first = np.zeros(len(ids), bool)
+        first[np.unique(ids, return_index=True)[1]] = True
+        self.table[slot] = ids
+        return new & first
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
-    """Has texts go to Python in Arrow batches of so many rows at most, as some are long; a smaller setting stays."""
+    """Has texts go to Python in Arrow batches of so many rows at most, as some are long; a smaller setting stays.
+
+    It is a setting of the session: applications (the queries and the pipeline) make it, the
+    operators don't.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
     return spark
 
 
-#: Rows of a few numbers (under 40 bytes each) up to which a table is sent to all tasks.
-FEW = 500_000
+#: Rows of a few numbers (under 40 bytes each), or items of lists in rows, up to which a table is sent to all tasks.
+FEW = 300_000
 
 
-def few_to_all(df: DataFrame, most: int = FEW) -> DataFrame:
-    """df, a written table of narrow rows, with a broadcast hint if it has at most so many; beyond that joins shuffle both sides."""
-    return F.broadcast(df) if df.count() <= most else df
+def few_to_all(df: DataFrame, most: int = FEW, items: str | None = None) -> DataFrame:
+    """df, a written table of narrow rows, with a broadcast hint if it has at most so many rows, or items in a list column; beyond that joins shuffle both sides."""
+    n = df.count() if items is None else df.agg(F.coalesce(F.sum(F.size(items)), F.lit(0)) + F.count(F.lit(1))).first()[0]
+    return F.broadcast(df) if n <= most else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -105,7 +149,7 @@ def with_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make
                 else:
                     yield pa.RecordBatch.from_arrays([*part.columns[:held], *(x if isinstance(x, pa.Array) else pa.array(x) for x in new)], names=names)
 
-    return src.mapInArrow(run, schema)
+    return mapped(src, run, schema)
 
 
 def crc32_mod(column: str, modulus: int):
