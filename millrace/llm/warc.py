@@ -9,13 +9,14 @@ archives are plain (gzipped) WARC files on any file system that Spark can write.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shared_dir, written
+from millrace.llm.common import mapped, shared_dir, written
 
 ID = "urn:x-page:"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -41,8 +42,10 @@ def resolve(heads: DataFrame, least: int = 1000) -> DataFrame:
 
     Of rows with equal payloads of at least `least` bytes the one with the largest page_id is
     the response (all of them, if it is repeated), the others revisit it; rows without an id
-    revisit it too, or are responses where no row has an id. The responses are written first,
-    so that the join's sides are both dealt by digest and Spark can split a hot one.
+    revisit it too, or are responses where no row has an id. Payloads are equal when their
+    SHA-1 digests are. Which digests are repeated is found from headers alone and written; the
+    rows with their payloads are moved for that join only where Spark cannot broadcast those
+    digests, and it can then split a hot one.
     """
     first = written(responses(heads, least), "responses")
     out = heads.join(first, "payload_digest", "left")
@@ -66,28 +69,69 @@ def record(date: str = DATE) -> Column:
     )
 
 
-def write_archives(resolved: DataFrame, path: str | None = None, records_per_file: int = 1000) -> str:
-    """Writes gzipped archives of at most so many records each; gives their folder."""
+#: Payload bytes below which so many records go into one archive, so that none holds much more than a GB.
+SIZES = [(1 << 20, 1000), (1 << 24, 60), (None, 4)]
+
+
+def write_archives(resolved: DataFrame, path: str | None = None, largest: int | None = None) -> str:
+    """Writes gzipped archives, larger payloads in archives of fewer records (SIZES); gives their folder. largest: the largest payload's bytes, if known."""
     path = path or shared_dir(resolved.sparkSession, "warc")
-    resolved.select(record().alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    n, low = F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes")), 0
+    if largest is None:
+        largest = resolved.agg(F.max("payload_bytes")).first()[0]
+    largest = largest or 0
+    for high, records in SIZES:
+        if low <= largest:
+            some = resolved if high is None and not low else resolved.where((n >= low) & (n < high) if high else n >= low)
+            some.select(record().alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", records).text(f"{path}/from-{low}")
+        low = high
     return path
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Headers (names in lower case) and block of each record."""
-    at, view = 0, memoryview(data)
+def inflated(data: memoryview, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of gzip members one after the other, in pieces."""
+    at, engine = 0, zlib.decompressobj(31)
     while at < len(data):
-        top = data.index(b"\r\n\r\n", at)
-        lines = data[at:top].decode("utf-8", "replace").split("\r\n")
+        piece = engine.decompress(data[at : at + step])
+        at += step
+        if piece:
+            yield piece
+        while engine.eof and engine.unused_data:
+            rest, engine = engine.unused_data, zlib.decompressobj(31)
+            if piece := engine.decompress(rest):
+                yield piece
+    if not engine.eof:
+        raise ValueError("an archive ends within a gzip member")
+
+
+def parse(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record; one record is held at a time."""
+    held, base = bytearray(), 0
+    chunks = iter(chunks)
+
+    def more() -> bool:
+        piece = next(chunks, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while held or more():
+        while (top := held.find(b"\r\n\r\n")) < 0:
+            if not more():
+                raise ValueError(f"a header's end is missing after byte {base}")
+        lines = held[:top].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record at byte {base}")
         head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
         low = top + 4
         high = low + int(head["content-length"])
-        if data[high : high + 4] != b"\r\n\r\n":
-            raise ValueError(f"a record's end is missing at byte {high}")
-        yield head, view[low:high]
-        at = high + 4
+        while len(held) < high + 4 and more():
+            pass
+        if held[high : high + 4] != b"\r\n\r\n":
+            raise ValueError(f"a record's end is missing at byte {base + high}")
+        block = bytes(memoryview(held)[low:high])
+        del held[: high + 4]
+        base += high + 4
+        yield head, block
 
 
 RECORDS = "page_id long, record_type string, payload_digest string, stored_bytes long, stored_digest string, refers_to long, url string"
@@ -101,20 +145,17 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         return int(digits) if digits else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         for batch in batches:
             for k in range(batch.num_rows):
-                data, out = zlib.decompress(batch.column(0).slice(k, 1)[0].as_buffer(), 31), []
-                for head, block in parse(data):
-                    raw = bytes(block)
+                out = []
+                for head, raw in parse(inflated(memoryview(batch.column(0)[k].as_buffer()))):
                     payload = memoryview(raw)[raw.index(b"\r\n\r\n") + 4 :]
                     out.append((number(head["warc-record-id"]), head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:"), len(payload), hashlib.sha1(payload).hexdigest(), number(head.get("warc-refers-to")), head.get("warc-target-uri")))
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, RECORDS)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
+    return mapped(files, run, RECORDS)
 
 
 def resolve_archives(records: DataFrame) -> DataFrame:
@@ -138,7 +179,11 @@ def deduplicated(pages: DataFrame, path: str | None = None, *, least: int = 1000
 
     Null payloads are empty and stored in full, as all below `least` bytes. A null url leaves
     its header out. An empty table makes no record. Repeated rows are records of their own.
+    A very long payload is one record, in an archive of a few; a reading task holds one
+    record and the compressed archive.
     """
     spark = pages.sparkSession
-    path = write_archives(resolve(headers(pages), least), path)
+    heads = headers(pages)
+    largest = heads.agg(F.max("payload_bytes")).first()[0]  # of column sizes alone, without digests
+    path = write_archives(resolve(heads, least), path, largest)
     return resolve_archives(written(read_archives(spark, path), "records"))
