@@ -42,12 +42,13 @@ def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if n == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     rank, distinct = dense(np.asarray(ids, np.int64))
-    levels, width = [rank], 1
+    small = np.int32 if n < 1 << 31 else np.int64
+    levels, width = [rank.astype(small)], 1
     while distinct < n:
         tail = np.zeros(n, np.int64)
         tail[: max(0, n - width)] = rank[width:] + 1  # 0: past the end, before all else
         rank, distinct = dense(rank * (n + 1) + tail)
-        levels.append(rank)
+        levels.append(rank.astype(small))
         width *= 2
     order = np.empty(n, np.int64)
     order[rank] = np.arange(n)
@@ -113,7 +114,7 @@ def measure(text: bytes | None, min_repeat: int = 8) -> tuple:
     ids = np.fromiter([ids_of.setdefault(w, len(ids_of)) for w in words], np.int64, len(words))
     in_windows, any_repeat = repeated_windows(ids)
     spans, covered, longest = [], 0, 0
-    if any_repeat:
+    if any_repeat or min_repeat < 3:  # longer repeats hold a window of three words
         starts, ends, longest = maximal_repeats(ids, min_repeat)
         if len(starts):
             upto = np.append(0, np.cumsum([len(w.decode("utf-8", "replace")) for w in words]))
