@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import shared_dir
+from millrace.llm.common import mapped, shared_dir
 
 # Template: <turn role="...">\n text \n</turn>\n. In roles and texts these are replaced:
 ESCAPES = {"\\": "\\\\", "<": "\\l", '"': "\\q"}
@@ -83,11 +84,10 @@ def mask(bounds: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray,
 
 @functools.cache
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -139,7 +139,7 @@ def format_conversations(df: DataFrame, tokenizer_path: str, *, target: str = "a
         if turns is not None:
             yield finish([*ready, (current, turns)])
 
-    return rows.mapInArrow(run, FORMATTED)
+    return mapped(rows, run, FORMATTED)
 
 
 READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"
@@ -151,15 +151,20 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for conv, text, ids, hit, spans in zip(*[c.to_pylist() for c in batch.columns]):
+            ids, hit = batch.column(2), batch.column(3)
+            n_ids, n_hit = (np.asarray(pa.compute.fill_null(pa.compute.list_value_length(c), 0)) for c in (ids, hit))
+            under = np.append(0, np.cumsum(np.asarray(hit.flatten().cast(pa.int8()), np.int64)))
+            ends = np.cumsum(n_hit)
+            n_loss = under[ends] - under[ends - n_hit]
+            for conv, text, spans, n, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4).to_pylist(), n_ids.tolist(), n_loss.tolist()):
                 turns = parse(text)
                 said = "".join(f"{role}\n{body}\n" for role, body in turns)
                 loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
-                out.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), len(ids), sum(hit)))
+                out.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), n, m))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 8, kinds)], names=[x.split()[0] for x in READ_BACK.split(", ")])
 
-    return formatted.select(*FORMATTED.names).mapInArrow(run, READ_BACK)
+    return mapped(formatted.select(*FORMATTED.names), run, READ_BACK)
 
 
 def write_formatted(df: DataFrame, tokenizer_path: str, path: str | None = None) -> DataFrame:
