@@ -116,8 +116,8 @@ def score(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] |
 
     The nearest `neighbours` labelled vectors vote with weight cosine**8; `shrink` votes go
     to the labels' mean, which texts far from all get. Null and empty texts have only their
-    length as a feature and are scored by it. Repeated rows get the same score each; ties
-    among neighbours are settled by the labelled order. Columns of df named like a result
+    length as a feature and are scored by it. Repeated rows get the same score each. Of
+    neighbours that tie for the last place any vote, the same ones in every run. Columns of df named like a result
     give way to it.
     """
     spark = df.sparkSession

@@ -24,22 +24,34 @@ from millrace.llm.common import pieces, with_columns
 BUCKETS = 1 << 12
 #: Texts in one matrix of counts, so that memory is bounded for very short texts too.
 ROWS = 1024
+#: Bytes of a text whose trigrams are counted at once.
+PART = 1 << 21
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def trigram_counts(texts: list[bytes], buckets: int = BUCKETS) -> np.ndarray:
-    """[text, bucket] counts of hashed byte trigrams of lower-cased texts, with a space before and after."""
+    """[text, bucket] counts of hashed byte trigrams of lower-cased texts, with a space before and after; long texts go in parts that share two bytes."""
     padded = [b" " + t + b" " for t in texts]
+    if any(len(p) > PART for p in padded):
+        parts = [(k, p[low : low + PART + 2]) for k, p in enumerate(padded) for low in range(0, max(1, len(p) - 2), PART)]
+        out = np.zeros((len(texts), buckets), np.int64)
+        for k, part in parts:
+            out[k] += _counts([part], buckets)[0]
+        return out
+    return _counts(padded, buckets)
+
+
+def _counts(padded: list[bytes], buckets: int) -> np.ndarray:
     sizes = np.array([len(p) for p in padded], np.int64)
     data = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint32)
     gram = (data[:-2] << np.uint32(16)) | (data[1:-1] << np.uint32(8)) | data[2:]
     slot = (gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - int(buckets).bit_length() + 1)
     ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(texts)), sizes)[:-2]
+    owner = np.repeat(np.arange(len(padded)), sizes)[:-2]
     whole = np.ones(len(gram), bool)  # not across two texts
     cross = np.concatenate([ends[:-1] - 2, ends[:-1] - 1]) if len(ends) > 1 else np.empty(0, np.int64)
     whole[cross[(cross >= 0) & (cross < len(gram))]] = False
-    return np.bincount((owner * buckets + slot)[whole], minlength=len(texts) * buckets).reshape(len(texts), buckets)
+    return np.bincount((owner * buckets + slot)[whole], minlength=len(padded) * buckets).reshape(len(padded), buckets)
 
 
 def lowered(text: bytes | None) -> bytes:
