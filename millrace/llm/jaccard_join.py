@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import few_to_all, mix64, pieces, written
-from millrace.llm.links import SKETCH, linked_components, shared_buckets, sketches
-from millrace.llm.shingles import common, set_ids, sets, text_sets, word_hashes
+from millrace.llm.common import Recent, discard, few_to_all, mapped, mix64, pieces, written
+from millrace.llm.links import linked_components, shared_buckets
+from millrace.llm.shingles import set_ids, sets, word_hashes
 
 EMPTY = np.uint64(0x5851F42D4C957F2D)
 
@@ -119,15 +119,14 @@ def signatures(h: np.ndarray, ident: int, scheme: Band, number: int, need: int,
     return np.concatenate(sig).view(np.int64), np.concatenate(probe)
 
 
-def text_rows(texts: list[bytes | None], k: int, percent: int, schemes: list[Band], seen: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """sig, id and probe of the sets of some texts, leaving out sets that were seen before."""
+def text_rows(texts: list[bytes | None], k: int, percent: int, schemes: list[Band], recent: Recent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """sig, id and probe of the sets of some texts, leaving out sets that were met lately."""
     h, bounds, _ = word_hashes([t or b"" for t in texts])
     h, _, cut = sets(h, np.repeat(np.arange(len(texts)), np.diff(bounds)), k)
     out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))]
-    for j, ident in enumerate(set_ids(h, cut).tolist()):
-        if ident in seen:
-            continue
-        seen.add(ident)
+    ids = set_ids(h, cut)
+    for j in np.flatnonzero(recent.fresh(ids)).tolist():
+        ident = int(ids[j])
         own = h[cut[j] : cut[j + 1]]
         n = len(own)
         b = int(band_of(n, schemes))
@@ -152,7 +151,7 @@ def members(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 n[groups], ident[groups], has[groups] = np.diff(cut), set_ids(h, cut), True
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ident, mask=~has), pa.array(n)], names=["doc", "id", "n"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc long, id long, n long")
+    return mapped(df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")), run, "doc long, id long, n long")
 
 
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 3, percent: int = 90, plan=allocate) -> DataFrame:
@@ -164,7 +163,6 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     null ids neither (they get null as component). Rows with equal sets are one class, shown
     by their least id; repeated ids are one node. Repeated rows each come out.
     """
-    spark = df.sparkSession
     own = written(members(df, id_col, text_col, k), "members")
     named = own.where("id IS NOT NULL AND doc IS NOT NULL")
     classes = written(named.groupBy("id").agg(F.min("doc").alias("least"), F.max("n").alias("n")), "classes")
@@ -172,50 +170,26 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     largest = classes.agg(F.max("n")).first()[0] or 0
     schemes = bands(largest, percent, {2 ** int(p) + 2 ** int(p) // 2: c for p, c in sizes.items()}, plan)
     source = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc IS NOT NULL")
-    unique = named.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()  # else texts of repeated ids are shuffled to drop them
+    unique = named.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()  # else sets of repeated ids are shuffled to drop them
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        recent = Recent()
         for batch in batches:
             for _, texts in pieces(batch, 0):
-                sig, ident, probe = text_rows(texts, k, percent, schemes, seen)
+                sig, ident, probe = text_rows(texts, k, percent, schemes, recent)
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ident), pa.array(probe)], names=["sig", "id", "probe"])
 
     def content(ids: DataFrame) -> DataFrame:
         wanted = few_to_all(written(classes.join(ids, "id").select("id", F.col("least").alias("doc")), "wanted"))
-        found = source.join(wanted, "doc").select("id", "text")
-        return found if unique else found.dropDuplicates(["id"])
+        return source.join(wanted, "doc").select("id", "text")
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, left in pieces(batch, 2):
-                right = part.column(3).cast(pa.large_binary()).to_pylist()
-                both = text_sets([*left, *right], k)
-                good = []
-                for a, b in zip(both[: len(left)], both[len(left) :]):
-                    shared = common(a, b)
-                    good.append(100 * shared >= percent * (len(a) + len(b) - shared))
-                yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    def sketch(texts: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, values in pieces(batch, 1):
-                    own = text_sets(values, k)
-                    marks = sketches(np.concatenate(own), np.append(0, np.cumsum([len(s) for s in own])))
-                    cols = [part.column(0), pa.array([len(s) for s in own], pa.int64()), *(pa.array(marks[:, j]) for j in range(marks.shape[1]))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["id", "n", *(f"s{j}" for j in range(marks.shape[1]))])
-
-        return texts.select("id", "text").mapInArrow(run, f"id long, n long, {SKETCH}")
-
-    buckets = shared_buckets(source.select("text").mapInArrow(index, "sig long, id long, probe boolean"))
-    verify = lambda pairs: pairs.select("a", "b", "text_a", "text_b").mapInArrow(alike, "a long, b long")
-    apart = lambda n, m: F.floor((100 - percent) * (n + m) / (100 + percent))
-    joined = linked_components(buckets, content, verify, sketch, apart)
+    buckets = shared_buckets(mapped(source.select("text"), index, "sig long, id long, probe boolean"))
+    joined = linked_components(buckets, content, k, percent, repeated=not unique)
     # Component ids of sets are hashes; documents want the least doc in the component.
     least = classes.join(joined, "id", "left").select("id", "least", F.coalesce("component", "id").alias("c"))
     top = written(least.groupBy("c").agg(F.min("least").alias("component_id")), "tops")
     per_set = written(least.join(top, "c").select("id", "component_id"), "sets")
+    discard(classes, joined, top)
     found = own.join(per_set, "id", "left")
     return found.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNull(), None).otherwise(F.coalesce("component_id", "doc")).alias("component_id"))
 

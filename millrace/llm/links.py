@@ -1,10 +1,14 @@
 """From buckets of similar items to components, without writing out all pairs of a bucket.
 
 A bucket's members are first compared with one member of it, the hub. What is linked is
-contracted to components, and buckets whose members are all of one component are done. The
-rest get other hubs each round. When hubs no longer help, all pairs of different
-components in what is left are compared, after an exact bound on their difference has
-ruled out most. Every link that could join two components is so tested.
+contracted to components, and buckets whose members are all of one component are done. Where
+the pairs in the rest are many more than its rows, it may be dealt into narrower buckets by
+longer keys; while they still are, it gets other hubs each round: the member that shares the
+most places with others, which is the centre where copies of one original were each changed,
+and ones at random. Last, pairs of different components in a bucket are compared.
+
+An exact bound on the difference of two sets, from narrow sketches, is asked before any set
+itself is moved.
 """
 
 from __future__ import annotations
@@ -16,20 +20,45 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import discard, mapped, pieces, written
+from millrace.llm.shingles import common, set_ids, sets, word_hashes
 
 FIRST = 12  # buckets of a set that are looked at to take a pair once
-HUBS = 2  # in a bucket and round, after the first
+ROUNDS = 4  # of narrower buckets and hubs, at most
+FEW_PAIRS, FEW_PER_ROW = 100_000, 4  # pairs in buckets, in all or for each row, that are compared without more rounds
 WORDS = 8  # of 64 bits in a parity sketch
-SKETCH = ", ".join(f"s{k} long" for k in range(WORDS))
+SKETCH = ["n", *(f"s{k}" for k in range(WORDS))]
+ITEMS = "id long, " + ", ".join(f"{c} long" for c in SKETCH) + ", items binary"
 
 
 def sketches(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """[set, word] parity sketches: each item flips one of 512 bits, so that two sketches differ in at most as many bits as their sets in items."""
-    out = np.zeros((len(cut) - 1, WORDS * 64), np.uint8)
+    out = np.zeros((len(cut) - 1) * WORDS * 64, np.uint8)
     owner = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-    np.bitwise_xor.at(out, (owner, (h >> np.uint64(20)) % np.uint64(WORDS * 64)), 1)
-    return np.packbits(out, axis=1, bitorder="little").view(np.int64)
+    np.bitwise_xor.at(out, owner * (WORDS * 64) + ((h >> np.uint64(20)) % np.uint64(WORDS * 64)).astype(np.int64), np.uint8(1))
+    return np.packbits(out.reshape(-1, WORDS * 64), axis=1, bitorder="little").view(np.int64)
+
+
+def described(texts: DataFrame, k: int) -> DataFrame:
+    """id, n, sketch and sorted items (64-bit hashes) of the k-word shingle set of each text, of rows id, text; a text whose set has not that id is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, values in pieces(batch, 1):
+                h, bounds, _ = word_hashes([v or b"" for v in values])
+                h, groups, cut = sets(h, np.repeat(np.arange(len(values)), np.diff(bounds)), k)
+                ids = set_ids(h, cut)
+                good = np.flatnonzero(ids == np.asarray(part.column(0))[groups])
+                marks, raw = sketches(h, cut)[good], h.astype("<u8").tobytes()
+                items = pa.array([raw[8 * a : 8 * b] for a, b in zip(cut[good].tolist(), cut[good + 1].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[good]), pa.array(np.diff(cut)[good]), *(pa.array(marks[:, j]) for j in range(WORDS)), items], names=["id", *SKETCH, "items"])
+
+    return mapped(texts.select("id", "text"), run, ITEMS)
+
+
+def stored_sets(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Items of several stored sets end to end, and their bounds."""
+    return np.frombuffer(b"".join(values), "<u8").astype(np.uint64), np.append(0, np.cumsum([len(v) // 8 for v in values]))
 
 
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
@@ -38,35 +67,37 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     Each round every id takes its least neighbour, twice followed, and the edges between what
     results are carried on. Only minima are gathered for an id, whatever its degree.
     """
-    edges = written(edges.select("a", "b"), name)
-    found = None
-    while True:
-        both = edges.union(edges.select("b", "a")).where("a <> b")
-        parent = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to")), "parents")
-        if parent.isEmpty():
-            break
+    edges = written(edges.select("a", "b").where("a <> b").distinct(), name)
+    rounds: list[DataFrame] = []
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        to = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to"))
         for _ in range(2):
-            up = parent.select(F.col("id").alias("to"), F.col("to").alias("up"))
-            parent = written(parent.join(up, "to", "left").select("id", F.coalesce("up", "to").alias("to")), "parents")
-        if found is None:
-            found = parent
-        else:
-            up = parent.select(F.col("id").alias("to"), F.col("to").alias("up"))
-            found = written(found.join(up, "to", "left").select("id", F.coalesce("up", "to").alias("to")), "found")
-        pa_, pb = parent.select(F.col("id").alias("a"), F.col("to").alias("x")), parent.select(F.col("id").alias("b"), F.col("to").alias("y"))
-        edges = written(edges.join(pa_, "a", "left").join(pb, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a <> b").distinct(), name)
-    if found is None:
+            up = to.select(F.col("id").alias("to"), F.col("to").alias("up"))
+            to = to.join(up, "to").select("id", F.col("up").alias("to"))
+        rounds.append(written(to, "parents"))
+        x, y = (rounds[-1].select(F.col("id").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab")
+        rest = written(edges.join(x, "a").join(y, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct(), name)
+        discard(edges)
+        edges = rest
+    if not rounds:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))  # no rows
+    found = rounds[0]
+    for later in rounds[1:]:
+        up = later.select(F.col("id").alias("to"), F.col("to").alias("up"))
+        found = found.join(up, "to", "left").select("id", F.coalesce("up", "to").alias("to"))
     return found.select("id", F.col("to").alias("component"))
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """Rows sig, id, probe of buckets that have two different ids or more and a probe, with the bucket's least id as hub.
+    """Rows sig, id, probe (without that column: all probe) of buckets that have two different ids or more and a probe, with the bucket's
+    least probing id as hub.
 
     Rows are sorted by bucket on disk if need be and streamed: a task holds one batch, and
     for a bucket its hub, its first row and whether a probe was seen.
     """
-    rows = rows.repartition("sig").sortWithinPartitions(F.col("sig"), F.col("probe").desc(), F.col("id"))
+    some = "probe" in rows.columns
+    rows = rows.repartition("sig").sortWithinPartitions("sig", *([F.col("probe").desc()] if some else []), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shared(sig, ids, probe):
@@ -83,7 +114,7 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
         open_hub = None
         for batch in batches:
             sig, ids = (np.asarray(batch.column(k)) for k in range(2))
-            probe = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
+            probe = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool) if some else np.ones(len(sig), bool)
             if open_hub is not None:  # the bucket that goes on from the last batch
                 n = int(np.searchsorted(sig, open_hub[0], "right"))
                 yield pa.RecordBatch.from_arrays([pa.array(sig[:n]), pa.array(ids[:n]), pa.array(np.full(n, open_hub[1]))], names=["sig", "id", "hub"])
@@ -109,60 +140,112 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
         if hold is not None and len(hold[0]):
             yield shared(*hold)
 
-    return rows.mapInArrow(run, "sig long, id long, hub long")
+    return mapped(rows, run, "sig long, id long, hub long")
 
 
-def linked_components(buckets: DataFrame, content: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], sketch: Callable[[DataFrame], DataFrame], most_apart: Callable[[Column, Column], Column], rounds: int = 2) -> DataFrame:
-    """id and component of all ids that a link joins to another.
+def _verify(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, left in pieces(batch, 2):
+                good = []
+                for a, b in zip(left, part.column(3).to_pylist()):
+                    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+                    shared = common(x, y)
+                    good.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    buckets: sig, id, hub, from shared_buckets. content(ids): id and text of these ids.
-    verify(pairs with a, b, text_a, text_b): the linked pairs a, b. sketch(texts): id, n and
-    s0.. of each text. most_apart(n_a, n_b): the items two linked sets may differ in.
-    """
-    buckets = written(buckets, "buckets")
-    texts = written(content(buckets.select("id").distinct()), "candidates")
+    return run
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        return verify(pairs.join(a, "a").join(b, "b"))
 
-    pairs = buckets.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    links = written(tested(pairs), "links")
-    done = written(components(links), "components")
+def linked_components(buckets: DataFrame, content: Callable[[DataFrame], DataFrame], k: int, percent: int, rekey: Callable[[DataFrame], DataFrame] | None = None, repeated: bool = False) -> DataFrame:
+    """id and component of all ids that a link joins to another: a Jaccard similarity of percent/100 of their k-word shingle sets.
 
-    def open_rows() -> DataFrame:
-        """Rows of buckets with more than one component."""
-        named = buckets.select("sig", "id").join(done, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-        mixed = written(named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig"), "mixed")
+    buckets: sig, id, hub, from shared_buckets. content(ids): id and text of these ids.
+    rekey(sets of ITEMS): sig and id of narrower buckets, in which linked sets still meet.
+    repeated: content() may give an id twice.
+    """
+    buckets = written(buckets, "buckets")
+    sets_ = described(content(buckets.select("id").distinct()), k)
+    items = written(sets_.dropDuplicates(["id"]) if repeated else sets_, "items")
+
+    def close(side_a: str = "a", side_b: str = "b") -> Column:
+        n, m = F.col(f"n_{side_a}"), F.col(f"n_{side_b}")
+        most = F.floor((100 - percent) * (n + m) / (100 + percent))
+        apart = sum(F.bit_count(F.col(f"{c}_{side_a}").bitwiseXOR(F.col(f"{c}_{side_b}"))) for c in SKETCH[1:])
+        return (F.abs(n - m) <= most) & (apart <= most)
+
+    def side(x: str, *columns: str) -> DataFrame:
+        return items.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+
+    def tested(pairs: DataFrame, sifted: bool = False) -> DataFrame:
+        """a, b: the components of linked pairs of rows a, b, c_a, c_b."""
+        if not sifted:
+            pairs = pairs.join(side("a", *SKETCH), "a").join(side("b", *SKETCH), "b").where(close())
+        both = pairs.select("a", "b", "c_a", "c_b").join(side("b", "items"), "b").join(side("a", "items"), "a")
+        return mapped(both.select("c_a", "c_b", "items_a", "items_b"), _verify(percent), "a long, b long")
+
+    def open_rows(rows: DataFrame, to: DataFrame, key: str) -> DataFrame:
+        """sig, id, component of buckets with more than one component; to: what key (id or component) now belongs to."""
+        to = to.select(F.col("id").alias(key), F.col("component").alias("up"))
+        named = rows.join(to, key, "left").select("sig", "id", F.coalesce("up", key).alias("component"))
+        mixed = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
         return written(named.join(mixed, "sig", "left_semi"), "open")
 
-    rest = open_rows()
-    for k in range(rounds):
-        if rest.isEmpty():
+    def joined(done: DataFrame, new: DataFrame) -> DataFrame:
+        """done, and what new says of components and of ids that are their own component."""
+        up = new.select(F.col("id").alias("component"), F.col("component").alias("up"))
+        moved = done.join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component"))
+        return written(moved.unionByName(new.join(done, "id", "left_anti")), "components")
+
+    def shares(rest: DataFrame) -> DataFrame:
+        """For each bucket its largest component, its rows and the pairs of rows of different components."""
+        by = rest.groupBy("sig", "component").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        found = by.groupBy("sig").agg(F.max_by("component", F.struct("c", "component")).alias("top"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        return found.select("sig", "top", "n", ((F.col("n") * F.col("n") - F.col("q")) / 2).alias("pairs"))
+
+    def crowded(rest: DataFrame) -> bool:
+        rows, pairs = shares(rest).agg(F.sum("n"), F.sum("pairs")).first()
+        return (pairs or 0) > max(FEW_PAIRS, FEW_PER_ROW * (rows or 0))
+
+    pairs = buckets.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("id").alias("c_a"), F.col("hub").alias("c_b")).distinct()
+    done = written(components(tested(pairs)), "components")
+    rest = open_rows(buckets.select("sig", "id"), done, "id")
+    discard(buckets)
+    narrow = False
+    for turn in range(ROUNDS):
+        if not crowded(rest):
             break
-        slot = F.pmod(F.xxhash64("id", F.lit(-k)), F.lit(HUBS))
-        hubs = written(rest.groupBy("sig", slot.alias("slot")).agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(k))).alias("hub")), "hubs")
-        pairs = rest.join(hubs, "sig").where("component <> hub.component").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
-        new = written(tested(pairs), "links")
+        if rekey is not None and not narrow:
+            old, narrow = rest, True
+            rest = open_rows(shared_buckets(rekey(items.join(rest.select("id").distinct(), "id"))).select("sig", "id"), done, "id")
+            discard(old)
+            continue
+        own, rows = F.struct("id", "component"), rest
+        picked = F.max_by(own, F.xxhash64("id", F.lit(turn)))
+        if turn <= narrow:  # the first round with hubs
+            size = rest.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
+            rows = rest.join(rest.join(size, "sig").groupBy("id").agg(F.sum("size").alias("crowd")), "id")
+            picked = F.max_by(own, F.struct("crowd", "id"))
+        hubs = rows.groupBy("sig").agg(F.array(picked, F.min_by(own, F.xxhash64("id", F.lit(turn)))).alias("hubs"))
+        pairs = rest.join(hubs, "sig").select("id", "component", F.explode("hubs").alias("hub")).where("component <> hub.component")
+        pairs = pairs.select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("component").alias("c_a"), F.col("hub.component").alias("c_b")).distinct()
+        new = written(components(tested(pairs)), "new")
         if new.isEmpty():
             break
-        links = links.unionByName(new)
-        done = written(components(links), "components")
-        rest = open_rows()
+        done, old = joined(done, new), rest
+        rest = open_rows(rest, new, "component")
+        discard(old)
     if not rest.isEmpty():
-        marks = written(sketch(rest.select("id").distinct().join(texts, "id")), "sketches")
-        names = ["n", *(f"s{k}" for k in range(WORDS))]
-        every = rest.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRST).alias("sigs"))  # of one set
-        marks = written(marks.join(every, "id"), "marks")
-        side = lambda x: written(rest.join(marks, "id").select("sig", F.col("sigs").alias(f"sigs_{x}"), F.col("id").alias(x), F.col("component").alias(f"c_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in names]), "sides")
-        apart = sum(F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(WORDS))
-        most = most_apart(F.col("n_a"), F.col("n_b"))
-        near = (F.abs(F.col("n_a") - F.col("n_b")) <= most) & (apart <= most)
-        pairs = side("a").join(side("b"), "sig").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near)
+        every = rest.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, FIRST).alias("sigs"))  # of one set
+        marks = written(items.select("id", *SKETCH).join(every, "id"), "marks")
+        half = lambda x: rest.join(marks, "id").select("sig", F.col("sigs").alias(f"sigs_{x}"), F.col("id").alias(x), F.col("component").alias(f"c_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in SKETCH])
+        # A bucket's largest component is on one side only: few rows beside a large one make few pairs.
+        outside = half("a").join(shares(rest).select("sig", "top"), "sig").where("c_a <> top")
+        pairs = outside.join(half("b"), "sig").where((F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("top")) | (F.col("a") < F.col("b"))) & close())
         # Of buckets that a pair shares among the first ones of both, it is taken from the first only.
         pairs = pairs.where(F.coalesce(F.col("sig") <= F.array_min(F.array_intersect("sigs_a", "sigs_b")), F.lit(True)))
-        new = written(tested(pairs.select("a", "b").distinct()), "links")
+        new = written(components(tested(pairs.select("a", "b", "c_a", "c_b").distinct(), sifted=True)), "new")
         if not new.isEmpty():
-            done = written(components(links.unionByName(new)), "components")
+            done = joined(done, new)
+    discard(items, rest)
     return done

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, chat, decontaminate, jaccard_join, knn_quality, langid, paragraphs, repetition, token_store, warc
-from millrace.llm.common import crc32_mod
+from millrace.llm.common import crc32_mod, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = paragraphs.repeats(table(spark, sf_dir, "documents"))
+    found = paragraphs.cuts(written(paragraphs.repeats(table(spark, sf_dir, "documents")), "repeats"))
     return found.withColumnRenamed("doc", "doc_id")
 
 
@@ -65,7 +65,8 @@ def op9_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string"))
-    return chat.read_back(chat.write_formatted(rows, public_tokenizers.path("byte_bpe_50k.json")))
+    found = chat.read_back(chat.write_formatted(rows, public_tokenizers.path("byte_bpe_50k.json")))
+    return found.drop("n_tokens", "loss_tokens")
 
 
 def op10_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +79,17 @@ def op10_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_quality_rules, op3_token_store, op4_byte_bpe, op5_paragraph_dedup, op6_jaccard_join, op7_template_decontamination, op8_language_codes, op9_chat_masks, op10_quality_neighbours)}
 
+_ESCAPED = "2 * length({0}) - length(replace(replace(replace({0}, '\\', ''), '<', ''), '\"', ''))"  # characters once \\, < and \" are two each
+
 ORACLE_SQL = {
+    "op9_chat_masks": f"""
+        WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations
+                   UNION ALL SELECT -7, k, who, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) t(k, who))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY turn NULLS FIRST, role, body)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(body) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN body END, '' ORDER BY turn NULLS FIRST, role, body), '')) AS loss_sha256,
+               CAST(sum(24 + {_ESCAPED.format('role')} + {_ESCAPED.format('body')}) AS BIGINT) AS formatted_chars
+        FROM r GROUP BY conv_id""",
     "op1_warc_revisits": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS b, sha1(coalesce(html, '')) AS d FROM pages),
              g AS (SELECT d, max(page_id) AS top FROM p WHERE b >= 1000 GROUP BY d)
