@@ -258,7 +258,21 @@ def digests(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.md5("text").alias("md5"), text.sha256("text").alias("sha256"))
 
 
-@query("checksums")
+def _checksum_sql():
+    """The CRC as a fold over bytes, with its table made by the polynomial."""
+    steps = []
+    for i in range(256):
+        c = i << 24
+        for _ in range(8):
+            c = ((c << 1) ^ (0x04C11DB7 if c & 0x80000000 else 0)) & 0xFFFFFFFF
+        steps.append(c)
+    byte = "list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+    size = "CASE WHEN n = 0 THEN [] WHEN n < 256 THEN [n] WHEN n < 65536 THEN [n & 255, n >> 8] ELSE [n & 255, (n >> 8) & 255, n >> 16] END"
+    fold = f"list_reduce([0::BIGINT] || {byte} || {size}, lambda acc, x: xor((acc << 8) & 4294967295, t[xor(acc >> 24, x) + 1]))"
+    return f"SELECT page_id, 4294967295 - {fold} AS cksum, CAST(length(url) AS INT) AS length FROM (SELECT page_id, url, hex(encode(url)) AS h, CAST(octet_length(encode(url)) AS BIGINT) AS n, {steps}::BIGINT[] AS t FROM pages WHERE url IS NOT NULL) UNION ALL SELECT page_id, NULL, NULL FROM pages WHERE url IS NULL"
+
+
+@query("checksums", _checksum_sql())
 def checksums(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.cksum("url").alias("cksum"), F.length("url").alias("length"))
 
