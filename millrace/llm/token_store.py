@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import json
 import os
 from collections.abc import Iterator
 
@@ -20,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc32_of, mix64, pieces, shared_dir, shuffle_partitions, small_batches
+from millrace.llm.common import crc32_of, mapped, mix64, pieces, shared_dir, shuffle_partitions
 
 #: Documents whose ids train the dictionary, those of the least hashed ids; the bound of what one task gets.
 SAMPLE = 1500
+#: New stretches that are encoded as one text.
+TOGETHER = 50
 DICTIONARY_BYTES = 64 << 10
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 LEVEL = 3
@@ -32,6 +36,7 @@ END = 0
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
+_SHORT = (mix64(np.arange(1001, 1257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _SOLID = np.ones(256, bool)
 _SOLID[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = False
 _WIDE_LEAD = np.zeros(256, bool)
@@ -47,7 +52,10 @@ def stretch_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     sure = _SOLID[left] & _SOLID[right] & ~_WIDE_LEAD[right]
     wide = sure & (left >= 0x80)
     sure &= ~(wide & (_WIDE_LEAD[data[at - 2]] | _WIDE_LEAD[data[at - 3]]))
-    return np.union1d(text_starts[text_starts < len(data)], at[sure])
+    marks = np.zeros(len(data), bool)
+    marks[text_starts[text_starts < len(data)]] = True
+    marks[at[sure]] = True
+    return np.flatnonzero(marks)
 
 
 @functools.cache
@@ -57,58 +65,105 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def splits_at_spaces(path: str) -> bool:
+    """Whether the file's tokenizer ends a match at each single space inside text: the byte-level split with its own pattern, and no normalizer."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    before = made.get("pre_tokenizer") or {}
+    return not made.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+
+
 class Encoder:
     """Texts to ids by a tokenizer file, each different stretch of text encoded by the library once.
 
-    Stretches are known by a 64-bit hash in an open-addressing table of arrays, which is emptied
-    when 60 % full: memory is bounded, and no Python object is kept for a stretch.
+    Stretches are known by a 64-bit and a 32-bit hash in an open-addressing table of arrays,
+    which is emptied when 60 % full and widened only for a text with more stretches than that:
+    memory is bounded, and no Python object is kept for a stretch. Texts with the string of an
+    added token go to the library whole, as do all texts of a tokenizer that does not split at
+    single spaces.
     """
 
-    def __init__(self, path: str, bits: int = 21):
+    def __init__(self, path: str, bits: int = 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.bits = Tokenizer.from_file(path), bits
-        self.tokenizer.encode_special_tokens = True
-        self.clear()
+        self.tokenizer, self.least_bits = Tokenizer.from_file(path), bits
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.by_stretch = splits_at_spaces(path)
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.clear(bits)
 
-    def clear(self) -> None:
-        self.keys, self.entry, self.used = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32), 0
+    def clear(self, bits: int) -> None:
+        self.bits = bits
+        self.keys, self.checks, self.entry, self.used = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.int32), 0
         self.ids, self.bounds = np.empty(1 << 16, "<u4"), np.zeros(1 << 12, np.int64)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Entry of each hash, -1 where it has none."""
+    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Entry of each pair of hashes, -1 where it has none."""
         slot, out, todo = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.full(len(h), -1, np.int64), np.arange(len(h))
         while len(todo):
-            key = self.keys[slot[todo]]
-            hit = key == h[todo]
-            out[todo[hit]] = self.entry[slot[todo[hit]]]
+            at = slot[todo]
+            key = self.keys[at]
+            hit = (key == h[todo]) & (self.checks[at] == check[todo])
+            out[todo[hit]] = self.entry[at[hit]]
             todo = todo[~hit & (key != 0)]
             slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
-        """h: different hashes that have no entry."""
-        sizes = np.array([len(x) for x in ids], np.int64)
+    def add(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """h, check: different pairs that have no entry; there must be places for all. ids: those of each, end to end."""
         n, top = self.used, int(self.bounds[self.used])
         while top + sizes.sum() > len(self.ids):
             self.ids = np.append(self.ids, np.empty_like(self.ids))
         while n + len(h) + 1 > len(self.bounds):
             self.bounds = np.append(self.bounds, np.empty_like(self.bounds))
-        self.ids[top : top + int(sizes.sum())] = np.fromiter((i for x in ids for i in x), "<u4", int(sizes.sum()))
+        self.ids[top : top + len(ids)] = ids
         self.bounds[n + 1 : n + 1 + len(h)] = top + np.cumsum(sizes)
         slot, todo = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(h))
         while len(todo):
             free = todo[self.keys[slot[todo]] == 0]
             got = free[np.unique(slot[free], return_index=True)[1]]
-            self.keys[slot[got]], self.entry[slot[got]] = h[got], n + got
+            self.keys[slot[got]], self.checks[slot[got]], self.entry[slot[got]] = h[got], check[got], n + got
             left = np.ones(len(h), bool)
             left[got] = False
             todo = todo[left[todo]]
             slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
         self.used += len(h)
 
+    def library(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
+    def learn(self, h: np.ndarray, check: np.ndarray, stretches: list[bytes], plain: np.ndarray) -> None:
+        """Encodes stretches that have no entry. plain: those of a space and characters that are surely not white space;
+        a line feed between such ones is a match of its own, so that some dozen go to the library as one text."""
+        if plain.any() and len(self.feed) == 1:
+            at = np.flatnonzero(plain)
+            groups = [b"\n".join([stretches[k] for k in at[low : low + TOGETHER].tolist()]) for low in range(0, len(at), TOGETHER)]
+            found = self.library(groups)
+            ids = np.fromiter(itertools.chain.from_iterable(x + self.feed for x in found), "<u4", sum(map(len, found)) + len(found))
+            ends = np.flatnonzero(ids == self.feed[0])
+            if len(ends) != len(at):
+                raise ValueError("a line feed was joined with a stretch")
+            self.add(h[at], check[at], np.delete(ids, ends), np.diff(np.append(-1, ends)) - 1)
+        other = np.flatnonzero(~plain) if len(self.feed) == 1 else np.arange(len(h))
+        if len(other):
+            found = self.library([stretches[k] for k in other.tolist()])
+            sizes = np.array([len(x) for x in found], np.int64)
+            self.add(h[other], check[other], np.fromiter(itertools.chain.from_iterable(found), "<u4", int(sizes.sum())), sizes)
+
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        if not self.by_stretch:
+            return [np.array(x, "<u4") for x in self.library(texts)]
+        joined = b"".join(texts)
+        if any(a in joined for a in self.added):
+            apart = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+            out = self.by_stretches([b"" if k in set(apart) else t for k, t in enumerate(texts)])
+            for k, ids in zip(apart, self.library([texts[k] for k in apart])):
+                out[k] = np.array(ids, "<u4")
+            return out
+        return self.by_stretches(texts)
+
+    def by_stretches(self, texts: list[bytes]) -> list[np.ndarray]:
         joined = b"".join(texts)
         data = np.frombuffer(joined, np.uint8)
         text_ends = np.cumsum([len(t) for t in texts])
@@ -120,26 +175,35 @@ class Encoder:
         bits = _BYTE[data]
         bits *= _powers(1 << max(6, int(sizes.max() - 1).bit_length()))[place]
         h = mix64(np.add.reduceat(bits, starts) + sizes.astype(np.uint64) * _B) | np.uint64(1)
-        del bits, place
-        found = self.find(h)
+        del bits
+        place *= 2
+        place += 0x3779B97
+        check = np.add.reduceat(_SHORT[data] * place.view(np.uint32), starts, dtype=np.uint32)
+        del place
+        found = self.find(h, check)
         if (found < 0).any():
-            new, first = np.unique(h[found < 0], return_index=True)
-            if self.used + len(new) > 0.6 * (1 << self.bits):
-                self.clear()
-                new, first = np.unique(h, return_index=True)
-                at = first
-            else:
-                at = np.flatnonzero(found < 0)[first]
-            for low in range(0, len(new), 5000):
-                some = [joined[a : a + n].decode("utf-8", "replace") for a, n in zip(starts[at[low : low + 5000]].tolist(), sizes[at[low : low + 5000]].tolist())]
-                self.add(new[low : low + 5000], [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
-            found = self.find(h)
+            plain = (np.add.reduceat(~_SOLID[data] | _WIDE_LEAD[data], starts, dtype=np.int32) == 1) & (data[starts] == 0x20)
+            at = self._new(h, check, np.flatnonzero(found < 0))
+            if self.used + len(at) > 0.6 * (1 << self.bits):
+                at = self._new(h, check, np.arange(len(h)))
+                self.clear(max(self.least_bits, int(np.ceil(np.log2(len(at) / 0.6 + 1)))))
+            for low in range(0, len(at), 5000):
+                some = at[low : low + 5000]
+                self.learn(h[some], check[some], [joined[a : a + n] for a, n in zip(starts[some].tolist(), sizes[some].tolist())], plain[some])
+            found = self.find(h, check)
         begin, n = self.bounds[found], self.bounds[found + 1] - self.bounds[found]
         ends = np.cumsum(n)
         ids = self.ids[np.repeat(begin - ends + n, n) + np.arange(ends[-1])]
         cut = np.append(0, ends)[np.searchsorted(starts, text_ends)]
         return np.split(ids, cut[:-1])
 
+    @staticmethod
+    def _new(h: np.ndarray, check: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The first of each pair of hashes among these places."""
+        order = at[np.lexsort((check[at], h[at]))]
+        first = np.append(True, (h[order[1:]] != h[order[:-1]]) | (check[order[1:]] != check[order[:-1]]))
+        return order[first]
+
 
 @functools.cache
 def _encoder(path: str) -> Encoder:
@@ -198,7 +262,7 @@ def write(df: DataFrame, tokenizer_path: str, path: str | None = None, id_col: s
     id, nulls first, repeated ids by text. Documents are dealt into ranges of ids before they
     are encoded; a task streams through its range and holds one block.
     """
-    spark = small_batches(df.sparkSession)
+    spark = df.sparkSession
     path = path or shared_dir(spark, "tokens")
     dictionary = train_dictionary(df, tokenizer_path, id_col, text_col)
     sha = hashlib.sha256(dictionary).hexdigest()
@@ -223,7 +287,7 @@ def write(df: DataFrame, tokenizer_path: str, path: str | None = None, id_col: s
             yield _block(part, k, sha, held, before)
 
     # Frames are compressed already.
-    rows.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    mapped(rows, run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     sums = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     sums.select("part", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("tokens_before")).coalesce(1).write.parquet(f"{path}/parts")
@@ -256,7 +320,7 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                     cols.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in raw], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
-    return blocks.select("dictionary_sha256", "doc_ids", "token_starts", "byte_offsets", "frames", "tokens_before").mapInArrow(run, schema)
+    return mapped(blocks.select("dictionary_sha256", "doc_ids", "token_starts", "byte_offsets", "frames", "tokens_before"), run, schema)
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> np.ndarray | None:
