@@ -246,7 +246,7 @@ class Merges:
     """match -> its ids as little-endian 32-bit numbers, in two generations of bounded size: what a full
     generation has not used again is forgotten."""
 
-    def __init__(self, content: bytes, most: int = 300_000):
+    def __init__(self, content: bytes, most: int = 100_000):
         self.content, self.most, self.new, self.old = content, most, {}, {}
 
     def __call__(self, matches: list[str]) -> list[bytes]:
@@ -268,12 +268,6 @@ class Merges:
         return [new[m] for m in matches]
 
 
-@functools.cache
-def merges(content: bytes) -> Merges:
-    """One cache for all tasks of a Python worker."""
-    return Merges(content)
-
-
 @functools.cache
 def words_of(content: bytes) -> list[bytes]:
     ranks = ranks_of(content)
@@ -323,7 +317,7 @@ def spelled(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -
 
 def _encode(content: bytes, tokens: bool):
     def make():
-        cache, (words, decimals) = merges(content), _bytes_tables(content)
+        cache, (words, decimals) = Merges(content), _bytes_tables(content)  # the cache goes with its task
 
         def call(texts):
             texts = ["" if t is None else t.decode("utf-8", "replace") for t in texts]

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, chat, decontaminate, jaccard_join, knn_quality, langid, paragraphs, repetition, token_store, warc
-from millrace.llm.common import crc32_mod, written
+from millrace.llm.common import crc32_mod, small_batches, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
