@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Recent, discard, few_to_all, mapped, mix64, pieces, written
-from millrace.llm.links import linked_components, shared_buckets
+from millrace.llm.links import ITEMS, described, linked_components, shared_buckets
 from millrace.llm.shingles import set_ids, sets, word_hashes
 
 EMPTY = np.uint64(0x5851F42D4C957F2D)
@@ -181,10 +181,16 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def content(ids: DataFrame) -> DataFrame:
         wanted = few_to_all(written(classes.join(ids, "id").select("id", F.col("least").alias("doc")), "wanted"))
-        return source.join(wanted, "doc").select("id", "text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, texts in pieces(batch, 1):
+                    yield described(np.asarray(part.column(0)), texts, k)
+
+        return mapped(source.join(wanted, "doc").select("id", "text"), run, ITEMS)
 
     buckets = shared_buckets(mapped(source.select("text"), index, "sig long, id long, probe boolean"))
-    joined = linked_components(buckets, content, k, percent, repeated=not unique)
+    joined = linked_components(buckets, content, percent, repeated=not unique)
     # Component ids of sets are hashes; documents want the least doc in the component.
     least = classes.join(joined, "id", "left").select("id", "least", F.coalesce("component", "id").alias("c"))
     top = written(least.groupBy("c").agg(F.min("least").alias("component_id")), "tops")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import Recent, discard, few_to_all, mapped, pieces, written
-from millrace.llm.links import linked_components, shared_buckets, stored_sets
+from millrace.llm.links import ITEMS, described, linked_components, shared_buckets, stored_sets
 from millrace.llm.shingles import runs, set_ids, sets, word_hashes, words
 
 #: A decision of the removal, not of the search: like lines that are shorter, alone and with like ones next to them, are
@@ -151,10 +151,10 @@ def similar_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                         lines = text.split(b"\n")
                         some = [x for x in some if x["line"] < len(lines)]  # rows of one id with different texts
                         ids += [x["id"] for x in some]
-                        out += [lines[x["line"]].decode("utf-8", "replace") for x in some]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "text"])
+                        out += [lines[x["line"]] for x in some]
+                    yield described(np.array(ids, np.int64), out, k)
 
-        return mapped(source.join(wanted, "doc").select("text", "lines"), run, "id long, text string")
+        return mapped(source.join(wanted, "doc").select("text", "lines"), run, ITEMS)
 
     def narrower(sets_: DataFrame) -> DataFrame:
         many = bands_for(percent, NARROW, recall)
@@ -168,7 +168,7 @@ def similar_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return mapped(sets_.select("id", "items"), run, "sig long, id long")
 
     buckets = shared_buckets(bands)
-    joined = linked_components(buckets, content, k, percent, narrower, repeated=not unique)
+    joined = linked_components(buckets, content, percent, narrower, repeated=not unique)
     named = classes.join(joined, "id", "left").select("id", "first", "n", F.coalesce("component", "id").alias("c"))
     tops = written(named.groupBy("c").agg(F.min("first").alias("top"), F.sum("n").alias("total")).where("total > 1"), "tops")
     per_set = written(named.join(tops, "c").select("id", F.col("top.doc").alias("class_doc"), F.col("top.line").alias("class_line")), "sets")
