@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -57,6 +58,11 @@ def test_maximal_repeats(alphabet):
         starts, ends, longest = repetition.maximal_repeats(ids, 3)
         hit, want = brute_repeats(ids.tolist(), 3)
         assert set().union(*[range(a, b) for a, b in zip(starts, ends)]) == hit and longest == want
+        for least in (1, 2):
+            text = " ".join(f"w{i}" for i in ids.tolist())
+            *_, longest, spans = repetition.measure(text.encode(), least)
+            hit, want = brute_repeats(ids.tolist(), least)
+            assert set().union(*[range(s["start"], s["end"]) for s in spans]) == hit and longest == (want if want >= least else 0)
         order, lcp = repetition.suffix_array(ids)
         assert [ids[i:].tolist() for i in order] == sorted(ids[i:].tolist() for i in range(len(ids)))
 
@@ -116,9 +122,8 @@ def test_token_store(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(BPE_JSON)
-    library.encode_special_tokens = True
     rng = random.Random(3)
-    rows = [(i, t) for i, t in enumerate(HARD)] + [(100 + i, prose(rng, rng.randrange(1, 200))) for i in range(60)] + [(-5, "minus"), (7, "again"), (None, "no id")]
+    rows = [(i, t) for i, t in enumerate(HARD)] + [(100 + i, prose(rng, rng.randrange(1, 200))) for i in range(60)] + [(-5, "minus"), (7, "again"), (None, "no id"), (300, "a <|endoftext|> b"), (301, "x<|endoftext|><|endoftext|>\n y"), (302, "<|endoftext")]
     rng.shuffle(rows)
     path = token_store.write(docs(spark, rows), BPE_JSON)
     got = token_store.read(spark, path).orderBy("start").collect()
@@ -143,6 +148,37 @@ def test_encoder_empties_its_table():
         assert encoder([t.encode()])[0].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_with_more_stretches_than_places():
+    encoder, rng = token_store.Encoder(BPE_JSON, bits=6), random.Random(5)
+    for n in (200, 3, 3000, 10):
+        text = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+        assert encoder([text.encode(), b"", b"a b"])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.bits == 6 or encoder.used <= 0.6 * (1 << encoder.bits)
+
+
+def test_encoder_of_another_tokenizer(tmp_path):
+    made = json.load(open(BPE_JSON, encoding="utf-8"))
+    made["pre_tokenizer"]["use_regex"] = False
+    path = tmp_path / "whole.json"
+    path.write_text(json.dumps(made), encoding="utf-8")
+    encoder = token_store.Encoder(str(path))
+    text = "the cat  sat on the mat " * 20
+    assert not encoder.by_stretch and encoder([text.encode()])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_text(spark):
+    rng = random.Random(91)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(650_000))
+    assert len(text) > 5_000_000
+    encoder = token_store.Encoder(BPE_JSON)
+    own = encoder([text.encode()])[0]
+    assert own.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    df = docs(spark, [(1, text), (2, text), (3, text[:3_000_000])])
+    assert {r["doc"]: r["component_id"] for r in jaccard_join.similar_components(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {(r["doc"], r["removed"]) for r in paragraphs.repeats(df).collect()} >= {(1, False), (2, True), (3, True)}
+    assert {r["n_words"] for r in repetition.quality_rules(df).collect()} == {650_000, len(words_of(text[:3_000_000]))}
+
+
 # 1: WARC
 
 
@@ -262,56 +298,76 @@ def test_sketches_bound_differences():
     assert sum(bin(int(x) & (1 << 64) - 1).count("1") for x in s[0] ^ s[1]) <= len(both) - len(a)
 
 
-def test_paragraphs(spark):
-    rng = random.Random(9)
-    lines = [prose(rng, 60) for _ in range(8)]
-    rows = [(i, "\n".join(rng.sample(lines, 3) + [prose(rng, 50), "short line", ""])) for i in range(12)] + [(50 + i, edited(rng, lines[0], 1)) for i in range(6)] + [(90, None), (91, ""), (92, "short line")]
-    df = docs(spark, [*rows, rows[0], (None, lines[1])]).withColumn("n_chars", F.length("text"))
-    got = {(r["doc"], r["line"]): (r["class_doc"], r["class_line"]) for r in paragraphs.similar_paragraphs(df).collect()}
-    sets = {(i, j): sets_of(x, 5) for i, t in rows for j, x in enumerate((t or "").split("\n")) if len(words_of(x)) >= paragraphs.MIN_WORDS}
-    want = brute_components(sets, 80)
-    many = collections.Counter(want.values())
-    assert got == {k: v for k, v in want.items() if many[v] > 1}
-    spans = brute_spans(dict(rows))
-    every = {(r["doc"], r["kind"], r["at"], r["n_words"], r["class_doc"], r["class_at"], r["removed"]) for r in paragraphs.repeats(df).collect()}
-    assert {(d, a, n, r) for d, k, a, n, _, _, r in every if k == "stretch"} == {(d, a, b - a, r) for d, a, b, r in spans}
-    assert {(d, a): (c, e) for d, k, a, _, c, e, _ in every if k == "line"} == got
-    out = paragraphs.without_repeats(df)
-    assert out.columns == df.columns and out.count() == df.count()
-    left = {r["doc_id"]: r["text"] for r in out.where("doc_id IS NOT NULL").collect()}
-    assert left == {i: t and brute_cut(i, t, got, spans) for i, t in rows}
-    assert paragraphs.repeats(docs(spark, [])).isEmpty()
+def brute_lines(texts):
+    """Component of each line with words, as (doc, line)."""
+    return brute_components({(i, j): sets_of(x, 5) for i, t in texts.items() for j, x in enumerate((t or "").split("\n")) if words_of(x)}, 80)
+
 
+def brute_cuts(texts, first, least=paragraphs.LEAST_CUT):
+    """Lines that go: removed ones that have so many words together with removed ones next to them."""
+    gone = set()
+    for i, t in texts.items():
+        run = []
+        for j, x in [*((j, x) for j, x in enumerate((t or "").split("\n")) if words_of(x)), (-1, "")]:
+            if j >= 0 and first[(i, j)] != (i, j):
+                run.append((j, len(words_of(x))))
+            else:
+                gone |= {(i, k) for k, _ in run} if sum(n for _, n in run) >= least else set()
+                run = []
+    return gone
 
-def brute_spans(texts):
-    """(doc, first word, end, removed) of stretches that occur twice, joined where they overlap."""
-    size, near = paragraphs.STRETCH, paragraphs.PASSAGE - paragraphs.STRETCH + 1
-    places = collections.defaultdict(set)
+
+def brute_spans(texts, gone, least=paragraphs.LEAST_CUT):
+    """(doc, first word, end, removed) of passages that two places share, joined where they overlap."""
+    size, beside = paragraphs.STRETCH, paragraphs.PASSAGE - paragraphs.STRETCH
+    places, blocks = collections.defaultdict(set), {}
     for d, t in texts.items():
-        w = [x.lower() for x in words_of(t)]
-        key = shingles.runs(shingles.words([(t or "").encode()]).hashes, 3).tolist()
-        for p in range(len(w) - paragraphs.PASSAGE + 1):
-            at = min(range(p, p + near), key=lambda i: (key[i], i))
-            places[tuple(w[at : at + size])].add((d, at))
-    found = sorted((d, at, (d, at) != min(v)) for v in places.values() if len(v) > 1 for d, at in v)
+        at, block = 0, []
+        for j, x in enumerate((t or "").split("\n")):
+            n = len(words_of(x))
+            if (d, j) in gone:
+                block = []
+            elif n:
+                if not block:
+                    blocks.setdefault(d, []).append((at, block))
+                block += [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words_of(x)]
+            at += n
+        for start, w in blocks.get(d, []):
+            key = shingles.runs(shingles.words([" ".join(w).encode()]).hashes, 3).tolist()
+            for p in range(len(w) - paragraphs.PASSAGE + 1):
+                k = min(range(p, p + beside + 1), key=lambda i: (key[i], i))
+                places[tuple(w[k : k + size])].add((d, start + k))
+
+    def context(d, at):
+        start, w = next(b for b in blocks[d] if b[0] <= at < b[0] + len(b[1]))
+        k = at - start
+        return w[max(0, k - beside) : k][::-1], w[k + size : k + size + beside]
+
+    found = set()
+    for v in places.values():
+        c = min(v)
+        for d, at in v - {c}:
+            n = [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(context(d, at), context(*c))]
+            if n[0] + size + n[1] >= least:
+                found |= {(d, at - n[0], at + size + n[1], True), (c[0], c[1] - n[0], c[1] + size + n[1], False)}
     out = []
-    for d, at, removed in found:
-        if out and out[-1][0] == d and at <= out[-1][2] and out[-1][3] == removed:
-            out[-1][2] = at + size
+    for d, a, b, removed in sorted(found, key=lambda x: (x[0], x[3], x[1])):
+        if out and out[-1][0] == d and a <= out[-1][2] and out[-1][3] == removed:
+            out[-1][2] = max(out[-1][2], b)
         else:
-            out.append([d, at, at + size, removed])
-    return [tuple(x) for x in out]
+            out.append([d, a, b, removed])
+    return {tuple(x) for x in out}
 
 
-def brute_cut(doc, text, lines, spans):
-    """The text without removed lines and spans, word by word."""
+def brute_cut(doc, text, gone_lines, spans):
+    """The text without lines that go and removed spans, word by word."""
     gone = {k for d, a, b, removed in spans if d == doc and removed for k in range(a, b)}
     out, k = [], 0
     for j, line in enumerate(text.split("\n")):
         parts = re.split(r"([^\x20\x09-\x0D]+)", line)
         mine = [k + i for i in range(len(parts) // 2)]
         k += len(mine)
-        if lines.get((doc, j), (doc, j)) != (doc, j):
+        if (doc, j) in gone_lines:
             continue
         kept = ""
         for i, word in enumerate(mine):
@@ -323,44 +379,176 @@ def brute_cut(doc, text, lines, spans):
     return "\n".join(out)
 
 
-def test_passages_inside_other_text(spark):
+def test_paragraphs(spark):
+    rng = random.Random(9)
+    lines = [prose(rng, n) for n in (60, 60, 45, 41, 30, 12, 4, 1)]
+    rows = [(i, "\n".join(rng.sample(lines, 5) + [prose(rng, 50), "short line", ""])) for i in range(12)] + [(50 + i, edited(rng, lines[0], 1)) for i in range(6)] + [(90, None), (91, ""), (92, "short line")]
+    texts, df = dict(rows), docs(spark, [*rows, rows[0], (None, lines[1])]).withColumn("n_chars", F.length("text"))
+    want = brute_lines(texts)
+    many = collections.Counter(want.values())
+    gone = brute_cuts(texts, want)
+    spans = brute_spans(texts, gone)
+    found = paragraphs.repeats(df).collect()
+    assert {(r["doc"], r["at"]): (r["class_doc"], r["class_at"]) for r in found if r["kind"] == "line"} == {k: v for k, v in want.items() if many[v] > 1}
+    assert {(r["doc"], r["at"]) for r in found if r["kind"] == "line" and r["cut"]} == gone and gone
+    assert {(r["doc"], r["at"], r["at"] + r["n_words"], r["removed"]) for r in found if r["kind"] == "stretch"} == spans
+    out = paragraphs.without_repeats(df)
+    assert out.columns == df.columns and out.count() == df.count()
+    left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.where("doc_id IS NOT NULL").collect()}
+    assert left == {i: (t and brute_cut(i, t, gone, spans), t if t is None else len(brute_cut(i, t, gone, spans))) for i, t in rows}
+    assert paragraphs.without_repeats(docs(spark, [])).isEmpty()
+
+
+def test_passages_are_found_whole(spark):
     rng = random.Random(11)
-    passage = prose(rng, 51)
-    rows = [(i, prose(rng, rng.randrange(5, 90)) + rng.choice([" ", ". ", "\n"]) + passage + " " + prose(rng, rng.randrange(0, 60))) for i in range(12)] + [(50 + i, prose(rng, 150)) for i in range(12)]
+    passages = [prose(rng, n) for n in (50, 51, 68, 100, 300)]
+    rows = [(100 * p + i, prose(rng, rng.randrange(5, 90)) + rng.choice([" ", ". ", "\n"]) + x + " " + prose(rng, rng.randrange(0, 60))) for p, x in enumerate(passages) for i in range(8)] + [(900 + i, prose(rng, 150)) for i in range(12)]
     found = paragraphs.repeats(docs(spark, rows)).collect()
-    assert {r["doc"] for r in found} == set(range(12)) and {r["doc"] for r in found if r["removed"]} == set(range(1, 12))
+    assert {r["doc"] for r in found} == {100 * p + i for p in range(5) for i in range(8)} and {r["doc"] for r in found if r["cut"]} == {100 * p + i for p in range(5) for i in range(1, 8)}
+    texts = dict(rows)
+    inside = collections.defaultdict(set)
+    for r in found:
+        inside[r["doc"]] |= set(range(r["at"], r["at"] + r["n_words"]))
+    for p, x in enumerate(passages):
+        for i in range(8):
+            w, own = words_of(texts[100 * p + i]), words_of(x)
+            at = next(k for k in range(len(w)) if w[k : k + len(own)] == own)
+            assert set(range(at, at + len(own))) <= inside[100 * p + i]
+
+
+def test_what_is_cut_stays_once(spark):
+    rng = random.Random(31)
+    passage, base = prose(rng, 51), prose(rng, 600).split()
+    near = " ".join([*base[:300], *words_of(passage), *base[351:]])
+    rows = [(1, " ".join(base)), (2, near), (3, prose(rng, 30) + " " + passage + " " + prose(rng, 30)), (4, passage + " " + prose(rng, 60))]
+    left = {r["doc_id"]: r["text"] for r in paragraphs.without_repeats(docs(spark, rows)).collect()}
+    assert left[2] == "" and left[1] == rows[0][1]
+    assert [passage in left[i] for i in (3, 4)] == [True, False]
+    overlap = prose(rng, 160).split()  # stretches whose first places overlap
+    rows = [(i, prose(rng, 20) + " " + " ".join(overlap[a:b]) + " " + prose(rng, 20)) for i, (a, b) in enumerate([(60, 160), (0, 100), (20, 130), (0, 160), (40, 120)])]
+    left = " ".join(r["text"] for r in paragraphs.without_repeats(docs(spark, rows)).collect()).split()
+    have = collections.Counter(left)
+    assert all(have[w] >= 1 for t in dict(rows).values() for w in words_of(t))
+    assert all(sum(left[k : k + 5] == overlap[a : a + 5] for k in range(len(left))) >= 1 for a in range(0, 50))
 
 
 def test_short_paragraphs(spark):
     rng = random.Random(21)
-    short = [prose(rng, n) for n in (5, 7, 8, 20, 30)]
-    rows = [(i, "\n".join(y for x in [*short, "two words"] for y in (prose(rng, 12), x))) for i in range(3)] + [(9, short[-1] + " " + prose(rng, 1))]
-    sets = {(i, j): sets_of(x, 5) for i, t in rows for j, x in enumerate(t.split("\n")) if len(words_of(x)) >= 5}
-    want = brute_components(sets, 80)
+    short = [prose(rng, n) for n in (1, 2, 5, 7, 8, 20, 31)]
+    rows = [(i, "\n".join(y for x in short for y in (prose(rng, 12), x))) for i in range(3)] + [(9, short[-1] + " " + prose(rng, 1))]
+    want = brute_lines(dict(rows))
     many = collections.Counter(want.values())
     found = [r for r in paragraphs.repeats(docs(spark, rows)).collect() if r["kind"] == "line"]
     got = {(r["doc"], r["at"]): (r["class_doc"], r["class_at"]) for r in found}
-    assert got == {k: v for k, v in want.items() if many[v] > 1} and len(got) >= 15
+    assert got == {k: v for k, v in want.items() if many[v] > 1} and len(got) >= 21
     kept = {r["doc_id"]: r["text"] for r in paragraphs.without_repeats(docs(spark, rows)).collect()}
-    assert all(x in kept[i].split("\n") for i in range(3) for x in short)  # short notices stay: a decision of the removal
-    cut = {r["doc_id"]: r["text"] for r in paragraphs.without_repeats(docs(spark, rows), least_cut=5).collect()}
+    assert kept == dict(rows)  # short notices stay: a decision of the removal
+    cut = {r["doc_id"]: r["text"] for r in paragraphs.without_repeats(docs(spark, rows), least_cut=1).collect()}
     assert all(x in cut[0].split("\n") and x not in cut[i].split("\n") for i in (1, 2) for x in short)
+    block = [prose(rng, 15) for _ in range(4)]
+    rows = [(1, "\n".join([prose(rng, 9), *block])), (2, "\n\n".join([*block, prose(rng, 9)])), (3, block[0] + "\n" + prose(rng, 30))]
+    cut = {r["doc_id"]: r["text"] for r in paragraphs.without_repeats(docs(spark, rows)).collect()}
+    assert cut[1] == rows[0][1] and cut[3] == rows[2][1] and not any(x in cut[2] for x in block)  # short lines in a row are one passage
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(41)
+    a, b, c = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    rows = [(1, a), (1, b), (2, edited(rng, a, 1)), (3, edited(rng, b, 1)), (4, c), (4, None)]
+    found = paragraphs.similar_paragraphs(docs(spark, rows)).collect()
+    assert {r["doc"] for r in found if r["removed"]} == {2, 3}
+    got = {r["doc"]: r["component_id"] for r in jaccard_join.similar_components(docs(spark, rows), k=5, percent=80).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_recall_of_bands(spark):
+    rng, pairs = random.Random(51), []
+    for i in range(300):
+        base = prose(rng, rng.randrange(45, 110))
+        other = edited(rng, base, rng.randrange(1, 3))
+        x, y = sets_of(base, 5), sets_of(other, 5)
+        if 100 * len(x & y) >= 80 * len(x | y):
+            pairs.append((base, other))
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    found = {r["doc"] for r in paragraphs.similar_paragraphs(docs(spark, rows)).collect() if r["removed"]}
+    assert len(pairs) > 100 and len(found & {2 * i + 1 for i in range(len(pairs))}) >= 0.98 * len(pairs)
+
+
+def test_crowded_buckets(spark):
+    """Copies of one original that are near it but not each other, and copies of copies: components as by brute force."""
+    rng = random.Random(61)
+    base = prose(rng, 70)
+    star = [base] + [edited(rng, base, 1) for _ in range(60)]
+    walk = [prose(rng, 70)]
+    for _ in range(40):
+        walk.append(edited(rng, rng.choice(walk), 1))
+    texts = [*star, *walk]
+    rng.shuffle(texts)
+    want = brute_components({i: sets_of(t, 5) for i, t in enumerate(texts)}, 80)
+    got = {r["doc"]: r["component_id"] for r in jaccard_join.similar_components(docs(spark, enumerate(texts)), k=5, percent=80).collect()}
+    assert got == want
+    lines = {(r["doc"]): r["class_doc"] for r in paragraphs.similar_paragraphs(docs(spark, enumerate(texts))).collect()}
+    assert sum(lines.get(i, i) == want[i] for i in want) >= 0.99 * len(texts)
 
 
 def test_band_tuning():
     rows, bands = paragraphs.tune_bands(80)
-    assert 1 - (1 - 0.8**rows) ** bands >= 0.999
+    assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and 1 - (1 - 0.4**rows) ** bands <= 0.31
 
 
 # 7: decontamination
 
 
 def test_canonical():
-    c = decontaminate.canonical([b"Tom has 12 apples. He met Alice at 3.5 km from Paris!\nBut 5% of (Them) \xe2\x80\x94 go.", b"km Bob 5", None, b""])
-    assert [r.decode() for r, k in zip(c.raw, c.kinds) if k] == ["12", "Alice", "3.5", "km", "Paris!", "5%", "(Them)", "Bob", "5"]
+    c, names = decontaminate.canonical([b"Tom has 12 apples. He met Mary Ann at 3.5 km or 4km from Paris!\nBut 5% of (Them) \xe2\x80\x94 go for 1 000.", b"km Bob 5", None, b""])
+    surfaces = lambda c: [x for x in c.slots(0, len(c.kinds)) if x]
+    assert surfaces(c) == ["12", "mary ann", "3.5", "km", "4", "km", "paris", "5%", "them", "1000", "bob", "5"]
+    assert surfaces(names) == ["tom", "12", "he", "mary ann", "3.5", "km", "4", "km", "paris but", "5%", "them", "1000", "bob", "5"]
     assert len(c.bounds) == 5 and c.bounds[-1] == c.bounds[-3]
 
 
+def brute_contaminated(text, item):
+    """Whether some 8-word windows of the item, in order in both texts, cover 0.6 of its words (words only)."""
+    w, v = words_of(text), words_of(item)
+    size = min(8, len(v))
+    hits = [(p, q) for p in range(len(v) - size + 1) for q in range(len(w) - size + 1) if v[p : p + size] == w[q : q + size]]
+    covered = {p + k for p, _ in hits for k in range(size)}
+    return len(covered) >= 0.6 * len(v)
+
+
+def test_contaminated_by_brute_force(spark):
+    rng = random.Random(71)
+    items = [(i, prose(rng, rng.choice([5, 12, 22, 40, 70]))) for i in range(12)]
+    rows = []
+    for i in range(60):
+        w = words_of(rng.choice(items)[1])
+        kind = i % 5
+        if kind == 1:  # some words more in the middle
+            w[len(w) // 2 : len(w) // 2] = words_of(prose(rng, rng.randrange(1, 4)))
+        elif kind == 2:
+            w = w[: max(1, int(len(w) * rng.choice([0.4, 0.55, 0.65, 0.8])))]
+        elif kind == 3:
+            w[rng.randrange(len(w))] = "other"
+        elif kind == 4:
+            w = []
+        rows.append((i, prose(rng, rng.randrange(0, 60)) + " " + " ".join(w) + " " + prose(rng, rng.randrange(0, 60))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc"], r["item"]) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    want = {(d, i) for d, t in rows for i, x in items if brute_contaminated(t, x)}
+    assert got == want and len(want) > 30
+
+
+def test_reparameterised(spark):
+    item = "Tom drives 12 km to the market with 1000 apples in the old car and gives half of the apples to Mary who pays 30 dollars for them. Tom then goes home by the same road and wants to know how many apples there are in the car"
+    forms = [item, item.replace("Tom", "Mary Ann").replace("Mary who", "Jim who"), item.replace("12 km", "7km"), item.replace("1000", "2 500"), item.replace("to the market", "to the very small market"), item.replace("Tom then", "Robert then").replace("Tom drives", "Robert drives")]
+    wrong = item.replace("Tom then goes home", "Peter then walks off").replace("Tom", "Ann").replace("12 km", "car 12").replace("Mary who pays 30", "nobody but pays a 30")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rng = random.Random(81)
+    rows = [(i, prose(rng, 20) + ". " + t + " " + prose(rng, 20)) for i, t in enumerate(forms)] + [(100, wrong[:90] + prose(rng, 40)), (101, prose(rng, 200))]
+    got = {r["doc"]: r["changed"] for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert set(got) == set(range(len(forms))) and got[0] == 0 and got[1] == 2 and got[4] == 0 and got[5] == 1
+
+
 def test_contaminated(spark):
     item = "A farmer in Kansas sells 12 kg of apples to Mary for 30 dollars and then Mary gives 12 kg back to the farmer so how many apples has Mary"
     changed = item.replace("12 kg", "45 kg").replace("30", "7").replace("Mary", "Helen")
@@ -434,6 +622,8 @@ def test_chat(spark, tmp_path):
         loss = "".join(x for *_, role, x in turns if role == "assistant")
         r = got[c]
         assert (r["n_turns"], r["loss_chars"]) == (len(turns), len(loss))
+        twice = lambda x: len(x) + sum(ch in '\\<"' for ch in x)
+        assert r["formatted_chars"] == sum(24 + twice(role) + twice(x) for *_, role, x in turns)
         assert r["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{x}\n" for *_, role, x in turns).encode()).hexdigest()
         assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
     assert chat.read_back(chat.write_formatted(df.limit(0), BPE_JSON)).isEmpty()
