@@ -323,6 +323,8 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, mi
     removed lines next to it, least_cut words or more. In what that leaves, passages of
     PASSAGE words or more that occur word for word (but for the case of A to Z) at another
     place are found whole, whatever stands around them, and many of least_cut words or more.
+    A stretch is compared with its class's first place: a passage all of whose stretches have
+    a first place that shares fewer than least_cut words with it is left.
     """
     source = _named(df, id_col, text_col)
     lines = written(with_cuts(similar_paragraphs(df, id_col, text_col, min_words=min_words, **options), least_cut), "lines")
