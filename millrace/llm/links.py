@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import discard, mapped, pieces, written
 from millrace.llm.shingles import common, set_ids, sets, word_hashes
 
+FIRST = 12  # buckets of a set that are looked at to take a pair once
 ROUNDS = 3  # of narrower buckets and hubs, at most
 #: Pairs in buckets, in all or for each row, that are compared without more rounds: a round shuffles every row some times,
 #: which costs as much as some dozen comparisons of sketches.
@@ -235,11 +236,14 @@ def linked_components(buckets: DataFrame, content: Callable[[DataFrame], DataFra
         rest, mixed = open_rows(rest, new, "component")
         discard(old)
     if not rest.isEmpty():
-        marked = rest.join(items.select("id", *SKETCH), "id")
-        half = lambda x: marked.select("sig", F.col("id").alias(x), F.col("probe").alias(f"probe_{x}"), F.col("component").alias(f"c_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in SKETCH])
+        every = rest.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, FIRST).alias("sigs"))  # of one set
+        marked = rest.join(items.select("id", *SKETCH).join(every, "id"), "id")
+        half = lambda x: marked.select("sig", F.col("sigs").alias(f"sigs_{x}"), F.col("id").alias(x), F.col("component").alias(f"c_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in SKETCH])
         # A bucket's largest component is on one side only: few rows beside a large one make few pairs.
         outside = half("a").join(mixed.select("sig", "top"), "sig").where("c_a <> top")
-        pairs = outside.join(half("b"), "sig").where((F.col("c_a") != F.col("c_b")) & (F.col("probe_a") | F.col("probe_b")) & ((F.col("c_b") == F.col("top")) | (F.col("a") < F.col("b"))) & close())
+        pairs = outside.join(half("b"), "sig").where((F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("top")) | (F.col("a") < F.col("b"))) & close())
+        # Of buckets that a pair shares among the first ones of both, it is taken from the first only.
+        pairs = pairs.where(F.coalesce(F.col("sig") <= F.array_min(F.array_intersect("sigs_a", "sigs_b")), F.lit(True)))
         new = written(components(tested(pairs.select("a", "b", "c_a", "c_b").distinct(), sifted=True)), "new")
         if not new.isEmpty():
             done = joined(done, new)
