@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, decontaminate, jaccard_join, knn_quality, langid, paragraphs, repetition, token_store, warc
+from millrace.llm import align, bpe, chat, decontaminate, jaccard_join, knn_quality, langid, licenses, paragraphs, ranked, repetition, token_store, warc
 from millrace.llm.common import crc32_mod, small_batches, written
 
 
@@ -77,7 +77,19 @@ def op10_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_quality_rules, op3_token_store, op4_byte_bpe, op5_paragraph_dedup, op6_jaccard_join, op7_template_decontamination, op8_language_codes, op9_chat_masks, op10_quality_neighbours)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_quality_rules, op3_token_store, op4_byte_bpe, op5_paragraph_dedup, op6_jaccard_join, op7_template_decontamination, op8_language_codes, op9_chat_masks, op10_quality_neighbours, op11_ranked_search, op12_merge_path_alignment, op13_license_scan)}
 
 _ESCAPED = "2 * length({0}) - length(replace(replace(replace({0}, '\\', ''), '<', ''), '\"', ''))"  # characters once \\, < and \" are two each
 
@@ -108,4 +120,16 @@ ORACLE_SQL = {
         links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
         reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
         SELECT x AS doc_id, any_value(n.n) AS n_shingles, min(y) AS component_id FROM reach JOIN n ON n.doc_id = x GROUP BY x""",
+    "op11_ranked_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT count_if(len(ws) > 0) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM d),
+        tf AS (SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY ALL),
+        df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+        q AS (SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS w FROM benchmark),
+        m AS (SELECT r, doc_id, 50 + (50 * len(ws) * n_docs) // n_terms AS m FROM d, s WHERE len(ws) > 0),
+        g AS (SELECT w, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM df, s),
+        x AS (SELECT item_id, doc_id, r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN tf USING (w) JOIN g USING (w) JOIN m USING (r) GROUP BY item_id, doc_id, r),
+        o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0)
+        SELECT * FROM o WHERE rank <= 50""",
+    "op13_license_scan": licenses.oracle(),
 }

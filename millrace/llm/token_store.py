@@ -83,12 +83,14 @@ class Encoder:
     single spaces.
     """
 
-    def __init__(self, path: str, bits: int = 20):
+    def __init__(self, path: str, bits: int = 20, special: bool = True):
+        """special=False: strings of special tokens are plain text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.least_bits = Tokenizer.from_file(path), bits
-        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.tokenizer.encode_special_tokens = not special
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and (special or not t.special)]
         self.by_stretch = splits_at_spaces(path)
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.clear(bits)
