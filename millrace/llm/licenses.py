@@ -134,7 +134,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     text = F.col(f"`{text_col}`").cast("string")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), words_column(text).alias("words"))
     hit = F.transform("words", lambda w, i: F.when(w.isin(known), F.struct(i.alias("at"), w.alias("word"))))
-    rows = rows.select("doc_id", "mark", "words", F.filter(hit, lambda h: h.isNotNull()).alias("hits"))
+    any_hit = F.exists("words", lambda w: w.isin(known))  # most texts have none, and get no array for each word
+    rows = rows.select("doc_id", "mark", "words", F.when(any_hit, F.filter(hit, lambda h: h.isNotNull())).otherwise(F.array().cast("array<struct<at:int,word:string>>")).alias("hits"))
 
     def stands(h: Column, p: Column) -> Column:
         return (p["word"] == h["word"]) & (h["at"] >= p["pos"]) & (F.slice("words", F.greatest(h["at"] - p["pos"], F.lit(0)) + 1, F.size(p["words"])) == p["words"])
