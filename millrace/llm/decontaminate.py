@@ -3,8 +3,9 @@
 Words are canonicalised: numbers, units and names become typed placeholders, whose surface
 forms are the slots. Windows of the canonical words of benchmark items are hash-joined with
 those of documents. Matched windows of an item are chained in the order of both texts, with
-some words more or fewer between them, and the slots of the item must map consistently to
-slots of the document: then the document holds the item, word for word or with other values.
+some words more or fewer between them. Windows that are equal word for word count by
+themselves; of the others those whose slots map consistently from the item to the document
+count too. What they cover says whether the document holds the item.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ _UNITS = frozenset(UNITS)
 #: Benchmark windows up to which documents are first looked up in a broadcast set of their hashes (16 bytes each).
 SIFT = 2_000_000
 WINDOW = 8
-#: Words that a document may have more or fewer than the item, all in all.
-DRIFT = 16
+#: Words that a document may have more or fewer than the item, all in all: this share of the item's words, and so many at least.
+DRIFT_SHARE, DRIFT = 0.5, 16
 
 
 _NUMERIC_FORM, _UNIT_FORM, _NAME_FORM, _STOPS, _NOTHING, _GLUED_FORM = 1, 2, 4, 8, 16, 32
@@ -210,14 +211,44 @@ def longest_chain(places: list[int]) -> list[int]:
     return out[::-1]
 
 
-def consistent(windows: list[tuple[list[str | None], list[str | None]]]) -> tuple[bool, int]:
-    """Whether each value in the item's slots stands for one value in the document's, over all windows (item slots, document slots), and how many values change."""
-    to: dict[str, str | None] = {}
-    for item, doc in windows:
-        for a, b in zip(item, doc):
-            if (a is None) != (b is None) or (a is not None and to.setdefault(a, b) != b):
-                return False, 0
-    return True, sum(a != b for a, b in to.items())
+def agreed(windows: list[dict]) -> list[dict]:
+    """The windows that are equal word for word, and those whose slots all take the value that most windows have for them (of as
+    many, the item's own, then the first by name); a window in which a slot meets a word is neither."""
+    votes: dict[str, dict[str | None, int]] = {}
+    for w in windows:
+        for a, b in set(zip(w["slots"], w["doc_slots"])):
+            if a is not None:
+                of = votes.setdefault(a, {})
+                of[b] = of.get(b, 0) + 1
+    to = {a: min(of, key=lambda b: (-of[b], b != a, b or "")) for a, of in votes.items()}  # noqa: B023
+    fits = lambda a, b: b is None if a is None else b is not None and to[a] == b
+    return [w for w in windows if w["slots"] == w["doc_slots"] or all(map(fits, w["slots"], w["doc_slots"]))]
+
+
+def chained(windows: list[dict]) -> list[dict]:
+    """A longest run of windows that ascends in both texts."""
+    windows = sorted(windows, key=lambda w: (w["at"], -w["place"], w["doc_slots"] != w["slots"]))
+    return [windows[i] for i in longest_chain([w["place"] for w in windows])]
+
+
+def verdict(windows: list[dict], n: int, size: int, rules: "Rules") -> tuple[int, int] | None:
+    """Windows that count and slot values that are changed, if they show that the item is held: those that agree, chosen before
+    or after the chain (a second copy nearby may be in it), or those equal word for word by themselves."""
+    same = [w for w in windows if w["slots"] == w["doc_slots"]]
+    for some in (lambda: chained(agreed(windows)), lambda: agreed(chained(windows)), lambda: chained(same)):
+        chain = some()
+        covered, words, upto = 0, [], 0
+        for w in chain:
+            a, b = max(upto, w["place"]), w["place"] + size
+            words += w["slots"][a - w["place"] :]
+            covered, upto = covered + b - a, b
+        changed = len({a for w in chain for a, b in zip(w["slots"], w["doc_slots"]) if a != b})
+        plain = sum(s is None for s in words)
+        if covered >= rules.least_share * n and plain and (not changed or plain >= rules.least_template * len(words)):
+            return len(chain), changed
+        if len(same) == len(windows):
+            break  # the other ways give the same
+    return None
 
 
 @dataclass(frozen=True)
@@ -253,9 +284,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Windows match when their canonical words are equal in one of their readings. Those of an
     item are chained in ascending order in both texts, where the document may have up to
-    DRIFT words more or fewer; each slot value of the item must stand for one value of the
-    document (two may become one), or the document does not hold the item, and the chain must
-    cover least_share of the item's words. A passage needs a word outside placeholders, and one
+    half the item's words (16 at least) more or fewer. Windows that are equal word for word
+    count by themselves. With changed values, each slot value of the item must stand for one
+    value of the document (two may become one); a conflict costs the windows that hold it.
+    What counts must cover least_share of the item's words. A passage needs a word outside placeholders, and one
     with changed values least_template of them. An item shorter than a window is one window
     of its length. Null ids and texts and texts without words hold nothing and are held by nothing. Repeated rows
     of a document, also with different texts, count as one. Texts are read whole, however long.
@@ -296,7 +328,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = mapped(source, run, "window long, doc long, at int, doc_slots array<string>")
     # Any chain lies in one of two bins of offsets, so that a group has some rows for each place of the item at most.
     offset = F.col("at") - F.col("place")
-    bins = F.array(2 * F.floor(offset / (2 * DRIFT)), 2 * F.floor((offset + DRIFT) / (2 * DRIFT)) + 1)
+    drift = F.greatest(F.lit(DRIFT), F.floor(F.col("n") * DRIFT_SHARE))
+    bins = F.array(2 * F.floor(offset / (2 * drift)), 2 * F.floor((offset + drift) / (2 * drift)) + 1)
     met = found.join(items, "window").withColumn("bin", F.explode(bins))
     aligned = met.groupBy("doc", "item", "reading", "bin").agg(F.max("n").alias("n"), F.max("n_windows").alias("n_windows"), F.max("size").alias("size"), F.collect_set(F.struct("at", "place", "slots", "doc_slots")).alias("windows"))
 
@@ -304,17 +337,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         for batch in batches:
             out = []
             for doc, item, n, n_windows, size, windows in zip(*[c.to_pylist() for c in batch.columns]):
-                windows.sort(key=lambda w: (w["at"], -w["place"], w["doc_slots"] != w["slots"]))
-                chain = [windows[i] for i in longest_chain([w["place"] for w in windows])]
-                good, changed = consistent([(w["slots"], w["doc_slots"]) for w in chain])
-                covered, words, upto = 0, [], 0
-                for w in chain:
-                    a, b = max(upto, w["place"]), w["place"] + size
-                    words += w["slots"][a - w["place"] :]
-                    covered, upto = covered + b - a, b
-                plain = sum(s is None for s in words)
-                if good and covered >= rules.least_share * n and plain and (not changed or plain >= rules.least_template * len(words)):
-                    out.append((doc, item, len(chain), n_windows, changed))
+                found = verdict(windows, n, size, rules)
+                if found:
+                    out.append((doc, item, found[0], n_windows, found[1]))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=["doc", "item", "windows", "n_windows", "changed"])
 
