@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import crc32_of, mapped, mix64, pieces, shared_dir, shuffle_partitions
 
-#: Documents whose ids train the dictionary, those of the least hashed ids; the bound of what one task gets.
-SAMPLE = 1500
+#: Documents whose ids train the dictionary, those of the least hashed ids, and the bytes of their serialised ids: the bound of what one task holds.
+SAMPLE, SAMPLE_BYTES = 1500, 64 << 20
 #: New stretches that are encoded as one text.
 TOGETHER = 50
 DICTIONARY_BYTES = 64 << 10
@@ -227,22 +227,27 @@ PIECE = 1 << 19
 
 
 def train_dictionary(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> bytes:
-    """A dictionary from the whole serialised ids of at most `sample` documents; empty where there is too little to learn from."""
+    """A dictionary from the whole serialised ids of at most `sample` documents, SAMPLE_BYTES in all; of rows with one id the least text counts. Empty where there is too little to learn from."""
     some = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     chosen = F.broadcast(some.select("id").orderBy(F.xxhash64("id"), "id").limit(sample).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, blobs = _encoder(tokenizer_path), []
+        encode, blobs, size = _encoder(tokenizer_path), [], 0
         for batch in batches:
             for _, values in pieces(batch, 1, PIECE):
-                blobs += [np.append(x, np.uint32(END)).astype("<u4").tobytes() for x in encode(_texts(values))]
+                for x in encode(_texts(values)) if size < SAMPLE_BYTES else []:
+                    blob = np.append(x, np.uint32(END)).astype("<u4").tobytes()
+                    if size + len(blob) <= SAMPLE_BYTES:
+                        blobs.append(blob)
+                        size += len(blob)
         try:
             made = zstandard.train_dictionary(DICTIONARY_BYTES, blobs).as_bytes()
         except zstandard.ZstdError:  # too few samples
             made = b""
         yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["dictionary"])
 
-    rows = some.join(chosen, "id").coalesce(1).sortWithinPartitions("id", "text").mapInArrow(run, "dictionary binary").collect()
+    own = some.join(chosen, "id").groupBy("id").agg(F.min("text").alias("text"))
+    rows = own.coalesce(1).sortWithinPartitions("id").mapInArrow(run, "dictionary binary").collect()
     return next((bytes(r["dictionary"]) for r in rows if r["dictionary"]), b"")
 
 
