@@ -26,7 +26,12 @@ BUCKETS = 1 << 12
 ROWS = 1024
 #: Bytes of a text whose trigrams are counted at once.
 PART = 1 << 21
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER_OR_NUMBER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter by its Unicode category; fractions, superscripts and Roman numerals are none."""
+    return any(m[0].isalpha() for m in _LETTER_OR_NUMBER.finditer(text))
 
 
 def trigram_counts(texts: list[bytes], buckets: int = BUCKETS) -> np.ndarray:
@@ -125,7 +130,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     """Adds lang_pred, score (0 to 1) and ambiguous (the best two scores lie nearer than ambiguous_below).
 
     Texts that are null or have no letter, and all texts where the model knows no language,
-    are `und` with score 0 and ambiguous. Repeated rows get the same answer each. Columns of
+    are `und` with score 0 and ambiguous. Of languages with equal scores the first by name is given. Repeated rows get the same answer each. Columns of
     df named like a result give way to it. Texts are read whole, however long.
     """
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
@@ -133,7 +138,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str]
 
     def make():
         def block(texts):
-            known = np.array([bool(t and langs and _LETTER.search(t.decode("utf-8", "replace"))) for t in texts])
+            known = np.array([bool(t and langs and has_letter(t.decode("utf-8", "replace"))) for t in texts])
             names, score, close = np.array(["und"] * len(texts), object), np.zeros(len(texts)), np.ones(len(texts), bool)
             if known.any():
                 counts = trigram_counts([lowered(t) for t, k in zip(texts, known) if k], buckets).astype(np.float32)
