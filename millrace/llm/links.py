@@ -1,11 +1,11 @@
 """From buckets of similar items to components, without writing out all pairs of a bucket.
 
 A bucket's members are first compared with one member of it, the hub. What is linked is
-contracted to components, and buckets whose members are all of one component are done. Where
-the pairs in the rest are many more than its rows, it may be dealt into narrower buckets by
-longer keys; while they still are, it gets other hubs each round: the member that shares the
-most places with others, which is the centre where copies of one original were each changed,
-and ones at random. Last, pairs of different components in a bucket are compared.
+contracted to components, and buckets whose members are all of one component are done. What
+is left may be dealt into narrower buckets by longer keys, at any size alike. While its pairs
+are many more than its rows, it gets other hubs each round: the member that shares the most
+places with others, which is the centre where copies of one original were each changed, and
+ones at random. Last, pairs of different components in a bucket are compared.
 
 An exact bound on the difference of two sets, from narrow sketches, is asked before any set
 itself is moved.
@@ -211,19 +211,17 @@ def linked_components(buckets: DataFrame, content: Callable[[DataFrame], DataFra
     done = written(components(tested(pairs)), "components")
     rest, mixed = open_rows(buckets.where("more").select("sig", "id", "probe"), done, "id")
     discard(buckets)
-    narrow = False
+    if rekey is not None and not rest.isEmpty():
+        old = rest
+        rows = written(shared_buckets(rekey(items.join(rest.select("id").distinct(), "id"))).select("sig", "id", "probe"), "narrow")
+        rest, mixed = open_rows(rows, done, "id")
+        discard(old, rows)
     for turn in range(ROUNDS):
         if not crowded(mixed):
             break
-        if rekey is not None and not narrow:
-            old, narrow = rest, True
-            rows = written(shared_buckets(rekey(items.join(rest.select("id").distinct(), "id"))).select("sig", "id", "probe"), "narrow")
-            rest, mixed = open_rows(rows, done, "id")
-            discard(old)
-            continue
         own, rows = F.struct("id", "component"), rest
         picked = F.max_by(own, F.xxhash64("id", F.lit(turn)))
-        if turn <= narrow:  # the first round with hubs
+        if turn == 0:
             rows = rest.join(rest.join(mixed.select("sig", "n"), "sig").groupBy("id").agg(F.sum("n").alias("crowd")), "id")
             picked = F.max_by(own, F.struct("crowd", "id"))
         hubs = rows.where("probe").groupBy("sig").agg(picked.alias("hub"))
