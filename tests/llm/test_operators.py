@@ -549,17 +549,68 @@ def test_reparameterised(spark):
     assert set(got) == set(range(len(forms))) and got[0] == 0 and got[1] == 2 and got[4] == 0 and got[5] == 1
 
 
+def brute_slots(text, item):
+    """Whether windows of the item, equal word for word or with numbers and inner names changed by one map, cover 0.6 of it in order."""
+    forms = lambda t: [("<num>" if re.fullmatch(r"\d+", w) else "<name>" if re.fullmatch("[A-Z][a-z]+", w) else w, w) for w in words_of(t)]
+    w, v, best = forms(text), forms(item), 0
+    for shift in range(-len(v), len(w)):  # copies here have as many words as the item
+        hits = [p for p in range(len(v) - 7) if 0 <= p + shift <= len(w) - 8 and [x[0] for x in v[p : p + 8]] == [x[0] for x in w[p + shift : p + shift + 8]]]
+        pairs = lambda p: [(v[p + k], w[p + k + shift][1]) for k in range(8) if v[p + k][0][0] == "<"]  # noqa: B023, E731
+        votes = collections.defaultdict(collections.Counter)
+        for p in hits:
+            for (_, a), b in set(pairs(p)):
+                votes[a][b] += 1
+        to = {a: min(c, key=lambda b: (-c[b], b != a, b)) for a, c in votes.items()}  # noqa: B023
+        for good in ([p for p in hits if all(a == b for (_, a), b in pairs(p))], [p for p in hits if all(a == b for (_, a), b in pairs(p)) or all(to[a] == b for (_, a), b in pairs(p))]):
+            inside = sorted({p + k for p in good for k in range(8)})
+            changed = any(a != b for p in good for (_, a), b in pairs(p))
+            plain = sum(v[k][0][0] != "<" for k in inside)
+            best |= len(inside) >= 0.6 * len(v) and plain > 0 and (not changed or 2 * plain >= len(inside))
+    return bool(best)
+
+
+def test_slots_by_brute_force(spark):
+    rng = random.Random(91)
+    names, low = ["Tom", "Mary", "Ann", "Bob", "Kim", "Eva"], lambda: rng.choice(WORDS) + rng.choice(WORDS)
+    item_words = lambda: [low() if k == 0 or rng.random() < 0.75 else rng.choice([str(rng.randrange(3, 30)), rng.choice(names)]) for k in range(rng.choice([14, 22, 35]))]
+
+    def apart(words):  # two slots in a row would be one
+        return [low() if k and re.match("[A-Z0-9]", w) and re.match("[A-Z0-9]", words[k - 1]) else w for k, w in enumerate(words)]
+
+    items = [(i, " ".join(apart(apart(item_words())))) for i in range(20)]
+    rows = []
+    for i in range(500):
+        w = words_of(rng.choice(items)[1])
+        slots = [k for k, x in enumerate(w) if re.match("[A-Z0-9]", x)]
+        kind = i % 5
+        if kind == 1 and slots:  # one map
+            to = {x: str(rng.randrange(100, 200)) if x.isdigit() else rng.choice(["Zoe", "Leo", "Ida"]) for x in {w[k] for k in slots}}
+            w = [to.get(x, x) for x in w]
+        elif kind == 2 and slots:  # values at random
+            for k in rng.sample(slots, rng.randrange(1, len(slots) + 1)):
+                w[k] = str(rng.randrange(300, 400)) if w[k].isdigit() else rng.choice(["Zoe", "Leo", "Ida"])
+        elif kind == 3:
+            w[rng.randrange(len(w))] = "other"
+        elif kind == 4:
+            w = [low() for _ in w]
+        rows.append((i, " ".join([low() for _ in range(rng.randrange(1, 30))] + w + [low() for _ in range(rng.randrange(1, 30))])))
+    got = {(r["doc"], r["item"]) for r in decontaminate.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i) for d, t in rows for i, x in items if brute_slots(t, x)}
+    assert got == want and len(want) > 250 and not any(d % 5 == 4 for d, _ in got)  # clean texts are left alone
+
+
 def test_contaminated(spark):
     item = "A farmer in Kansas sells 12 kg of apples to Mary for 30 dollars and then Mary gives 12 kg back to the farmer so how many apples has Mary"
     changed = item.replace("12 kg", "45 kg").replace("30", "7").replace("Mary", "Helen")
-    wrong = item.replace("12 kg", "45 kg", 1)  # one slot, two values
+    wrong = item.replace("12 kg", "45 kg", 1)  # one slot, two values: the windows without it are enough
+    typo = item[::-1].replace("yraM", "yraN", 1)[::-1]
     bench = spark.createDataFrame([(1, item), (2, "tiny words here"), (3, None), (4, "1 2 3 4 5 6 7 8 9 10"), (5, ""), (1, item)], "item_id long, text string").withColumn("doc", F.lit(0))
     rng = random.Random(5)
-    rows = [(1, prose(rng, 30) + "\n" + item + "\n" + prose(rng, 20)), (2, changed), (3, wrong), (4, prose(rng, 100)), (5, None), (6, ""), (7, "see tiny words here now"), (8, "5 6 7 8 9 10 11 12 13 14 15"), (1, item)]
+    rows = [(1, prose(rng, 30) + "\n" + item + "\n" + prose(rng, 20)), (2, changed), (3, wrong), (4, prose(rng, 100)), (5, None), (6, ""), (7, "see tiny words here now"), (8, "5 6 7 8 9 10 11 12 13 14 15"), (1, item), (9, typo), (10, prose(rng, 12) + " " + changed.replace("45 kg", "46 kg", 1).replace("Helen for 7", "Ann for 8") + " " + changed)]
     got = {(r["doc"], r["item"]): r["changed"] for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
-    assert set(got) == {(1, 1), (2, 1), (7, 2)} and got[(1, 1)] == 0 and got[(2, 1)] == 3
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (7, 2), (9, 1), (10, 1)} and got[(1, 1)] == got[(3, 1)] == got[(9, 1)] == 0 and got[(2, 1)] == 3
     clean = decontaminate.without_contaminated(docs(spark, rows), bench)
-    assert sorted(r["doc_id"] for r in clean.collect()) == [3, 4, 5, 6, 8]
+    assert sorted(r["doc_id"] for r in clean.collect()) == [4, 5, 6, 8]
     assert decontaminate.contaminated(docs(spark, rows), bench.limit(0)).isEmpty()
     sifted, decontaminate.SIFT = decontaminate.SIFT, 0
     try:
@@ -579,11 +630,11 @@ def test_codewords():
 
 def test_language(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
-    hard = docs(spark, [(-1, None), (-2, ""), (-3, "12 34 !!"), (-4, "z")], False)
+    hard = docs(spark, [(-1, None), (-2, ""), (-3, "12 34 !!"), (-5, "½ ² Ⅷ ①"), (-4, "z")], False)
     model = langid.train(table.where("doc_id % 4 <> 0").unionByName(hard, True))
     found = langid.predict(table.where("doc_id % 4 = 0 AND length(text) > 100").withColumn("score", F.lit("x")), model)
     assert found.where("lang = lang_pred").count() >= 0.97 * found.count() and found.where("score < 0 OR score > 1").isEmpty()
-    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(hard.where("doc_id > -4"), model).collect()} == {-1: "und", -2: "und", -3: "und"}
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(hard.where("doc_id <> -4"), model).collect()} == {-1: "und", -2: "und", -3: "und", -5: "und"}
     none = langid.train(table.limit(0))
     assert {r["lang_pred"] for r in langid.predict(hard, none).collect()} == {"und"}
     one = langid.train(table.where("lang = 'en'"))
