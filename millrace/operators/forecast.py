@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.regression import deviations
+
 
 class Moments:
     """Count, sums and sums of products of rows, less a fixed row near them, so that large means cost few digits."""
@@ -30,9 +32,7 @@ def fit(m: Moments, k: int) -> tuple[float, np.ndarray]:
     """Intercept and weights of the three-pass filter, from moments of rows y, k columns x, proxies."""
     mean, c = m.centred()
     x, z = slice(1, 1 + k), slice(1 + k, None)
-    var = np.diag(c)[x]
-    d = np.sqrt(np.maximum(var, 0) / (m.n - 1))
-    d = np.where(d > 1e-9 * (1 + np.abs(mean[x])), d, 1.0)
+    d = deviations(np.diag(c)[x], mean[x], m.n)
     w = c[x, z] / d[:, None]
     w = w - w.mean(0)
     alpha = w @ np.linalg.lstsq(w.T @ (c[x, x] / np.outer(d, d)) @ w, w.T @ (c[x, 0] / d), rcond=1e-12)[0] / d

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -247,29 +246,3 @@ def correlate(signal: DataFrame, kernel: list[float], n: int) -> DataFrame:
     """Valid cross-correlation: place i is the sum of v[i + k] kernel[k]."""
     out = convolve(signal, kernel[::-1])
     return out.where((F.col("i") >= len(kernel) - 1) & (F.col("i") < n)).select((F.col("i") - len(kernel) + 1).alias("i"), "v")
-
-
-def gram(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """X'X, column sums and the number of rows, from one pass; at most SMALL columns."""
-    if len(columns) > SMALL:
-        raise ValueError(f"more than {SMALL} columns")
-    from millrace.operators.reduce import moments
-
-    row = moments(df, columns).first().asDict()
-    g = np.zeros((len(columns), len(columns)))
-    for a, x in enumerate(columns):
-        for b, y in enumerate(columns[a:], a):
-            g[a, b] = g[b, a] = row[f"p_{x}_{y}"] or 0.0
-    return g, np.array([row[f"s_{c}"] or 0.0 for c in columns]), row["n"]
-
-
-def singular_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(k, value) in descending order, from the eigenvalues of the Gram matrix: rows stay distributed."""
-    g, _, _ = gram(df, columns)
-    s = np.sqrt(np.maximum(np.linalg.eigvalsh(g)[::-1], 0))
-    return df.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(s)], "k int, value double")
-
-
-def qr_r(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """The triangular factor of a tall matrix (positive diagonal), by Cholesky of its Gram matrix."""
-    return np.linalg.cholesky(gram(df, columns)[0]).T

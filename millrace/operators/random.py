@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def uniform(seed: int, *keys: str | Column) -> Column:
@@ -30,15 +27,3 @@ def dropout(df: DataFrame, columns: list[str], p: float, seed: int, key: str, tr
     if not training:
         return df
     return df.withColumns({c: F.when(uniform(seed, F.col(key), F.lit(k)) < p, 0.0).otherwise(F.col(c) / (1 - p)) for k, c in enumerate(columns)})
-
-
-def pcg64_stream(seeds: DataFrame, seed_col: str, n: int, kind: str = "uniform") -> DataFrame:
-    """(seed, i, value): the first n draws of NumPy's default generator for each seed; kind is uniform or normal."""
-
-    def draw(batches):
-        for pdf in batches:
-            for s in pdf[seed_col]:
-                g = np.random.Generator(np.random.PCG64(int(s)))
-                yield pd.DataFrame({"seed": int(s), "i": np.arange(n), "value": g.random(n) if kind == "uniform" else g.standard_normal(n)})
-
-    return seeds.select(seed_col).mapInPandas(draw, T.StructType([T.StructField("seed", T.LongType()), T.StructField("i", T.LongType()), T.StructField("value", T.DoubleType())]))

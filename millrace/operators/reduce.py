@@ -63,15 +63,6 @@ def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, h
     return every.join(counts, "bin", "left").select("bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("left_edge"), (F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("right_edge"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: n, sums s_<a> and sums of products p_<a>_<b> (a not after b), the material of covariances and least squares."""
-    out = [F.count(F.lit(1)).alias("n")]
-    for i, a in enumerate(columns):
-        out.append(F.sum(F.col(a).cast("double")).alias(f"s_{a}"))
-        out += [F.sum(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"p_{a}_{b}") for b in columns[i:]]
-    return df.agg(*out)
-
-
 def covariance(df: DataFrame, columns: list[str], ddof: int = 1) -> DataFrame:
     """(a, b, cov, corr) of every two columns: centred single-pass aggregates of the upper triangle, from which the rest follows."""
     cov = F.covar_samp if ddof else F.covar_pop

@@ -1,4 +1,4 @@
-"""Least squares and factor forecasts from single-pass moments and k x k solves on the driver."""
+"""Least squares and factor forecasts from the triangle of a tall QR and k x k solves on the driver."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.matrix import gram
+from millrace.operators import tall
 
 
 @dataclass
@@ -26,26 +26,45 @@ class Fit:
         return df.sparkSession.createDataFrame([(k, float(v)) for k, v in found], "term string, value double")
 
 
-def centred_moments(df: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Means, sums of centred products, and the rows without a NaN or NULL in these columns: two passes, so that large means cost no digits."""
+def complete(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """A column of ones and the columns as DOUBLE, in rows without a NaN or NULL in them, and the columns' names."""
     own = [f"x{k}" for k in range(len(names))]  # a column may be asked for twice
-    good = df.select(*[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(names, own)]).where(" AND ".join(f"{x} IS NOT NULL AND NOT isnan({x})" for x in own))
-    row = good.agg(*[F.avg(x).alias(x) for x in own]).first()
-    if row["x0"] is None:
-        return np.full(len(names), np.nan), np.zeros((len(names), len(names))), 0
-    means = np.array([row[x] for x in own], float)
-    g, s, n = gram(good.select(*[(F.col(x) - F.lit(float(m))).alias(x) for x, m in zip(own, means)]), own)
-    return means + s / n, g - np.outer(s, s) / n, n
+    good = df.select(F.lit(1.0).alias("one"), *[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(names, own)]).where(" AND ".join(f"{x} IS NOT NULL AND NOT isnan({x})" for x in own))
+    return good, ["one", *own]
+
+
+def centred_triangle(df: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Means, the triangle R of the columns less their means, and the rows without a NaN or NULL in these columns.
+
+    R is what the triangle of a column of ones and the columns has below its first row, so that neither large means nor nearly dependent columns cost digits.
+    """
+    r = tall.r_factor(*complete(df, names))
+    n = round(r[0, 0] ** 2)
+    return r[0, 1:] / r[0, 0] if n else np.full(len(names), np.nan), r[1:, 1:], n
+
+
+def centred_moments(df: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Means, sums of centred products, and the rows without a NaN or NULL in these columns, in one pass."""
+    n, means, products = tall.moments(*complete(df, names))
+    return means[1:], products[1:, 1:], n
+
+
+def deviations(variances: np.ndarray, means: np.ndarray, n: int) -> np.ndarray:
+    """Standard deviations (n - 1) of sums of squares; 1 for a constant column, whose weight is then 0."""
+    d = np.sqrt(np.maximum(variances, 0) / max(1, n - 1))
+    return np.where(d > 1e-9 * (1 + np.abs(means)), d, 1.0)
 
 
 def lm(df: DataFrame, y: str, columns: list[str]) -> Fit:
-    """Ordinary least squares with an intercept; rows with a NaN or NULL in y or the columns are left out."""
-    means, g, n = centred_moments(df, [y, *columns])
+    """Ordinary least squares with an intercept; rows with a NaN or NULL in y or the columns are left out. Of dependent columns the shortest coefficients are given."""
+    k = len(columns)
+    means, r, n = centred_triangle(df, [*columns, y])
     if not n:
-        return Fit(columns, float("nan"), np.full(len(columns), np.nan), float("nan"), float("nan"), 0)
-    beta = np.linalg.lstsq(g[1:, 1:], g[1:, 0], rcond=1e-12)[0]
-    r2 = float(beta @ g[1:, 0] / g[0, 0]) if g[0, 0] else float("nan")
-    return Fit(columns, float(means[0] - beta @ means[1:]), beta, r2, 1 - (1 - r2) * (n - 1) / max(1, n - len(columns) - 1), n)
+        return Fit(columns, float("nan"), np.full(k, np.nan), float("nan"), float("nan"), 0)
+    beta = np.linalg.lstsq(r[:k, :k], r[:k, k], rcond=1e-13)[0] if k else np.empty(0)
+    total, left = float(r[:, k] @ r[:, k]), r[:, k] - r[:, :k] @ beta
+    r2 = 1 - float(left @ left) / total if total else float("nan")
+    return Fit(columns, float(means[k] - beta @ means[:k]), beta, r2, 1 - (1 - r2) * (n - 1) / max(1, n - k - 1), n)
 
 
 def polyfit(df: DataFrame, x: str, y: str, degree: int) -> np.ndarray:
@@ -74,13 +93,13 @@ class Factor:
 def three_pass_filter(df: DataFrame, y: str, xs: list[str], zs: list[str]) -> Factor:
     """The three-pass regression filter in closed form, from centred moments.
 
-    Rows with a NaN or NULL in any column are left out. Columns of X are scaled to a standard deviation (n - 1) of one. alpha = W (W' Sxx W)^-1 W' sxy,
+    Rows with a NaN or NULL in any column are left out. Columns of X are scaled to a standard deviation (n - 1) of one; a constant one weighs nothing. alpha = W (W' Sxx W)^-1 W' sxy,
     where W is the cross moments of X and Z less their mean over the columns of X; the fit is
     intercept + X alpha, with alpha given for the unscaled columns.
     """
     means, c, n = centred_moments(df, [y, *xs, *zs])
     p = len(xs)
-    d = np.sqrt(np.diag(c)[1 : 1 + p] / (n - 1))
+    d = deviations(np.diag(c)[1 : 1 + p], means[1 : 1 + p], n)
     sxx, sxz, sxy = c[1 : 1 + p, 1 : 1 + p] / np.outer(d, d), c[1 : 1 + p, 1 + p :] / d[:, None], c[1 : 1 + p, 0] / d
     alpha = _alpha(sxx, sxz - sxz.mean(0), sxy)
     r2 = float(2 * alpha @ sxy - alpha @ sxx @ alpha) / c[0, 0]

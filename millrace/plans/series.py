@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, decimal, text
-from millrace.operators import forecast, linear, matrix, ordered, random, reduce, regression, simulation
+from millrace.operators import blocks, forecast, matrix, ordered, random, reduce, regression, simulation, tall
 from millrace.plans.registry import query, r
 from millrace.sources import csv
 from millrace.sources.tables import table
@@ -167,10 +167,68 @@ def polynomial_fit(spark, sf):
     return spark.createDataFrame([(k, round(float(x), d)) for k, (x, d) in enumerate(zip(c, (5, 3, 2)))], "k int, value double")
 
 
+def _wide_embeddings(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(64)])
+
+
+_ALL = [f"x{k}" for k in range(64)]
+_GRAM = _CELLS + ", g AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY 1, 2) "
+
+
 @query("singular_values")
 def singular_values(spark, sf):
-    wide = table(spark, sf, "embeddings").select(*[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(64)])
-    return matrix.singular_values(wide, [f"x{k}" for k in range(64)])
+    return tall.singular_values(_wide_embeddings(spark, sf), _ALL)
+
+
+@query("spectral_sums", _GRAM + """, h AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM g a JOIN g b ON a.j = b.i GROUP BY 1, 2)
+    SELECT 2 AS power, round((SELECT sum(v) FROM g WHERE i = j), 3) AS total UNION ALL SELECT 4, round((SELECT sum(v * v) FROM g), 1) UNION ALL SELECT 6, round((SELECT sum(g.v * h.v) FROM g JOIN h ON g.i = h.i AND g.j = h.j), -2)""")
+def spectral_sums(spark, sf):
+    """Sums of even powers of the singular values: traces of powers of the Gram matrix."""
+    s = tall.singular_values(_wide_embeddings(spark, sf), _ALL)
+    return s.select(F.explode(F.array(*[F.struct(F.lit(p).alias("power"), F.pow("value", F.lit(p)).alias("v"), F.lit(d).alias("d")) for p, d in ((2, 3), (4, 1), (6, -2))])).alias("x")).groupBy("x.power").agg(F.sum("x.v").alias("v")).select("power", F.expr("CASE power WHEN 2 THEN round(v, 3) WHEN 4 THEN round(v, 1) ELSE round(v, -2) END").alias("total"))
+
+
+@query("qr_decomposition", _GRAM + "SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0 END AS qtq, round(v, 4) AS rtr FROM g")
+def qr_decomposition(spark, sf):
+    """Products of the factors with themselves: Q'Q from the rows of Q, R'R from the triangle."""
+    q, r_ = tall.qr(_wide_embeddings(spark, sf), _ALL, ["vec_id"])
+    rows = q.select("vec_id", F.array(*_ALL).alias("row"))
+    m = matrix.cells(rows, "vec_id", "row")
+    own = matrix.matmul(matrix.transpose(m), m)
+    gram = r_.T @ r_
+    rtr = spark.createDataFrame([(i, j, float(gram[i, j])) for i in range(64) for j in range(64)], "i long, j long, w double")
+    return rtr.join(own.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "v"), ["i", "j"]).select("i", "j", (F.round("v", 8) + 0.0).alias("qtq"), r("w", 4, "rtr"))
+
+
+@query("projections", _CELLS + "SELECT i AS vec_id, CAST(j AS INT) AS j, round(v, 6) AS v FROM m")
+def projections(spark, sf):
+    """Each row times its pseudo-inverse and the matrix again: the row itself."""
+    wide = _wide_embeddings(spark, sf)
+    u, s, vt = tall.svd(wide, _ALL, ["vec_id"])
+    back = tall.times(u, [f"u{k}" for k in range(64)], ["vec_id"], [("times", s[:, None] * vt)], _ALL)
+    return back.select("vec_id", F.posexplode(F.array(*_ALL)).alias("j", "v")).select("vec_id", "j", (F.round("v", 6) + 0.0).alias("v"))
+
+
+def _embedding_blocks(spark, sf, size):
+    df = ordered.dense_index(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
+    return blocks.from_rows(df, "i", "embedding", df.count(), 64, size)
+
+
+@query("blocked_solve", "SELECT row_number() OVER (PARTITION BY j ORDER BY i) - 1 AS i, j, round(v, 6) AS v FROM (" + _CELLS + "SELECT * FROM m)")
+def blocked_solve(spark, sf):
+    """(X X' + I) Z for the solution Z of (X X' + I) Z = X, a system of as many equations as there are rows."""
+    x = blocks.kept(_embedding_blocks(spark, sf, 256))
+    a = blocks.kept(blocks.plus(blocks.matmul(x, blocks.transposed(x)), blocks.identity(spark, x.rows, x.size)))
+    z = blocks.solve(a, x)
+    return blocks.cells(blocks.matmul(a, z)).select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query("blocked_cholesky", _GRAM + "SELECT i, j, round(v, 4) AS v FROM g")
+def blocked_cholesky(spark, sf):
+    """L L' for the Cholesky factor L of the Gram matrix, in blocks of 16."""
+    x = _embedding_blocks(spark, sf, 16)
+    low = blocks.kept(blocks.cholesky(blocks.matmul(blocks.transposed(x), x)))
+    return blocks.cells(blocks.matmul(low, blocks.transposed(low))).select("i", "j", r("v", 4))
 
 
 def _factor_forecast_sql():
@@ -376,14 +434,21 @@ def _gram(spark, sf):
 
 @query("inverse_check", "SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0 END AS v FROM range(64) a(i), range(64) b(j)")
 def inverse_check(spark, sf):
-    """The Gram matrix times its inverse."""
-    g = _gram(spark, sf)
-    return matrix.matmul(g, linear.inverse(g, 64)).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.round("v", 6) + 0.0).alias("v"))
+    """The Gram matrix times its inverse, in blocks of 16."""
+    x = _embedding_blocks(spark, sf, 16)
+    g = blocks.kept(blocks.matmul(blocks.transposed(x), x))
+    return blocks.cells(blocks.matmul(g, blocks.inverse(g))).select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
 @query("gram_eigenvalues")
 def gram_eigenvalues(spark, sf):
-    return linear.eigenvalues(_gram(spark, sf), 64)
+    """The ten leading eigenpairs of the Gram matrix: the value, and the largest part of X'X v - value * v."""
+    x = _embedding_blocks(spark, sf, 64)
+    g = blocks.kept(blocks.matmul(blocks.transposed(x), x))
+    values, vectors = blocks.eigh(g, 10, more=54)
+    gap = matrix.elementwise(blocks.cells(blocks.matmul(g, vectors)), blocks.cells(vectors), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    named = spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "j long, value double")
+    return gap.join(F.broadcast(named), "j").groupBy(F.col("j").alias("k"), "value").agg(F.max(F.abs(F.col("v.a") - F.col("value") * F.col("v.b"))).alias("residual"))
 
 
 @query("factor_forecasts_by_label")
