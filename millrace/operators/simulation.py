@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def path_window(path: str, session: str) -> Window:
@@ -42,51 +37,6 @@ def episodes(df: DataFrame, path: str, session: str, value: str, least_percent:
     return under.where(F.col("depth") * 100 >= least_percent).select(path, "start", "end", "depth", "sessions", (F.col("end") < F.col("__last")).alias("recovered"))
 
 
-def along_paths(df: DataFrame, path: str, session: str, columns: list[str], step, outputs: list[str]) -> DataFrame:
-    """path, session, columns and outputs (doubles) of a fold along each path in order of session.
-
-    Rows are dealt out by path, sorted on disk if need be and streamed; step(state, *values)
-    gives the new state and the outputs of a row, with None as the first state. A task holds a
-    batch and one state, however long a path is.
-    """
-    rows = df.select(path, session, *[F.col(c).cast("double").alias(c) for c in columns]).repartition(path).sortWithinPartitions(path, session)
-    schema = T.StructType([*rows.schema.fields, *(T.StructField(name, T.DoubleType()) for name in outputs)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state, begun = None, None, False
-        for batch in batches:
-            found = []
-            for key, *values in zip(batch.column(0).to_pylist(), *[batch.column(2 + k).to_pylist() for k in range(len(columns))]):
-                if not begun or key != current:
-                    current, state, begun = key, None, True
-                state, out = step(state, *values)
-                found.append(out)
-            cols = zip(*found) if found else [[]] * len(outputs)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.float64()) for c in cols)], names=schema.names)
-
-    return rows.mapInArrow(run, schema)
-
-
-def banded(df: DataFrame, path: str, session: str, value: str, band: float) -> DataFrame:
-    """Hysteresis: `held` follows a value only when it moves from what is held by more than the band. NULL holds what there is."""
-
-    def step(held, x):
-        held = x if held is None or (x is not None and abs(x - held) > band) else held
-        return held, (held,)
-
-    return along_paths(df, path, session, [value], step, ["held"])
-
-
-def ewma(df: DataFrame, path: str, session: str, value: str, keep: float) -> DataFrame:
-    """Exponentially weighted mean of each path: keep * before + (1 - keep) * x, from the first value. NULL changes nothing."""
-
-    def step(mean, x):
-        mean = x if mean is None else mean if x is None else keep * mean + (1 - keep) * x
-        return mean, (mean,)
-
-    return along_paths(df, path, session, [value], step, ["ewma"])
-
-
 def depth_at_exhaustion(df: DataFrame, path: str, session: str, value: str, buffer: int) -> DataFrame:
     """path, peak_at and depth of each stretch below a peak: the worst depth from `buffer` sessions after the peak on, NULL where the stretch ends before."""
     d = drawdowns(df, path, session, value)
@@ -97,20 +47,6 @@ def depth_at_exhaustion(df: DataFrame, path: str, session: str, value: str, buff
     return place.groupBy(path, "__island").agg(F.min(session).alias("peak_at"), late.alias("depth"), F.max("__place").alias("__n")).where("__n > 0").select(path, "peak_at", "depth")
 
 
-def volatility(df: DataFrame, path: str, session: str, value: str, keep: float = 0.94, start: float = 0.01, per_year: int = 252) -> DataFrame:
-    """path, session, value and vol: the yearly exponentially weighted volatility of log returns, from a daily one of `start`; the first session has 0."""
-
-    def step(state, x):
-        if state is None:
-            return (x, start * start), (0.0,)
-        before, square = state
-        change = math.log(x / before) if x and before and x / before > 0 else 0.0
-        square = keep * square + (1 - keep) * change * change
-        return (x, square), (math.sqrt(square * per_year),)
-
-    return along_paths(df, path, session, [value], step, ["vol"])
-
-
 def trend_exposure(df: DataFrame, path: str, session: str, value: str, sessions: int, floor: float) -> DataFrame:
     """path, session, value and exposure: 1 where the value is at or above the mean of its last `sessions` (the first ones: of what there is), else the floor."""
     mean = F.avg(value).over(path_window(path, session).rowsBetween(1 - sessions, 0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, text
-from millrace.operators import construct, matrix, reduce, relational, simulation
+from millrace.operators import construct, matrix, recurrences, reduce, relational, simulation
 from millrace.plans.registry import query, r
 from millrace.sources import csv
 from millrace.sources.shared import shared_dir
@@ -233,4 +233,4 @@ def exposures(spark, sf):
 
 @query("volatility", _PATHS + ", q AS (SELECT user_id, event_id, rn - 1 AS t, coalesce(pow(ln(px / lag(px) OVER (PARTITION BY user_id ORDER BY event_id)), 2), 0) AS rr FROM p) SELECT user_id, event_id, CASE WHEN t = 0 THEN 0.0::DOUBLE ELSE round(sqrt(252 * pow(0.94, t) * (0.0001 + sum(CASE WHEN t > 0 THEN 0.06 * rr / pow(0.94, t) ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))), 5) END AS vol FROM q")
 def volatility(spark, sf):
-    return simulation.volatility(_user_paths(spark, sf), "user_id", "event_id", "px").select("user_id", "event_id", r("vol", 5))
+    return recurrences.volatility(_user_paths(spark, sf), "user_id", "event_id", "px").select("user_id", "event_id", r("vol", 5))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, decimal, text
-from millrace.operators import blocks, forecast, matrix, ordered, random, reduce, regression, simulation, tall
+from millrace.operators import blocks, forecast, matrix, ordered, random, recurrences, reduce, regression, simulation, tall
 from millrace.plans.registry import query, r
 from millrace.sources import csv
 from millrace.sources.tables import table
@@ -379,13 +379,48 @@ def drawdown_episodes(spark, sf):
 @query("hysteresis", """WITH RECURSIVE p AS (SELECT user_id, event_id, value + 1 AS px, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
     h AS (SELECT *, px AS held FROM p WHERE rn = 1 UNION ALL SELECT p.*, CASE WHEN abs(p.px - h.held) > 5 THEN p.px ELSE h.held END FROM h JOIN p ON p.user_id = h.user_id AND p.rn = h.rn + 1) SELECT user_id, event_id, px, held FROM h""")
 def hysteresis(spark, sf):
-    return simulation.banded(_user_paths(spark, sf), "user_id", "event_id", "px", 5.0)
+    return recurrences.banded(_user_paths(spark, sf), "user_id", "event_id", "px", 5.0)
 
 
 @query("smoothed", """WITH q AS (SELECT user_id, event_id, value + 1 AS px, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t FROM events)
     SELECT user_id, event_id, round(pow(0.94, t) * sum(CASE WHEN t = 0 THEN px ELSE 0.06 * px / pow(0.94, t) END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS ewma FROM q""")
 def smoothed(spark, sf):
-    return simulation.ewma(_user_paths(spark, sf), "user_id", "event_id", "px", 0.94).select("user_id", "event_id", r("ewma", 6))
+    return recurrences.ewma(_user_paths(spark, sf), "user_id", "event_id", "px", 0.94).select("user_id", "event_id", r("ewma", 6))
+
+
+def _one_path(spark, sf):
+    """All events as one path, in chunks of about 500 rows."""
+    return table(spark, sf, "events").select(F.lit(1).alias("path"), "event_id", (F.col("value") + 1).alias("px"))
+
+
+@query("hysteresis_one_path", """WITH RECURSIVE p AS (SELECT event_id, value + 1 AS px, row_number() OVER (ORDER BY event_id) AS rn FROM events),
+    h AS (SELECT *, px AS held FROM p WHERE rn = 1 UNION ALL SELECT p.*, CASE WHEN abs(p.px - h.held) > 5 THEN p.px ELSE h.held END FROM h JOIN p ON p.rn = h.rn + 1) SELECT event_id, held FROM h""")
+def hysteresis_one_path(spark, sf):
+    return recurrences.banded(_one_path(spark, sf), "path", "event_id", "px", 5.0, size=500).select("event_id", "held")
+
+
+@query("smoothed_one_path", """WITH q AS (SELECT event_id, value + 1 AS px, row_number() OVER (ORDER BY event_id) - 1 AS t FROM events), b AS (SELECT event_id, t, px, t // 500 AS k, t % 500 AS d FROM q),
+    w AS (SELECT *, CASE WHEN t = 0 THEN px ELSE 0.06 * px END AS x FROM b), near AS (SELECT a.event_id, sum(c.x * pow(0.94, a.t - c.t)) AS e FROM w a JOIN w c ON c.t BETWEEN a.t - 800 AND a.t GROUP BY 1)
+    SELECT event_id, round(e, 6) AS ewma FROM near""")
+def smoothed_one_path(spark, sf):
+    return recurrences.ewma(_one_path(spark, sf), "path", "event_id", "px", 0.94, size=500).select("event_id", r("ewma", 6))
+
+
+@query("expanding_median", "SELECT user_id, event_id, median(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS median FROM events")
+def expanding_median(spark, sf):
+    return recurrences.expanding_median(table(spark, sf, "events"), "user_id", "event_id", "value").select("user_id", "event_id", "median")
+
+
+@query("expanding_median_one_path", "SELECT event_id, median(floor(value)) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS median FROM events")
+def expanding_median_one_path(spark, sf):
+    return recurrences.expanding_median(_one_path(spark, sf).withColumn("v", F.floor(F.col("px") - 1)), "path", "event_id", "v", size=500).select("event_id", "median")
+
+
+@query("volatility_ratio", """WITH q AS (SELECT user_id, event_id, value + 1 AS px, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t FROM events), c AS (SELECT *, coalesce(pow(ln(px / lag(px) OVER (PARTITION BY user_id ORDER BY event_id)), 2), 0) AS rr FROM q),
+    v AS (SELECT user_id, event_id, CASE WHEN t = 0 THEN 0.0::DOUBLE ELSE sqrt(252 * pow(0.94, t) * (0.0001 + sum(CASE WHEN t > 0 THEN 0.06 * rr / pow(0.94, t) ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))) END AS vol FROM c),
+    m AS (SELECT *, median(vol) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS mid FROM v) SELECT user_id, event_id, round(CASE WHEN mid = 0 THEN 1 ELSE vol / mid END, 5) AS vol_ratio FROM m""")
+def volatility_ratio(spark, sf):
+    return recurrences.vol_ratio(_user_paths(spark, sf), "user_id", "event_id", "px").select("user_id", "event_id", r("vol_ratio", 5))
 
 
 @query("path_grades", """WITH p AS (SELECT user_id, event_id, value + 1 AS px, max(value + 1) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS peak, (value + 1) / lag(value + 1) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS r FROM events),

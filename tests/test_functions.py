@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, decimal, ieee, text
-from millrace.operators import forecast, matrix, ordered, random, reduce, regression, relational, simulation
+from millrace.operators import forecast, matrix, ordered, random, recurrences, reduce, regression, relational, simulation
 from millrace.sources import csv
 
 NAN, INF = float("nan"), float("inf")
@@ -188,7 +188,7 @@ def test_simulation(spark):
     df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate([10, 8, 9, 11, 5, 6])], "p int, s int, x double")
     got = simulation.episodes(df, "p", "s", "x", 10).orderBy("start").collect()
     assert [(r["start"], r["end"], round(r["depth"], 4), r["recovered"]) for r in got] == [(1, 2, 0.2, True), (4, 5, 0.5455, False)]
-    assert [r["held"] for r in simulation.banded(df, "p", "s", "x", 2.5).orderBy("s").collect()] == [10, 10, 10, 10, 5, 5]
+    assert [r["held"] for r in recurrences.banded(df, "p", "s", "x", 2.5).orderBy("s").collect()] == [10, 10, 10, 10, 5, 5]
 
 
 def test_draws(spark):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import construct, forecast, matrix, ordered, random, reduce, regression, relational, simulation
+from millrace.operators import construct, forecast, matrix, ordered, random, recurrences, reduce, regression, relational, simulation
 from millrace.sources import csv
 
 
@@ -156,14 +156,14 @@ def test_out_of_sample_by_refitting(spark, procedure, window):
 def test_paths(spark):
     rows = [(p, s, v) for p, path in {1: [10, 8, 9, 11, 5, 6, 12, 11], 2: [3, 3.5], 3: [7]}.items() for s, v in enumerate(path)]
     df = spark.createDataFrame([(p, s, float(v)) for p, s, v in rows], "p int, s int, x double").repartition(3)
-    got = simulation.ewma(df, "p", "s", "x", 0.5).orderBy("p", "s").collect()
+    got = recurrences.ewma(df, "p", "s", "x", 0.5).orderBy("p", "s").collect()
     assert [r["ewma"] for r in got if r["p"] == 1][:3] == [10, 9, 9] and [r["ewma"] for r in got if r["p"] == 2] == [3, 3.25]
-    assert [r["held"] for r in simulation.banded(df, "p", "s", "x", 2.5).where("p = 1").orderBy("s").collect()] == [10, 10, 10, 10, 5, 5, 12, 12]
+    assert [r["held"] for r in recurrences.banded(df, "p", "s", "x", 2.5).where("p = 1").orderBy("s").collect()] == [10, 10, 10, 10, 5, 5, 12, 12]
     late = {(r["p"], r["peak_at"]): r["depth"] for r in simulation.depth_at_exhaustion(df, "p", "s", "x", 2).collect()}
     assert late == {(1, 0): pytest.approx(0.1), (1, 3): pytest.approx(1 - 6 / 11), (1, 6): None}
-    assert [r["vol"] for r in simulation.volatility(df, "p", "s", "x").where("p = 3").collect()] == [0.0]
+    assert [r["vol"] for r in recurrences.volatility(df, "p", "s", "x").where("p = 3").collect()] == [0.0]
     none = df.limit(0)
-    assert simulation.ewma(none, "p", "s", "x", 0.5).isEmpty() and simulation.depth_at_exhaustion(none, "p", "s", "x", 2).isEmpty()
+    assert recurrences.ewma(none, "p", "s", "x", 0.5).isEmpty() and simulation.depth_at_exhaustion(none, "p", "s", "x", 2).isEmpty()
 
 
 def test_draws_and_texts(spark):
