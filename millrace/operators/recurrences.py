@@ -306,6 +306,39 @@ def banded(df: DataFrame, path: str, session: str, value: str, band: float, size
     return along(df, path, session, value, _band(band), "held", size)
 
 
+# --- below the peak -------------------------------------------------------------------
+
+
+def _below_peak() -> Recurrence:
+    """1 - x / the largest value so far; the state is that value."""
+
+    def peaks(state, x):
+        return np.fmax.accumulate(np.append(np.nan if state is None else state, x))[1:]
+
+    def summary(x):
+        there = x[~np.isnan(x)]
+        return float(there.max()) if len(there) else None
+
+    def after(state, m):
+        return m if state is None else state if m is None else max(state, m)
+
+    def run(state, x):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = 1 - x / peaks(state, x)
+        return np.where(np.isinf(out), np.nan, out)
+
+    return Recurrence(summary, after, run)
+
+
+def drawdown(df: DataFrame, path: str, session: str, value: str, size: int = ROWS) -> DataFrame:
+    """path, session, value and drawdown: 1 - value / the largest value so far; NULL where the value is, or the largest is 0."""
+    return along(df, path, session, value, _below_peak(), "drawdown", size)
+
+
+#: Recurrences by name, for streams.
+RULES = {"ewma": lambda keep=0.94: _average(keep), "vol": lambda keep=0.94, start=0.01, per_year=252: _volatility(keep, start, per_year), "held": lambda band=1.0: _band(band), "drawdown": _below_peak}
+
+
 # --- expanding median -----------------------------------------------------------------
 
 
