@@ -39,7 +39,7 @@ def classify(x) -> Column:
     """ISO8601, YMD, MDY (also where only the order of day and month is open), DMY, MonthDayYear, DayMonthYear, MDYWithTime (a clock before the year) or Unknown."""
     raw, s = F.trim(_c(x)), _date_first(x)
     numbers = r"^(\d{1,2})[-/.](\d{1,2})(?:[-/.]|\s+(?=\d{4}))(\d{4}|\d{2})(?!\d)"
-    a, b = F.regexp_extract(s, numbers, 1).try_cast("int"), F.regexp_extract(s, numbers, 2).try_cast("int")
+    a, b = (F.nullif(F.regexp_extract(s, numbers, k), F.lit("")).cast("int") for k in (1, 2))
     possible = (a > 0) & (b > 0) & (a <= 31) & (b <= 31) & ((a <= 12) | (b <= 12))
     return (
         F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}T") & ~raw.rlike(r"[+-]\d{2}:?\d{2}$"), "ISO8601")
@@ -70,16 +70,16 @@ def parse(x, day_first: bool = False, enforce: bool = False) -> Column:
     found = F.split(F.regexp_replace(_date_first(x), _FORMS, "|" + "|".join(f"${k}" for k in range(1, 17)) + "|."), r"\|")
 
     def build(p: Column) -> Column:
-        number = lambda k: p[k].try_cast("int")
+        number = lambda k: F.when(p[k] != "", p[k].cast("int"))  # groups are digits or empty
         hour = F.coalesce(number(13), F.lit(0))
         half = F.lower(p[16])
         hour = F.when(half == "p", hour % 12 + 12).when(half == "a", hour % 12).otherwise(hour)
-        second = F.coalesce(p[15].try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
+        second = F.when(p[15] != "", p[15].cast("decimal(16,6)")).otherwise(F.lit(0).cast("decimal(16,6)"))
         month_first = F.lit(not day_first) if enforce else number(5) > 12 if day_first else ~(number(4) > 12)
         year = F.coalesce(number(1), number(6), number(9), number(12))
         year = F.when(year <= 30, year + 2000).when(year < 100, year + 1900).otherwise(year)
         month = F.when(p[1] != "", number(2)).when(p[4] != "", F.when(month_first, number(4)).otherwise(number(5))).otherwise(month_number(F.concat(p[7], p[11])))
-        day = F.when(p[1] != "", number(3)).when(p[4] != "", F.when(month_first, number(5)).otherwise(number(4))).otherwise(F.concat(p[8], p[10]).try_cast("int"))
+        day = F.when(p[1] != "", number(3)).when(p[4] != "", F.when(month_first, number(5)).otherwise(number(4))).otherwise(F.concat(p[8], p[10]).cast("int"))
         return F.when(F.size(p) == 18, F.try_make_timestamp_ntz(year, month, day, hour, F.coalesce(number(14), F.lit(0)), second))
 
     return let(found, build)
@@ -88,7 +88,7 @@ def parse(x, day_first: bool = False, enforce: bool = False) -> Column:
 def infer_order(df: DataFrame, column: str) -> DataFrame:
     """One row, `date_order`: MonthFirst, DayFirst, None for evidence of both, Auto for none."""
     pattern = r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.]\d{2,4}"
-    a, b = F.regexp_extract(column, pattern, 1).try_cast("int"), F.regexp_extract(column, pattern, 2).try_cast("int")
+    a, b = (F.nullif(F.regexp_extract(column, pattern, k), F.lit("")).cast("int") for k in (1, 2))
     votes = df.agg(F.coalesce(F.max((b > 12) & (a <= 12)), F.lit(False)).alias("m"), F.coalesce(F.max((a > 12) & (b <= 12)), F.lit(False)).alias("d"))
     return votes.select(F.when(F.col("m") & F.col("d"), "None").when(F.col("m"), "MonthFirst").when(F.col("d"), "DayFirst").otherwise("Auto").alias("date_order"))
 
