@@ -176,14 +176,32 @@ def csv_round_trip(spark, sf):
     return csv.read_smart(spark, path)
 
 
-@query("csv_ragged", """SELECT CAST(n AS INT) AS width, count(*) AS n FROM (SELECT 2 + c_custkey % 3 AS n FROM customer) GROUP BY 1""")
+@query("csv_ragged", """SELECT CAST(2 + c_custkey % 3 AS INT) AS width, CAST(c_custkey AS VARCHAR) AS f0, 'a, "b"' || chr(10) || c_name AS f1, CASE WHEN c_custkey % 3 <> 0 THEN 'x' END AS f2, CASE WHEN c_custkey % 3 = 2 THEN 'y' END AS f3 FROM customer""")
 def csv_ragged(spark, sf):
     """Rows of two to four fields, one of which holds the delimiter, a line end and quotes."""
     path = shared_dir(spark, "ragged")
     c = table(spark, sf, "customer").withColumn("note", F.concat(F.lit('a, "b"\n'), "c_name"))
     more = F.when(F.col("c_custkey") % 3 == 0, F.lit("")).when(F.col("c_custkey") % 3 == 1, F.lit(",x")).otherwise(F.lit(",x,y"))
     c.select(F.concat(csv.format_row(["c_custkey", "note"]), more).alias("value")).write.text(path)
-    return csv.arity(csv.read_ragged(spark, path, ","))
+    return csv.read_ragged(spark, path, ",").select(F.size("fields").alias("width"), *[F.get("fields", F.lit(k)).alias(f"f{k}") for k in range(4)])
+
+
+@query("csv_rectangular", "SELECT CAST(c_custkey AS VARCHAR) AS f0, CASE WHEN c_custkey % 3 <> 0 THEN c_name ELSE '' END AS f1, CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment ELSE '' END AS f2 FROM customer")
+def csv_rectangular(spark, sf):
+    path = shared_dir(spark, "rectangular")
+    c = table(spark, sf, "customer")
+    c.select(F.concat_ws("\t", F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")), F.when(F.col("c_custkey") % 3 == 2, F.col("c_mktsegment"))).alias("value")).write.text(path)
+    return csv.rectangular(csv.read_ragged(spark, path, "\t")).select(*[F.col("fields")[k].alias(f"f{k}") for k in range(3)])
+
+
+@query("typed_table", "SELECT CAST(o_orderkey AS INTEGER) AS orderKey, CAST(o_custkey AS INTEGER) AS customer, o_totalprice AS totalPrice, o_orderdate AS placed, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority, o_orderkey % 2 = 0 AS even FROM orders")
+def typed_table(spark, sf):
+    """Orders written as text with a header in every file, and read back with their types."""
+    path = shared_dir(spark, "typed")
+    o = table(spark, sf, "orders")
+    text = o.select(F.col("o_orderkey").alias("Order key"), F.col("o_custkey").alias("Customer"), F.col("o_totalprice").alias("total_price"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("placed"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("priority"), F.when(F.col("o_orderkey") % 2 == 0, "yes").otherwise("no").alias("EVEN"))
+    text.write.option("header", True).csv(path)
+    return csv.read_typed(spark, path)
 
 
 @query("date_texts", """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS full_text, strftime(o_orderdate, '%A %-d %B %Y') AS long_text, strftime(o_orderdate, '%a') AS day,

@@ -175,12 +175,12 @@ def test_width_of_all_rows(spark, tmp_path):
     p = tmp_path / "late.csv"
     p.write_text("1,2,3\n" * 150 + "4,5,6,7,8\n")
     df = csv.read_smart(spark, str(p))
-    assert csv.shape_of(spark, str(p), ",") == (5, False)
+    assert csv.width_of(spark, str(p), ",") == 5
     assert len(df.columns) == 5 and [tuple(r) for r in df.where("col1 = 4").collect()] == [(4.0, 5.0, 6.0, 7.0, 8.0)] and df.count() == 151
     q = tmp_path / "held.csv"
     q.write_text("1,2,3\n" * 150 + '4,"x\ny",6,7\n')
     df = csv.read_smart(spark, str(q))
-    assert csv.shape_of(spark, str(q), ",") == (4, True)
+    assert csv.width_of(spark, str(q), ",") == 4
     assert len(df.columns) == 4 and df.count() == 151 and df.where("col4 = 7").count() == 1
 
 
