@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, decimal, text
-from millrace.operators import blocks, forecast, matrix, ordered, random, recurrences, reduce, regression, simulation, tall
+from millrace.operators import blocks, factors, forecast, matrix, ordered, random, recurrences, reduce, regression, simulation, tall
 from millrace.plans.registry import query, r
 from millrace.sources import csv
 from millrace.sources.tables import table
@@ -255,6 +255,23 @@ def factor_forecast(spark, sf):
     return wide.select("vec_id", r(F.lit(f.intercept) + sum(F.col(f"x{k}") * float(f.alpha[k - 1]) for k in range(1, 9)), 6, "fitted"))
 
 
+_AUTOPROXY = _CELLS + """, n AS (SELECT count(*) AS n FROM embeddings), u AS (SELECT j, avg(v) AS u FROM m GROUP BY j), x AS (SELECT i, j, v - u AS v FROM m JOIN u USING (j)),
+    c AS (SELECT a.j AS a, b.j AS b, sum(a.v * b.v) AS v FROM x a JOIN x b ON a.i = b.i GROUP BY 1, 2), d AS (SELECT a, sqrt(v / (n - 1)) AS d FROM c, n WHERE a = b AND a > 0),
+    s AS (SELECT c.a, c.b, c.v / p.d / q.d AS v FROM c JOIN d p ON p.a = c.a JOIN d q ON q.a = c.b), y AS (SELECT c.a, c.v / d AS v FROM c JOIN d ON d.a = c.a WHERE c.b = 0),
+    w1 AS (SELECT a, v - avg(v) OVER () AS w FROM y), g1 AS (SELECT (SELECT sum(w * v) FROM w1 JOIN y USING (a)) / (SELECT sum(p.w * s.v * q.w) FROM s JOIN w1 p ON p.a = s.a JOIN w1 q ON q.a = s.b) AS g),
+    z2 AS (SELECT y.a, y.v - r.v AS v FROM y JOIN (SELECT s.a, sum(s.v * w * g) AS v FROM s JOIN w1 ON w1.a = s.b, g1 GROUP BY s.a) r ON r.a = y.a), w2 AS (SELECT a, v - avg(v) OVER () AS w FROM z2),
+    k AS (SELECT w1.a, w1.w AS p, w2.w AS q FROM w1 JOIN w2 USING (a)), e AS (SELECT sum(f.p * s.v * h.p) AS pp, sum(f.p * s.v * h.q) AS pq, sum(f.q * s.v * h.q) AS qq FROM s JOIN k f ON f.a = s.a JOIN k h ON h.a = s.b),
+    t AS (SELECT sum(p * v) AS tp, sum(q * v) AS tq FROM k JOIN y USING (a)), f AS (SELECT k.a, (p * (tp * qq - tq * pq) + q * (tq * pp - tp * pq)) / (pp * qq - pq * pq) / d AS f FROM k JOIN d USING (a), e, t)
+    SELECT i AS vec_id, round(any_value(u0.u) + sum(x.v * f), 6) AS fitted FROM x JOIN f ON f.a = x.j, (SELECT u FROM u WHERE j = 0) u0 GROUP BY i"""
+
+
+@query("factor_autoproxies", _AUTOPROXY)
+def factor_autoproxies(spark, sf):
+    """The first dimension by all others, with two automatic proxies."""
+    wide = _wide_embeddings(spark, sf)
+    return factors.estimate(wide, "x0", _ALL[1:], proxies=2).rows(wide, ["vec_id"]).select("vec_id", r("fitted", 6))
+
+
 _EIGHT = [f"CAST(embedding[{k + 1}] AS DOUBLE)" for k in range(9)]
 
 
