@@ -187,11 +187,10 @@ def linked_components(buckets: DataFrame, content: Callable[[DataFrame], DataFra
         both = pairs.select("a", "c_a", "c_b", "items_b").join(side("a", "items"), "a")
         return mapped(both.select("c_a", "c_b", "items_a", "items_b"), _verify(percent), "a long, b long")
 
-    def open_rows(rows: DataFrame, to: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    def open_rows(rows: DataFrame, to: DataFrame) -> tuple[DataFrame, DataFrame]:
         """sig, id, component of buckets with more than one component, and for each such bucket its largest component, its rows and the
-        pairs of rows of different components, one of which probes. to: what key (id or component) now belongs to."""
-        to = to.select(F.col("id").alias(key), F.col("component").alias("up"))
-        named = rows.join(to, key, "left").select("sig", "id", "probe", F.coalesce("up", key).alias("component"))
+        pairs of rows of different components, one of which probes. to: the components of ids; others are their own."""
+        named = rows.select("sig", "id", "probe").join(to, "id", "left").select("sig", "id", "probe", F.coalesce("component", "id").alias("component"))
         by = named.groupBy("sig", "component").agg(F.count(F.lit(1)).cast("double").alias("c"), F.count_if("probe").alias("p"))
         mixed = by.groupBy("sig").agg(F.max_by("component", F.struct("c", "component")).alias("top"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.sum("p").alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
         mixed = written(mixed.select("sig", "top", "n", F.least((F.col("n") * F.col("n") - F.col("q")) / 2, F.col("p") * F.col("n")).alias("pairs")), "mixed")
@@ -209,12 +208,12 @@ def linked_components(buckets: DataFrame, content: Callable[[DataFrame], DataFra
 
     pairs = buckets.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("id").alias("c_a"), F.col("hub").alias("c_b")).distinct()
     done = written(components(tested(pairs)), "components")
-    rest, mixed = open_rows(buckets.where("more").select("sig", "id", "probe"), done, "id")
+    rest, mixed = open_rows(buckets.where("more"), done)
     discard(buckets)
     if rekey is not None and not rest.isEmpty():
         old = rest
         rows = written(shared_buckets(rekey(items.join(rest.select("id").distinct(), "id"))).select("sig", "id", "probe"), "narrow")
-        rest, mixed = open_rows(rows, done, "id")
+        rest, mixed = open_rows(rows, done)
         discard(old, rows)
     for turn in range(ROUNDS):
         if not crowded(mixed):
@@ -231,7 +230,7 @@ def linked_components(buckets: DataFrame, content: Callable[[DataFrame], DataFra
         if new.isEmpty():
             break
         done, old = joined(done, new), rest
-        rest, mixed = open_rows(rest, new, "component")
+        rest, mixed = open_rows(rest, done)
         discard(old)
     if not rest.isEmpty():
         every = rest.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, FIRST).alias("sigs"))  # of one set
