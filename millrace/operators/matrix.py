@@ -74,6 +74,10 @@ def repeat_rows(m: DataFrame, n: int) -> DataFrame:
     return m.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select((F.col("i") * n + F.col("__k")).alias("i"), "j", "v")
 
 
+def repeat_columns(m: DataFrame, n: int) -> DataFrame:
+    return m.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("i", (F.col("j") * n + F.col("__k")).alias("j"), "v")
+
+
 def tile(m: DataFrame, shape: tuple[int, int], down: int, across: int) -> DataFrame:
     out = m.withColumn("__a", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
     return out.select((F.col("i") + F.col("__a") * shape[0]).alias("i"), (F.col("j") + F.col("__b") * shape[1]).alias("j"), "v")
@@ -242,7 +246,8 @@ def convolve(signal: DataFrame, kernel: list[float], mode: str = "full", n: int
     return out.where((F.col("i") >= low) & (F.col("i") < low + size)).select((F.col("i") - low).alias("i"), "v")
 
 
-def correlate(signal: DataFrame, kernel: list[float], n: int) -> DataFrame:
-    """Valid cross-correlation: place i is the sum of v[i + k] kernel[k]."""
-    out = convolve(signal, kernel[::-1])
-    return out.where((F.col("i") >= len(kernel) - 1) & (F.col("i") < n)).select((F.col("i") - len(kernel) + 1).alias("i"), "v")
+def correlate(signal: DataFrame, kernel: list[float], n: int, mode: str = "valid") -> DataFrame:
+    """Cross-correlation of a signal of n items with a kernel that is not longer: place i of `valid` is the sum of v[i + k] kernel[k]; modes as in convolve()."""
+    if len(kernel) > n:
+        raise ValueError("the kernel is longer than the signal")
+    return convolve(signal, kernel[::-1], mode, n)

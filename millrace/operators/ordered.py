@@ -6,6 +6,10 @@ is carried by a row for each range (totals, extremes) or by copies of the few ro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,3 +156,49 @@ def autocorrelation(df: DataFrame, index: str, value: str, lag: int, how: str =
     x = F.abs(value) if how == "abs" else F.col(value) * F.col(value)
     both = shift(df.withColumn("__x", x), index, "__x", lag, NAN, "__y")
     return both.where(~F.isnan("__y")).agg(F.corr("__x", "__y").alias("autocorr"))
+
+
+def autocorrelations(df: DataFrame, index: str, value: str, lags: int, how: str = "abs", rows: int = 65_536) -> DataFrame:
+    """(lag, autocorr) for lags 1 to `lags`, all in one pass: the correlation of |x| (how = abs), x squared (square) or x (plain) with itself `lag` rows before.
+
+    Blocks of a dense index with copies of the rows before them give their part of all sums of
+    products by FFT; the parts are added up. Too few rows for a lag, or a constant, give NULL.
+    """
+    from millrace.operators import tall
+    from millrace.operators.recurrences import segments
+
+    x = {"abs": F.abs(value), "square": F.col(value) * F.col(value), "plain": F.col(value)}[how].cast("double")
+    rows = max(rows, lags)
+    base = df.select(F.col(index).cast("long").alias("i"), x.alias("x"))
+    n, mean = base.agg(F.count(F.lit(1)), F.avg("x")).first()
+    less = base.withColumn("x", F.col("x") - F.lit(mean or 0.0))  # large means cost no digits
+    near = _with_halo(less, "i", lags, rows).select("__block", "i", "x", "__copy").repartition("__block").sortWithinPartitions("__block", "i")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in segments(batches, 1):
+            at, v, copy = part.column(1).to_numpy(), part.column(2).to_numpy(zero_copy_only=False), part.column(3).to_numpy(zero_copy_only=False)
+            if copy.all():
+                continue
+            own = np.where(copy, 0.0, v)
+            size = 1 << int(len(v) + lags).bit_length()
+            products = np.fft.irfft(np.fft.rfft(own, size) * np.conj(np.fft.rfft(v, size)), size)[1 : lags + 1]
+            # Sums over the rows that have a row `lag` before them, and over those rows.
+            lag, late, early = np.arange(1, lags + 1), v[~copy], at[~copy]
+            total, square = np.cumsum(late), np.cumsum(late * late)
+            upto = np.searchsorted(early, lag)  # own rows before place `lag`
+            before = np.searchsorted(early, n - lag)
+            ends = lambda s, k: np.append(0.0, s)[k]
+            sums = [products, total[-1] - ends(total, upto), ends(total, before), square[-1] - ends(square, upto), ends(square, before)]
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(sums).tobytes()], pa.binary())], names=["m"])
+
+    found = tall.combined(near.mapInArrow(run, "m binary"), lambda ms: np.sum(ms, 0))
+    out = []
+    for k in range(1, lags + 1):
+        if found is None or n - k < 2:
+            out.append((k, None))
+            continue
+        xy, sx, sy, xx, yy = found.reshape(5, lags)[:, k - 1]
+        m = n - k
+        spread = (xx - sx * sx / m) * (yy - sy * sy / m)
+        out.append((k, float((xy - sx * sy / m) / spread**0.5) if spread > 0 else None))
+    return df.sparkSession.createDataFrame(out, "lag int, autocorr double")

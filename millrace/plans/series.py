@@ -440,6 +440,45 @@ def volatility_ratio(spark, sf):
     return recurrences.vol_ratio(_user_paths(spark, sf), "user_id", "event_id", "px").select("user_id", "event_id", r("vol_ratio", 5))
 
 
+@query("autocorrelations", """WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, abs(o_totalprice) AS x FROM orders) SELECT CAST(k AS INT) AS lag, round(corr(a.x, b.x), 6) AS autocorr FROM range(1, 61) t(k), o a JOIN o b ON b.i = a.i - k GROUP BY 1""")
+def autocorrelations(spark, sf):
+    return ordered.autocorrelations(_orders(spark, sf), "i", "o_totalprice", 60, rows=4096).select("lag", r("autocorr", 6))
+
+
+@query("autocorrelations_of_squares", """WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_totalprice * o_totalprice AS x FROM orders) SELECT CAST(k AS INT) AS lag, round(corr(a.x, b.x), 6) AS autocorr FROM range(1, 21) t(k), o a JOIN o b ON b.i = a.i - k GROUP BY 1""")
+def autocorrelations_of_squares(spark, sf):
+    return ordered.autocorrelations(_orders(spark, sf), "i", "o_totalprice", 20, "square", rows=4096).select("lag", r("autocorr", 6))
+
+
+@query("correlation_with_kernel", """WITH s AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_totalprice AS v FROM orders), k AS (SELECT * FROM (VALUES (0, 1.0::DOUBLE), (1, -2.0), (2, 0.5)) t(k, w)), f AS (SELECT i - k + 2 AS i, sum(v * w) AS v FROM s, k GROUP BY 1)
+    SELECT 'full' AS mode, i, round(v, 5) AS v FROM f UNION ALL SELECT 'same', i - 1, round(v, 5) FROM f WHERE i BETWEEN 1 AND (SELECT count(*) FROM s) UNION ALL SELECT 'valid', i - 2, round(v, 5) FROM f WHERE i BETWEEN 2 AND (SELECT count(*) - 1 FROM s)""")
+def correlation_with_kernel(spark, sf):
+    s = _orders(spark, sf).select("i", F.col("o_totalprice").alias("v"))
+    n, out = s.count(), None
+    for mode in ("full", "same", "valid"):
+        own = matrix.correlate(s, [1.0, -2.0, 0.5], n, mode).select(F.lit(mode).alias("mode"), "i", r("v", 5))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("polynomial_values", "SELECT l_orderkey, l_linenumber, l_partkey, round(0.5 * pow(l_quantity, 3) - 2 * pow(l_quantity, 2) + 7, 6) AS value FROM lineitem")
+def polynomial_values(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(regression.polyval([0.5, -2.0, 0.0, 7.0], "l_quantity"), 6).alias("value"))
+
+
+@query("kronecker_tiles", _CELLS + """, k AS (SELECT * FROM (VALUES (0, 0, 2.0::DOUBLE), (0, 1, -1.0), (1, 0, 0.5), (1, 1, 3.0)) t(a, b, w)), n AS (SELECT count(*) AS n FROM embeddings)
+    SELECT 'kron' AS kind, 2 * i + a AS i, 2 * j + b AS j, round(v * w, 6) AS v FROM m, k UNION ALL SELECT 'repeat', i, 2 * j + b, round(v, 6) FROM m, (SELECT DISTINCT b FROM k) UNION ALL SELECT 'tile', i, j + 64 * b, round(v, 6) FROM m, (SELECT DISTINCT b FROM k) UNION ALL SELECT 'diagonal', i, i, round(v, 6) FROM m WHERE i = j""")
+def kronecker_tiles(spark, sf):
+    m = _cells(spark, sf)
+    small = spark.createDataFrame([(0, 0, 2.0), (0, 1, -1.0), (1, 0, 0.5), (1, 1, 3.0)], "i long, j long, v double")
+    parts = {"kron": matrix.kron(m, small, (2, 2)), "repeat": matrix.repeat_columns(m, 2), "tile": matrix.tile(m, (0, 64), 1, 2), "diagonal": matrix.diagonal(m).select("i", F.col("i").alias("j"), "v")}
+    out = None
+    for kind, p in parts.items():
+        own = p.select(F.lit(kind).alias("kind"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r("v", 6))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query("path_grades", """WITH p AS (SELECT user_id, event_id, value + 1 AS px, max(value + 1) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS peak, (value + 1) / lag(value + 1) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS r FROM events),
     g AS (SELECT user_id, count(*) AS sessions, arg_max(px, event_id) / arg_min(px, event_id) - 1 AS total, avg(r) AS m, stddev_pop(r) AS s, max(1 - px / peak) AS deepest, sqrt(avg((1 - px / peak) * (1 - px / peak))) AS ulcer FROM p GROUP BY user_id)
     SELECT user_id, sessions, round(total, 6) AS total_return, CASE WHEN s > 0 THEN round(m / s * sqrt(252), 5) END AS sharpe, round(deepest, 6) AS max_drawdown, CASE WHEN sessions > 1 AND deepest > 0 THEN round(ln(1 + total) * 252 / (sessions - 1), 5) END AS log_yearly, round(ulcer, 6) AS ulcer FROM g""")

@@ -234,3 +234,25 @@ def test_forecasts_against_a_loop(spark):
             a, b = refit(y[k, at], x[k, at], y[k, at][:, None])
             assert got[k, t] == pytest.approx(a + b @ x[k, t])
         assert procedure == "cross" or math.isnan(got[0, 3])
+
+
+def test_hash64(spark):
+    pattern = lambda n: bytes(i % 251 for i in range(n))
+    want = {0: "ef46db3751d8e999", 1: "e934a84adb052768", 31: "1c6261c72c5bb941", 32: "5eb185272875c70a", 33: "de3c11f38ec8382d", 55: "064bcac1af2898bb", 56: "303d0e17bdea8ee3", 57: "c55313ac7231cc51"}
+    got = text.hashes64([pattern(n) for n in want])
+    assert [f"{h:016x}" for h in got.tolist()] == list(want.values())
+    values = [pattern(n) for n in (500, 63, 64, 65, 127, 128, 129, 1000, 0, 64)]
+    assert text.hashes64(values).tolist() == [int(text.hashes64([v])[0]) for v in values]  # one by one as side by side
+    df = spark.createDataFrame([("", b"a"), (None, None), ("\x00", b"\x00")], "s string, b binary")
+    assert [tuple(r) for r in df.select(text.hash64("s"), text.hash64("b")).collect()] == [("ef46db3751d8e999", f"{int(text.hashes64([b'a'])[0]):016x}"), (None, None), ("e934a84adb052768",) * 2]
+
+
+def test_autocorrelations(spark):
+    x = np.random.default_rng(5).standard_normal(500) + 1000
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, v double").repartition(5)
+    for how, y in (("plain", x), ("square", x * x)):
+        for rows in (30, 100_000):
+            got = [r["autocorr"] for r in ordered.autocorrelations(df, "i", "v", 25, how, rows).orderBy("lag").collect()]
+            np.testing.assert_allclose(got, [np.corrcoef(y[k:], y[:-k])[0, 1] for k in range(1, 26)], atol=1e-7)
+    assert [r["autocorr"] for r in ordered.autocorrelations(df.where("i < 3"), "i", "v", 3).orderBy("lag").collect()][1:] == [None, None]
+    assert all(r["autocorr"] is None for r in ordered.autocorrelations(df.limit(0), "i", "v", 2).collect())
