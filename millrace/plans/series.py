@@ -488,6 +488,42 @@ def path_grades(spark, sf):
     return g.select("user_id", "sessions", r("total_return", 6), r("sharpe", 5), r("max_drawdown", 6), r(yearly, 5, "log_yearly"), r("ulcer", 6))
 
 
+_MID = lambda c: f"list_sort(list({c}) FILTER (WHERE {c} IS NOT NULL AND NOT isnan({c})))[CAST(len(list({c}) FILTER (WHERE {c} IS NOT NULL AND NOT isnan({c}))) // 2 + 1 AS BIGINT)]"
+
+
+@query("market_measures", f"""
+    WITH p AS (SELECT user_id, event_id, value + 1 AS px FROM events), q AS (SELECT *, max(px) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS peak, max(event_id) OVER (PARTITION BY user_id) AS fin, ln(px / lag(px) OVER (PARTITION BY user_id ORDER BY event_id)) AS r FROM p),
+    a AS (SELECT *, abs(r) AS a FROM q WHERE r IS NOT NULL), l AS (SELECT *, lag(a, 1) OVER (PARTITION BY user_id ORDER BY event_id) AS a1, lag(a, 20) OVER (PARTITION BY user_id ORDER BY event_id) AS a20, avg(r) OVER (PARTITION BY user_id) AS m FROM a),
+    e AS (SELECT user_id, sqrt(avg(r * r) * 252) AS vol, CASE WHEN avg((r - m) * (r - m)) > 0 THEN avg(pow(r - m, 4)) / pow(avg(pow(r - m, 2)), 2) END AS kurtosis, corr(a, a1) AS ac1, corr(a, a20) AS ac20 FROM l GROUP BY user_id),
+    w AS (SELECT user_id, ln(arg_max(px, event_id) / arg_min(px, event_id)) / 2 * 100 AS growth, avg(CASE WHEN 1 - px / peak > 0.05 THEN 1.0 ELSE 0 END) AS below_5, avg(CASE WHEN 1 - px / peak > 0.1 THEN 1.0 ELSE 0 END) AS below_10, avg(CASE WHEN 1 - px / peak > 0.2 THEN 1.0 ELSE 0 END) AS below_20 FROM q GROUP BY user_id),
+    s AS (SELECT *, sum(CASE WHEN px >= peak THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS island FROM q), d AS (SELECT max(1 - px / peak) AS depth, max(event_id) = max(fin) AS cut FROM s WHERE px < peak GROUP BY user_id, island HAVING max(1 - px / peak) * 100 >= 15),
+    m AS (SELECT count(*) AS paths, {', '.join(f'{_MID(c)} AS {c}' for c in ('vol', 'kurtosis', 'ac1', 'ac20', 'growth', 'below_5', 'below_10', 'below_20'))} FROM w LEFT JOIN e USING (user_id)),
+    k AS (SELECT count(*) AS episodes, {_MID('depth')} AS median_depth, max(depth) AS worst_depth, count_if(cut) AS censored FROM d)
+    SELECT paths, {', '.join(f'round({c}, 5) AS {c}' for c in ('vol', 'kurtosis', 'ac1', 'ac20', 'growth', 'below_5', 'below_10', 'below_20', 'median_depth', 'worst_depth'))}, episodes, CAST(censored AS BIGINT) AS censored, round(episodes / paths, 5) AS episodes_a_path FROM m, k""")
+def market_measures(spark, sf):
+    m = simulation.measure(_user_paths(spark, sf), "user_id", "event_id", "px", 2.0)
+    return m.select("paths", *[r(c, 5) for c in ("vol", "kurtosis", "ac1", "ac20", "growth", "below_5", "below_10", "below_20", "median_depth", "worst_depth")], "episodes", "censored", r("episodes_a_path", 5))
+
+
+@query("strategy_paths", """WITH p AS (SELECT user_id, event_id, value + 1 AS px, max(value + 1) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS peak, avg(value + 1) OVER (PARTITION BY user_id ORDER BY event_id ROWS 4 PRECEDING) AS m FROM events),
+    e AS (SELECT *, (CASE WHEN px >= m THEN 1.0 ELSE 0.5 END) * (CASE WHEN (1 - px / peak) * 100 > 20 THEN 0.2 ELSE 1.0 END) AS e FROM p), l AS (SELECT *, lag(e) OVER w AS e0, lag(px) OVER w AS p0 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    s AS (SELECT user_id, event_id, e, coalesce(e0 * ln(px / p0) - abs(e - e0) * 0.001, 0) AS step FROM l) SELECT user_id, event_id, round(e, 6) AS exposure, round(sum(step) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS log_equity FROM s""")
+def strategy_paths(spark, sf):
+    """The equity of a trend rule and a drawdown rule together, with costs."""
+    px = _user_paths(spark, sf)
+    rules = [simulation.trend_exposure(px, "user_id", "event_id", "px", 5, 0.5), simulation.drawdown_exposure(px, "user_id", "event_id", "px", 20, 0.2)]
+    both = px.join(simulation.combined_exposure(px, "user_id", "event_id", rules), ["user_id", "event_id"])
+    return simulation.arm_path(both, "user_id", "event_id", "px", "exposure", cost=0.001).select("user_id", "event_id", r("exposure", 6), r("log_equity", 6))
+
+
+@query("withdrawals", """WITH p AS (SELECT user_id, ln(value + 1) AS c, row_number() OVER w - 1 AS n, count(*) OVER (PARTITION BY user_id) AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), m AS (SELECT user_id, c, n // 3 AS k FROM p WHERE n % 3 = 0 AND n < (t // 3) * 3),
+    r AS (SELECT a.user_id, 1200 / sum(exp(a.c - b.c)) AS rate FROM m a JOIN m b ON a.user_id = b.user_id AND b.k BETWEEN a.k + 1 AND a.k + 10 GROUP BY a.user_id, a.k, a.c HAVING count(*) = 10)
+    SELECT user_id, count(*) AS starts, round(list_sort(list(rate))[CAST(count(*) // 2 + 1 AS BIGINT)], 5) AS median_rate, round(min(rate), 5) AS worst_rate FROM r GROUP BY user_id""")
+def withdrawals(spark, sf):
+    px = _user_paths(spark, sf).withColumn("c", F.ln("px"))
+    return simulation.withdrawal_rates(px, "user_id", "event_id", "c", every=3, window=10).select("user_id", "starts", r("median_rate", 5), r("worst_rate", 5))
+
+
 @query("events_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
 def events_tumbling(spark, sf):
     return events.tumbling(table(spark, sf, "events"), "ts", "1 hour", "event_type", "value").select("window_start", "event_type", "n", r("total", 3))
