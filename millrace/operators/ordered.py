@@ -14,15 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.ieee import NAN
+from millrace.operators import tall
+from millrace.operators.recurrences import bucketed, segments
 
 
 def ranges(df: DataFrame, order: str, n: int | None = None) -> DataFrame:
-    """df with `__range`, 0 to about n, ascending with a numeric order column; bounds are approximate quantiles, equal values stay together."""
-    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(df.approxQuantile(order, [k / n for k in range(1, n)], 0.01))) if n > 1 else []
-    c = F.col(order).cast("double")
-    where = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < c)) if bounds else F.lit(0)
-    return df.withColumn("__range", where)
+    """df with `__range`, 0 to about n, ascending with a number, date or timestamp; bounds are approximate quantiles, equal values stay together."""
+    return bucketed(df, order, "__range", n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def dense_index(df: DataFrame, order: str, ties: list[str] | None = None, n: int | None = None, name: str = "i") -> DataFrame:
@@ -164,9 +162,6 @@ def autocorrelations(df: DataFrame, index: str, value: str, lags: int, how: str
     Blocks of a dense index with copies of the rows before them give their part of all sums of
     products by FFT; the parts are added up. Too few rows for a lag, or a constant, give NULL.
     """
-    from millrace.operators import tall
-    from millrace.operators.recurrences import segments
-
     x = {"abs": F.abs(value), "square": F.col(value) * F.col(value), "plain": F.col(value)}[how].cast("double")
     rows = max(rows, lags)
     base = df.select(F.col(index).cast("long").alias("i"), x.alias("x"))

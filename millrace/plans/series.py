@@ -440,12 +440,12 @@ def volatility_ratio(spark, sf):
     return recurrences.vol_ratio(_user_paths(spark, sf), "user_id", "event_id", "px").select("user_id", "event_id", r("vol_ratio", 5))
 
 
-@query("autocorrelations", """WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, abs(o_totalprice) AS x FROM orders) SELECT CAST(k AS INT) AS lag, round(corr(a.x, b.x), 6) AS autocorr FROM range(1, 61) t(k), o a JOIN o b ON b.i = a.i - k GROUP BY 1""")
+@query("autocorrelations", """WITH o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, abs(o_totalprice) AS x FROM orders), s AS MATERIALIZED (SELECT i - k AS i, x, CAST(k AS INT) AS lag FROM o, range(1, 61) t(k)) SELECT lag, round(corr(s.x, o.x), 6) AS autocorr FROM s JOIN o USING (i) GROUP BY lag""")
 def autocorrelations(spark, sf):
     return ordered.autocorrelations(_orders(spark, sf), "i", "o_totalprice", 60, rows=4096).select("lag", r("autocorr", 6))
 
 
-@query("autocorrelations_of_squares", """WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_totalprice * o_totalprice AS x FROM orders) SELECT CAST(k AS INT) AS lag, round(corr(a.x, b.x), 6) AS autocorr FROM range(1, 21) t(k), o a JOIN o b ON b.i = a.i - k GROUP BY 1""")
+@query("autocorrelations_of_squares", """WITH o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_totalprice * o_totalprice AS x FROM orders), s AS MATERIALIZED (SELECT i - k AS i, x, CAST(k AS INT) AS lag FROM o, range(1, 21) t(k)) SELECT lag, round(corr(s.x, o.x), 6) AS autocorr FROM s JOIN o USING (i) GROUP BY lag""")
 def autocorrelations_of_squares(spark, sf):
     return ordered.autocorrelations(_orders(spark, sf), "i", "o_totalprice", 20, "square", rows=4096).select("lag", r("autocorr", 6))
 
