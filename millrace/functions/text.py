@@ -116,6 +116,14 @@ def starts_with_ignore_case(x, prefix: str) -> Column:
     return F.lower(_c(x)).startswith(prefix.lower())
 
 
+def lookup_ignoring_case(x, values: dict[str, str]) -> Column:
+    """What a map of at most 10,000 keys has for a text, whatever its case; NULL if nothing. Of keys that are equal but for their case the last counts."""
+    if len(values) > 10_000:
+        raise ValueError("the map is too large for a literal; join with a table")
+    low = {k.lower(): v for k, v in values.items()}
+    return F.try_element_at(F.create_map(*[F.lit(y) for pair in low.items() for y in pair]), F.lower(_c(x))) if low else F.lit(None).cast("string")
+
+
 def strip_prefix(x, prefix: str) -> Column:
     x = _c(x)
     return F.when(x.startswith(prefix), x.substr(F.lit(len(prefix) + 1), F.length(x))).otherwise(x)

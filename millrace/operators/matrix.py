@@ -19,6 +19,12 @@ def rows(df: DataFrame) -> DataFrame:
     return df.groupBy(F.col("i").alias("rid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("row"))
 
 
+def shape(m: DataFrame) -> DataFrame:
+    """One row: rows, columns (the largest places and one more), size, and cells that are there."""
+    rows, columns = F.coalesce(F.max("i") + 1, F.lit(0)).cast("long"), F.coalesce(F.max("j") + 1, F.lit(0)).cast("long")
+    return m.agg(rows.alias("rows"), columns.alias("columns"), (rows * columns).alias("size"), F.count(F.lit(1)).alias("cells"))
+
+
 def transpose(m: DataFrame) -> DataFrame:
     return m.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
 

@@ -311,6 +311,29 @@ def date_order(spark, sf):
     return dates.infer_order(table(spark, sf, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("s")), "s")
 
 
+@query("date_orders", """WITH d AS (SELECT day(o_orderdate) AS d, o_orderkey % 2 = 0 AS even FROM orders) SELECT 'day first' AS form, CASE WHEN max(d) > 12 THEN 'DayFirst' ELSE 'Auto' END AS date_order FROM d UNION ALL SELECT 'month first', CASE WHEN max(d) > 12 THEN 'MonthFirst' ELSE 'Auto' END FROM d
+    UNION ALL SELECT 'mixed', CASE WHEN max(d) FILTER (WHERE even) > 12 AND max(d) FILTER (WHERE NOT even) > 12 THEN 'None' WHEN max(d) FILTER (WHERE even) > 12 THEN 'DayFirst' WHEN max(d) FILTER (WHERE NOT even) > 12 THEN 'MonthFirst' ELSE 'Auto' END FROM d UNION ALL SELECT 'open', 'Auto' FROM d WHERE d <= 12 GROUP BY 2""")
+def date_orders(spark, sf):
+    o = table(spark, sf, "orders")
+    day, month = F.date_format("o_orderdate", "dd/MM/yyyy"), F.date_format("o_orderdate", "MM/dd/yyyy")
+    forms = {"day first": o.select(day.alias("s")), "month first": o.select(month.alias("s")), "mixed": o.select(F.when(F.col("o_orderkey") % 2 == 0, day).otherwise(month).alias("s")), "open": o.where(F.dayofmonth("o_orderdate") <= 12).select(day.alias("s"))}
+    out = None
+    for name, texts in forms.items():
+        own = dates.infer_order(texts, "s").select(F.lit(name).alias("form"), "date_order")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("matrix_shape", _CELLS + "SELECT max(i) + 1 AS rows, max(j) + 1 AS columns, (max(i) + 1) * (max(j) + 1) AS size, count(*) AS cells FROM m")
+def matrix_shape(spark, sf):
+    return matrix.shape(_cells(spark, sf))
+
+
+@query("lookups", "SELECT c_custkey, CASE lower(c_mktsegment) WHEN 'building' THEN 'b' WHEN 'machinery' THEN 'm' END AS short FROM customer")
+def lookups(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", text.lookup_ignoring_case("c_mktsegment", {"Building": "b", "mAchinery": "m"}).alias("short"))
+
+
 @query("numbers_from_text", "SELECT o_orderkey, o_totalprice AS money, round((o_orderkey % 100) / 100.0, 4) AS pct, false AS word_is_number FROM orders")
 def numbers_from_text(spark, sf):
     o = table(spark, sf, "orders")

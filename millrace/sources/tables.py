@@ -18,3 +18,10 @@ def files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
+
+
+def contents(spark: SparkSession, path: str, most: int = 64 << 20) -> DataFrame:
+    """path, length, content (bytes) and text (UTF-8; NULL where it isn't) of whole files, of at most so many bytes; larger ones have NULL content."""
+    files = spark.read.format("binaryFile").load(path)
+    content = F.when(F.col("length") <= most, F.col("content"))
+    return files.select("path", "length", content.alias("content"), F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).alias("text"))

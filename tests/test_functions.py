@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import dates, decimal, ieee, text
 from millrace.operators import forecast, matrix, ordered, random, recurrences, reduce, regression, relational, simulation
-from millrace.sources import csv
+from millrace.sources import csv, tables
 
 NAN, INF = float("nan"), float("inf")
 
@@ -256,3 +256,15 @@ def test_autocorrelations(spark):
             np.testing.assert_allclose(got, [np.corrcoef(y[k:], y[:-k])[0, 1] for k in range(1, 26)], atol=1e-7)
     assert [r["autocorr"] for r in ordered.autocorrelations(df.where("i < 3"), "i", "v", 3).orderBy("lag").collect()][1:] == [None, None]
     assert all(r["autocorr"] is None for r in ordered.autocorrelations(df.limit(0), "i", "v", 2).collect())
+
+
+def test_contents_of_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("é\nb")
+    (tmp_path / "b.bin").write_bytes(b"\xff\x00")
+    (tmp_path / "c.txt").write_text("too long")
+    got = {r["path"].rsplit("/", 1)[1]: (r["length"], r["content"] and bytes(r["content"]), r["text"]) for r in tables.contents(spark, str(tmp_path), 5).collect()}
+    assert got == {"a.txt": (4, "é\nb".encode(), "é\nb"), "b.bin": (2, b"\xff\x00", None), "c.txt": (8, None, None)}
+    df = spark.createDataFrame([("ABC",), ("x",), (None,)], "s string")
+    assert [r[0] for r in df.select(text.lookup_ignoring_case("s", {"abc": "1", "Abc": "2"})).collect()] == ["2", None, None]
+    assert [r[0] for r in df.select(text.lookup_ignoring_case("s", {})).collect()] == [None] * 3
+    assert tuple(matrix.shape(spark.createDataFrame([], "i long, j long, v double")).first()) == (0, 0, 0, 0)
