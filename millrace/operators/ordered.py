@@ -6,16 +6,18 @@ is carried by a row for each range (totals, extremes) or by copies of the few ro
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.ieee import NAN
 from millrace.operators import tall
-from millrace.operators.recurrences import bucketed, segments
+from millrace.operators.recurrences import bucketed, cut_at, quantiles, segments
 
 
 def ranges(df: DataFrame, order: str, n: int | None = None) -> DataFrame:
@@ -23,13 +25,33 @@ def ranges(df: DataFrame, order: str, n: int | None = None) -> DataFrame:
     return bucketed(df, order, "__range", n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: A value is heavy if it is that many of the bounds of ranges.
+HEAVY = 3
+
+
 def dense_index(df: DataFrame, order: str, ties: list[str] | None = None, n: int | None = None, name: str = "i") -> DataFrame:
-    """df with the 0-based place of each row in the order."""
-    cut = ranges(df, order, n)
-    counts = cut.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    place = F.row_number().over(Window.partitionBy("__range").orderBy(order, *(ties or [])))
-    return cut.withColumn("__place", place).join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__place") - 1).drop("__range", "__place", "__before")  # before: a row for each range
+    """df with the 0-based place of each row in the order, of equal ones in that of the ties (without: in any).
+
+    A value that many rows have is cut once more, by the first tie column if that is a number,
+    date or timestamp, or where there are no ties by a hash.
+    """
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = quantiles(df, order, n)
+    cut, heavy = cut_at(df, order, "__range", bounds), [v for v, k in Counter(bounds).items() if k >= HEAVY]
+    sub = F.lit(0)
+    if heavy:
+        own = F.col(order).cast("double").isin(heavy) if isinstance(df.schema[order].dataType, T.NumericType) else None
+        if own is not None and not ties:
+            sub = F.when(own, F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")).otherwise(n)
+        elif own is not None and isinstance(df.schema[ties[0]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            cut = cut_at(cut, ties[0], "__tie", quantiles(df.where(own), ties[0], n))
+            sub = F.when(own, F.col("__tie")).otherwise(2 * n)  # what is larger than the heavy value comes after it
+    cut = cut.withColumn("__sub", sub).drop("__tie")
+    counts = cut.groupBy("__range", "__sub").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range", "__sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    place = F.row_number().over(Window.partitionBy("__range", "__sub").orderBy(order, *(ties or [])))
+    placed = cut.withColumn("__place", place).join(F.broadcast(before), ["__range", "__sub"])  # before: a row for each range
+    return placed.withColumn(name, F.col("__before") + F.col("__place") - 1).drop("__range", "__sub", "__place", "__before")
 
 
 def running(df: DataFrame, order: str, value: str, how: str = "sum", name: str | None = None, n: int | None = None) -> DataFrame:

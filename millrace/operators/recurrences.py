@@ -29,21 +29,32 @@ from millrace.sources.shared import stored
 ROWS = 200_000
 
 
-def bucketed(df: DataFrame, column: str, name: str, n: int) -> DataFrame:
-    """df with `name`: which of about n ranges of a number, date or timestamp a row is in, from 0; equal values stay together, NULL is in the first range and NaN in the last.
-
-    Bounds are approximate quantiles; a row finds its range by binary search.
-    """
+def _number(df: DataFrame, column: str):
     kind, at = df.schema[column].dataType, F.col(column)
-    number = F.unix_date(at).cast("double") if isinstance(kind, T.DateType) else at.cast("timestamp").cast("double") if isinstance(kind, T.TimestampNTZType) else at.cast("double")
-    as_double = df.withColumn("__at", F.coalesce(number, F.lit(float("nan"))))
-    bounds = sorted({b for b in as_double.where("NOT isnan(__at)").approxQuantile("__at", [k / n for k in range(1, n)], 0.2 / n)}) if n > 1 else []
+    return F.unix_date(at).cast("double") if isinstance(kind, T.DateType) else at.cast("timestamp").cast("double") if isinstance(kind, T.TimestampNTZType) else at.cast("double")
+
+
+def quantiles(df: DataFrame, column: str, n: int) -> list[float]:
+    """Approximate quantiles of a number, date or timestamp at 1/n ... (n - 1)/n; a value that many rows have comes as often."""
+    if n < 2:
+        return []
+    return df.select(_number(df, column).alias("at")).where("at IS NOT NULL AND NOT isnan(at)").approxQuantile("at", [k / n for k in range(1, n)], 0.2 / n)
+
+
+def cut_at(df: DataFrame, column: str, name: str, bounds: list[float]) -> DataFrame:
+    """df with `name`: how many of the bounds a row has reached, found by binary search; NULL is in the first range and NaN in one after the last."""
     if not bounds:
         return df.withColumn(name, F.lit(0))
-    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="__at", outputCol="__bucket", handleInvalid="keep").transform(as_double)
+    as_double = df.withColumn("__at", F.coalesce(_number(df, column), F.lit(float("nan"))))
+    cut = Bucketizer(splits=[-math.inf, *sorted(set(bounds)), math.inf], inputCol="__at", outputCol="__bucket", handleInvalid="keep").transform(as_double)
     return cut.withColumn(name, F.when(F.col(column).isNull(), 0).otherwise(F.col("__bucket").cast("int"))).drop("__at", "__bucket")
 
 
+def bucketed(df: DataFrame, column: str, name: str, n: int) -> DataFrame:
+    """df with `name`: which of about n ranges a row is in, from 0; equal values stay together."""
+    return cut_at(df, column, name, quantiles(df, column, n))
+
+
 def chunked(df: DataFrame, path: str, column: str, name: str, size: int, n: int) -> DataFrame:
     """df with `name`: each path's rows in chunks along a column, of about `size` rows, from 0; a path with fewer rows is one chunk.
 

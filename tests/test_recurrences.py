@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import recurrences
+from millrace.operators import ordered, recurrences
 
 
 def loop(values, step):
@@ -110,3 +110,17 @@ def test_chunks(spark):
     assert {r["k"] for r in recurrences.bucketed(days, "d", "k", 2).collect()} == {r["k"] for r in recurrences.bucketed(days, "t", "k", 2).collect()} == {0, 1}
     none = spark.createDataFrame([], "p long, s long, x double")
     assert recurrences.ewma(none, "p", "s", "x", 0.5).isEmpty() and recurrences.expanding_median(none, "p", "s", "x").isEmpty()
+
+
+@pytest.mark.parametrize("ties", [["id"], None, ["name"]])
+def test_places_of_a_value_that_most_rows_have(spark, ties):
+    rng = np.random.default_rng(6)
+    values = [float(v) if rng.random() < 0.2 else 5.0 for v in rng.integers(0, 12, 2000)]
+    values[:3] = [None, float("nan"), float("nan")]
+    df = spark.createDataFrame([(int(i), v, f"n{i:04d}") for i, v in zip(rng.permutation(2000), values)], "id long, v double, name string").repartition(7)
+    placed = ordered.dense_index(df, "v", ties, n=16)
+    rows = placed.orderBy("i").collect()
+    assert [r["i"] for r in rows] == list(range(2000))
+    key = lambda r: (r["v"] is not None, r["v"] is not None and math.isnan(r["v"]), 0.0 if r["v"] is None or math.isnan(r["v"]) else r["v"], *(r[t] for t in ties or []))
+    assert [key(r) for r in rows] == sorted(key(r) for r in rows)
+    assert placed.columns == ["id", "v", "name", "i"]
