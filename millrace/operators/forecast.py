@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections import deque
 from collections.abc import Iterator
 
@@ -9,8 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from millrace.operators.recurrences import ROWS, chunked, ranges_for, segments
 from millrace.operators.regression import deviations
+from millrace.sources.shared import stored
 
 
 class Moments:
@@ -39,19 +43,23 @@ def fit(m: Moments, k: int) -> tuple[float, np.ndarray]:
     return float(mean[0] - alpha @ mean[x]), alpha
 
 
-def out_of_sample(df: DataFrame, key: str, order: str, y: str, xs: list[str], zs: list[str] | None = None, *, procedure: str = "recursive", train: int = 20, window: int = 0) -> DataFrame:
+def out_of_sample(df: DataFrame, key: str, order: str, y: str, xs: list[str], zs: list[str] | None = None, *, procedure: str = "recursive", train: int = 20, window: int = 0, size: int = ROWS) -> DataFrame:
     """key, order, y, forecast (NaN where nothing precedes) and mean_forecast (of the mean of the rows that were learnt from).
 
     recursive: each row from all rows before it, from row `train` on. rolling: from the
     `train` rows before it. cross: each row from all rows but those within `window` of it.
     zs None: y itself is the proxy. Rows with a NaN or NULL in any column teach nothing.
 
-    Rows are dealt out by key and sorted; a task streams through them with the moments of what
-    was learnt and the last `train` or 2 * window rows. For cross, a first such stream gives
-    each key's moments, a row for each key.
+    recursive and rolling: a key's rows are cut into chunks of about `size` rows (where the
+    order is a number, date or timestamp); each chunk's moments or last rows are carried to
+    those after it, and chunks run side by side. cross: rows are dealt out by key and sorted;
+    a first stream gives each key's moments, a row for each key, and a second one streams
+    through the rows with the last 2 * window of them.
     """
     if procedure not in ("recursive", "rolling", "cross"):
         raise ValueError(procedure)
+    if procedure != "cross":
+        return _carried(df, key, order, y, xs, zs, procedure == "rolling", train, size)
     used, k = [y, *xs, *(zs or [])], len(xs)
     width = 1 + k + (len(zs) if zs else 1)
     nan = F.lit(float("nan"))
@@ -88,9 +96,8 @@ def out_of_sample(df: DataFrame, key: str, order: str, y: str, xs: list[str], zs
         if begun:
             yield out()
 
-    if procedure == "cross":
-        sums = dealt.mapInArrow(total, f"__key {kinds[key]}, __base array<double>, __moments array<double>")
-        dealt = rows.join(sums, rows["__key"].eqNullSafe(sums["__key"])).drop(sums["__key"]).repartition("__key").sortWithinPartitions("__key", "__order")
+    sums = dealt.mapInArrow(total, f"__key {kinds[key]}, __base array<double>, __moments array<double>")
+    dealt = rows.join(sums, rows["__key"].eqNullSafe(sums["__key"])).drop(sums["__key"]).repartition("__key").sortWithinPartitions("__key", "__order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, begun = None, False
@@ -98,8 +105,7 @@ def out_of_sample(df: DataFrame, key: str, order: str, y: str, xs: list[str], zs
         waiting: deque = deque()  # rows of cross whose later neighbours are not all there yet
 
         def say(row):
-            enough = m.n >= max(train if procedure != "cross" else 3, 3)
-            if not enough or np.isnan(row[1 : 1 + k]).any():
+            if m.n < 3 or np.isnan(row[1 : 1 + k]).any():
                 return float("nan"), float("nan")
             a, b = fit(m, k)
             return base[0] + a + float(b @ (row[1 : 1 + k] - base[1 : 1 + k])), base[0] + m.s[0] / m.n
@@ -124,31 +130,20 @@ def out_of_sample(df: DataFrame, key: str, order: str, y: str, xs: list[str], zs
         for batch in batches:
             schema, found = batch.schema, []
             keys, orders, data = arrays(batch)
-            more = [batch.column(2 + len(used) + i) for i in range(2)] if procedure == "cross" else None
+            more = [batch.column(2 + len(used) + i) for i in range(2)]
             for j, (name, at, row) in enumerate(zip(keys, orders.to_pylist(), data)):
                 if not begun or name != current:
                     while waiting:
                         found.append(settle())
-                    current, begun, near = name, True, deque()
-                    m, base = Moments(width), np.nan_to_num(np.append(row, row[:1]) if not zs else row)
-                    if more:
-                        base, v = np.array(more[0][j].as_py()), np.array(more[1][j].as_py())
-                        m.n, m.s, m.p = int(v[0]), v[1 : 1 + width].copy(), v[1 + width :].reshape(width, width).copy()
+                    current, begun, near, m = name, True, deque(), Moments(width)
+                    base, v = np.array(more[0][j].as_py()), np.array(more[1][j].as_py())
+                    m.n, m.s, m.p = int(v[0]), v[1 : 1 + width].copy(), v[1 + width :].reshape(width, width).copy()
                 v = learnt(row, base)
-                if procedure == "cross":
-                    waiting.append((name, at, row))
-                    if v is not None:
-                        m.add(v, -1)
-                    if len(waiting) > window:
-                        found.append(settle())
-                    continue
-                found.append((name, at, row, say(row)))
-                if procedure == "rolling":
-                    near.append(v)
-                    if len(near) > train and (old := near.popleft()) is not None:
-                        m.add(old, -1)
+                waiting.append((name, at, row))
                 if v is not None:
-                    m.add(v)
+                    m.add(v, -1)
+                if len(waiting) > window:
+                    found.append(settle())
             yield batch_of(found, schema)
         if waiting:
             found = []
@@ -156,11 +151,92 @@ def out_of_sample(df: DataFrame, key: str, order: str, y: str, xs: list[str], zs
                 found.append(settle())
             yield batch_of(found, schema)
 
-    held = ["__key", "__order", *names, *(["__base", "__moments"] if procedure == "cross" else [])]
+    held = ["__key", "__order", *names, "__base", "__moments"]
     found = dealt.select(*held).mapInArrow(run, f"__key {kinds[key]}, __order {kinds[order]}, __y double, forecast double, mean_forecast double")
     return found.select(F.col("__key").alias(key), F.col("__order").alias(order), F.col("__y").alias(y), "forecast", "mean_forecast")
 
 
+def _carried(df: DataFrame, key: str, order: str, y: str, xs: list[str], zs: list[str] | None, rolling: bool, train: int, size: int) -> DataFrame:
+    """Recursive and rolling forecasts, chunk by chunk."""
+    used, k, kinds = [y, *xs, *(zs or [])], len(xs), {f.name: f.dataType for f in df.schema.fields}
+    nan = F.lit(float("nan"))
+    rows = df.select(F.col(key).alias("__key"), F.col(order).alias("__order"), *[F.coalesce(F.col(c).cast("double"), nan).alias(f"__{i}") for i, c in enumerate(used)])
+    numbers = isinstance(kinds[order], (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+    cut = stored(chunked(rows, "__key", "__order", "__chunk", size, ranges_for(rows, size)) if numbers else rows.withColumn("__chunk", F.lit(0)), "panel")
+    places = ["__key", "__chunk", "__order", *[f"__{i}" for i in range(len(used))]]
+    names = [T.StructField("__key", kinds[key]), T.StructField("__chunk", T.IntegerType())]
+
+    def full(part: pa.RecordBatch, first: int) -> np.ndarray:
+        """Rows of y, the columns and the proxies."""
+        data = np.column_stack([np.asarray(c) for c in part.columns[first : first + len(used)]])
+        return data if zs else np.column_stack([data, data[:, 0]])
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in segments(batches, 2):
+            data = full(part, 3)
+            if rolling:
+                told = data[-train:]
+            else:
+                base = np.nan_to_num(data[0])
+                near = data[~np.isnan(data).any(1)] - base
+                told = base, len(near), near.sum(0), near.T @ near
+            yield pa.RecordBatch.from_arrays([part.column(0)[:1], part.column(1)[:1], pa.array([pickle.dumps(told)], pa.binary())], names=["__key", "__chunk", "m"])
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, begun = None, None, False
+        for batch in batches:
+            out = []
+            for name, m in zip(batch.column(0).to_pylist(), map(pickle.loads, batch.column(2).to_pylist())):
+                if not begun or name != current:
+                    current, state, begun = name, None, True
+                out.append(None if state is None else pickle.dumps(state))
+                if state is None:
+                    state = m
+                elif rolling:
+                    state = np.concatenate([state, m])[-train:]
+                else:  # moments about another row are moved to the first one
+                    d = m[0] - state[0]
+                    state = state[0], state[1] + m[1], state[2] + m[2] + m[1] * d, state[3] + m[3] + np.outer(m[2], d) + np.outer(d, m[2]) + m[1] * np.outer(d, d)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["__key", "__chunk", "state"])
+
+    dealt = cut.select(places).repartition("__key", "__chunk").sortWithinPartitions("__key", "__chunk", "__order")
+    maps = dealt.mapInArrow(sum_up, T.StructType([*names, T.StructField("m", T.BinaryType())]))
+    states = stored(maps.repartition("__key").sortWithinPartitions("__key", "__chunk").mapInArrow(carry, T.StructType([*names, T.StructField("state", T.BinaryType())])), "moments")  # a row for each chunk of a key
+    both = cut.join(states, cut["__key"].eqNullSafe(states["__key"]) & (cut["__chunk"] == states["__chunk"])).select(*[cut[c] for c in places], "state")
+    both = both.repartition("__key", "__chunk").sortWithinPartitions("__key", "__chunk", "__order")
+    schema = T.StructType([T.StructField(key, kinds[key]), T.StructField(order, kinds[order]), *(T.StructField(c, T.DoubleType()) for c in (y, "forecast", "mean_forecast"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in segments(batches, 2):
+            data, state = full(part, 3), part.column(3 + len(used))[0].as_py()
+            state = None if state is None else pickle.loads(state)
+            m, near = Moments(data.shape[1]), deque()
+            base = np.nan_to_num(data[0]) if state is None or rolling else state[0]
+            learnt = lambda row: None if np.isnan(row).any() else row - base  # noqa: B023, E731
+            if state is not None and rolling:
+                near.extend(map(learnt, state))
+                for v in near:
+                    if v is not None:
+                        m.add(v)
+            elif state is not None:
+                m.n, m.s, m.p = state[1], state[2].copy(), state[3].copy()
+            out = np.full((len(data), 2), np.nan)
+            for j, row in enumerate(data):
+                if m.n >= max(train, 3) and not np.isnan(row[1 : 1 + k]).any():
+                    a, b = fit(m, k)
+                    out[j] = base[0] + a + float(b @ (row[1 : 1 + k] - base[1 : 1 + k])), base[0] + m.s[0] / m.n
+                v = learnt(row)
+                if rolling:
+                    near.append(v)
+                    if len(near) > train and (old := near.popleft()) is not None:
+                        m.add(old, -1)
+                if v is not None:
+                    m.add(v)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(out[:, 0]), pa.array(out[:, 1])], names=schema.names)
+
+    return both.mapInArrow(run, schema)
+
+
 def forecast_quality(df: DataFrame, key: str, y: str) -> DataFrame:
     """For each panel: n, out-of-sample R2 against the mean forecast, and the encompassing statistic."""
     both = df.where(~F.isnan("forecast"))

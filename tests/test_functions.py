@@ -229,6 +229,8 @@ def test_forecasts_against_a_loop(spark):
     df = spark.createDataFrame(rows, "k int, t int, y double, a double, b double, c double")
     for procedure, seen in (("recursive", lambda t, s: s < t), ("rolling", lambda t, s: t - 12 <= s < t), ("cross", lambda t, s: s != t)):
         got = {(r["k"], r["t"]): r["forecast"] for r in forecast.out_of_sample(df, "k", "t", "y", ["a", "b", "c"], procedure=procedure, train=12).collect()}
+        cut = {(r["k"], r["t"]): r["forecast"] for r in forecast.out_of_sample(df, "k", "t", "y", ["a", "b", "c"], procedure=procedure, train=12, size=7).collect()}
+        assert set(cut) == set(got) and all(cut[x] == pytest.approx(got[x], nan_ok=True) for x in got)
         for k, t in ((0, 12), (1, 29), (1, 20)):
             at = [s for s in range(30) if seen(t, s)]
             a, b = refit(y[k, at], x[k, at], y[k, at][:, None])
