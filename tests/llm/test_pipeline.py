@@ -20,7 +20,7 @@ def test_sql(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)
     names = sorted(df.columns)
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     found = con.execute(queries.ORACLE_SQL[name])
     order = sorted(range(len(found.description)), key=lambda k: found.description[k][0])
