@@ -3,7 +3,8 @@
 A block is a row of bytes. Work on a block is done where it is dealt to by its place: what it
 needs of other blocks is sent there and streams by, so that a task holds a block, its result
 and one pair of factors. Elimination picks its pivots inside a block column by a tournament:
-each block proposes its best rows, which meet FAN at a time.
+each block proposes its best rows, which meet FAN at a time. Small factors are worked on in
+tasks too: there Spark gives BLAS one thread, while its threads can stall in a driver that has forked.
 """
 
 from __future__ import annotations
@@ -23,6 +24,12 @@ from millrace.sources.shared import dropped, stored
 SIZE = 256
 #: Blocks along the inner side that one sum of a product takes.
 DEPTH = 64
+#: Blocks are joined up to this size for an elimination; blocks of a tile's side in it; columns that are searched for pivots one by one.
+PANEL, TILE, NARROW = 512, 4, 32
+#: Joined blocks and tiles are at least so many along a side, where there are as many blocks.
+SPREAD = 8
+#: Rows that are proposed by so many blocks meet in one task.
+FAN = 8
 #: Rows of a matrix that is eliminated at most: the driver keeps the number of each.
 MOST = 1 << 20
 BLOCKS = "bi int, bj int, block binary"
@@ -200,85 +207,150 @@ def kept(m: Blocked, name: str = "blocks") -> Blocked:
 # --- elimination ----------------------------------------------------------------------
 
 
+def resized(m: Blocked, size: int) -> Blocked:
+    """The same matrix in blocks of another size, a multiple of its own or a part of it."""
+    if size == m.size:
+        return m
+    if size % m.size and m.size % size:
+        raise ValueError("one size has to divide the other")
+    grid, out, part = m.grid, Grid(m.rows, m.columns, size), min(size, m.size)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bi, bj, raw in zip(*[c.to_pylist() for c in batch.columns]):
+                x = np.frombuffer(raw).reshape(grid.shape(bi, bj))
+                rows = []
+                for r in range(0, len(x), part):
+                    for c in range(0, x.shape[1], part):
+                        i, j = bi * grid.size + r, bj * grid.size + c
+                        rows.append((i // size, j // size, i % size, j % size, np.ascontiguousarray(x[r : r + part, c : c + part]).tobytes(), min(part, x.shape[1] - c)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int32()) for v in list(zip(*rows))[:4]), pa.array([v[4] for v in rows], pa.binary()), pa.array([v[5] for v in rows], pa.int32())], names=["bi", "bj", "r", "c", "block", "w"])
+
+    def put(block, row):
+        r, c, raw, w = row
+        x = np.frombuffer(raw).reshape(-1, w)
+        block[r : r + len(x), c : c + w] = x
+        return block
+
+    parts = m.df.mapInArrow(cut, "bi int, bj int, r int, c int, block binary, w int")
+    return Blocked(_streamed(parts, ["bi", "bj"], [], BLOCKS, lambda key: np.zeros(out.shape(*key)), put, lambda b: b), out)
+
+
 def _best_rows(values: np.ndarray, b: int) -> np.ndarray:
-    """Places of the b rows that elimination with row exchanges would take, in its order."""
+    """Places of the b rows that elimination with row exchanges would take, in its order; NARROW columns at once, then a product for the others."""
     left, order = values.copy(), np.arange(len(values))
-    for k in range(min(b, len(left))):
-        p = k + int(np.abs(left[k:, k]).argmax())
-        left[[k, p]], order[[k, p]] = left[[p, k]], order[[p, k]]
-        if left[k, k]:
-            left[k + 1 :] -= np.outer(left[k + 1 :, k] / left[k, k], left[k])
+    top = min(b, len(left))
+    for s in range(0, top, NARROW):
+        e = min(s + NARROW, top)
+        for k in range(s, e):
+            p = k + int(np.abs(left[k:, k]).argmax())
+            left[[k, p]], order[[k, p]] = left[[p, k]], order[[p, k]]
+            if left[k, k]:
+                left[k + 1 :, k] /= left[k, k]
+                left[k + 1 :, k + 1 : e] -= np.outer(left[k + 1 :, k], left[k, k + 1 : e])
+        if e < left.shape[1]:
+            left[s:e, e:] = np.linalg.solve(np.tril(left[s:e, s:e], -1) + np.eye(e - s), left[s:e, e:])
+            left[e:, e:] -= left[e:, s:e] @ left[s:e, e:]
     return order[:b]
 
 
-def _pivots(column: DataFrame, m: Grid, j: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and values of the b rows on which elimination goes on, of the blocks of block column j."""
+def _pivots(column: DataFrame, m: Grid, j: int, b: int, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, float, float]:
+    """Numbers of the b rows on which elimination goes on, of those of block column j that are not taken; the inverse of their
+    part of the column, and its determinant (sign and logarithm). All of it is done in tasks."""
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bi, raw in zip(*[c.to_pylist() for c in batch.columns]):
-                x = np.frombuffer(raw).reshape(m.shape(bi, j))
+                free = np.flatnonzero(~taken[bi * m.size : bi * m.size + m.shape(bi, j)[0]])
+                x = np.frombuffer(raw).reshape(m.shape(bi, j))[free]
                 at = _best_rows(x, b)
-                yield pa.RecordBatch.from_arrays([pa.array([np.column_stack([at + bi * m.size, x[at]]).tobytes()], pa.binary())], names=["m"])
+                yield pa.RecordBatch.from_arrays([pa.array([np.column_stack([free[at] + bi * m.size, x[at]]).tobytes()], pa.binary())], names=["m"])
 
-    def meet(ms: list[np.ndarray]) -> np.ndarray:
-        x = np.concatenate([v.reshape(-1, b + 1) for v in ms])
+    def meet(held: list[np.ndarray]) -> np.ndarray:
+        x = np.concatenate(held)
         x = x[np.argsort(x[:, 0])]  # whatever order the blocks come in
-        return x[_best_rows(x[:, 1:], b)].ravel()
+        return x[_best_rows(x[:, 1:], b)]
 
-    x = tall.combined(column.select("bi", "block").mapInArrow(propose, "m binary"), meet)
-    x = np.empty((0, b + 1)) if x is None else x.reshape(-1, b + 1)
-    return x[:, 0].astype(np.int64), x[:, 1:]
+    def met(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        held = [np.empty((0, b + 1))]
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                held.append(np.frombuffer(raw).reshape(-1, b + 1))
+                if len(held) == FAN:
+                    held = [meet(held)]
+        return meet(held)
+
+    def rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([met(batches).tobytes()], pa.binary())], names=["m"])
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = met(batches)
+        sign, log = np.linalg.slogdet(x[:, 1:]) if len(x) == b else (0.0, -np.inf)
+        inverse = None if sign == 0 or np.isnan(log) else np.linalg.inv(x[:, 1:]).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([x[:, 0].astype("<i8").tobytes()], pa.binary()), pa.array([inverse], pa.binary()), pa.array([float(sign)]), pa.array([float(log)])], names=["at", "inverse", "sign", "log"])
+
+    table = stored(column.select("bi", "block").mapInArrow(propose, "m binary"), "parts")
+    n = table.count()
+    while n > FAN:
+        before, n = table, -(-n // FAN)
+        table = stored(table.repartition(n).mapInArrow(rounds, "m binary"), "parts")
+        dropped(before)
+    found = table.repartition(1).mapInArrow(last, "at binary, inverse binary, sign double, log double").first()  # one small block
+    dropped(table)
+    if found is None:
+        return np.empty(0, np.int64), None, 0.0, -np.inf
+    return np.frombuffer(found["at"], "<i8"), None if found["inverse"] is None else np.frombuffer(found["inverse"]).reshape(b, b), found["sign"], found["log"]
 
 
 def eliminate(a: Blocked, b: Blocked | None = None) -> tuple[Blocked | None, float, float]:
     """a^-1 b (None: no right side), and the sign and the logarithm of the absolute determinant, by Gauss-Jordan elimination in block columns.
 
-    Each step takes the pivots of one block column, moves their rows up, and clears the
-    column in all other block rows; columns that are done are not carried on. A singular
+    Each step takes the pivots of one block column, which stay where they are, and clears the
+    column in all other rows; columns that are done are not carried on, and rows are put in
+    order at the end. Many small blocks are joined to blocks of up to PANEL for it. A singular
     matrix has determinant 0 and no solution (LinAlgError with a right side). a has at most
-    MOST rows; a task holds one block and the two it is cleared with.
+    MOST rows; a task holds the blocks that a tile of the result is cleared with, 2 TILE at
+    most, and two more.
     """
-    n, size = a.rows, a.size
-    if n != a.columns or n > MOST or (b is not None and (b.rows != n or b.size != size)):
+    n, own_size = a.rows, a.size
+    if n != a.columns or n > MOST or (b is not None and (b.rows != n or b.size != own_size)):
         raise ValueError("a square matrix, and a right side of as many rows, are needed")
+    size = own_size * max(1, min(PANEL // own_size, a.grid.down // SPREAD))
+    a, b = resized(a, size), None if b is None else resized(b, size)
     of_a, of_b = a.grid, b.grid if b is not None else None
     shift = of_a.across
     width = shift + (of_b.across if b is not None else 0)
     both = a.df if b is None else a.df.unionByName(b.df.withColumn("bj", F.col("bj") + shift))
     shape = lambda bi, bj: of_a.shape(bi, bj) if bj < shift else of_b.shape(bi, bj - shift)
     now, sign, size_log = stored(both, "elimination"), 1.0, 0.0
+    to, taken = np.full(n, -1, np.int64), np.zeros(n, bool)  # the place of a row's unknown
     for j in range(shift):
         own = of_a.shape(j, j)[0]
-        rows, values = _pivots(now.where((F.col("bj") == j) & (F.col("bi") >= j)), of_a, j, own)
-        s, log = np.linalg.slogdet(values) if len(rows) == own else (0.0, -np.inf)
-        if s == 0 or np.isnan(log):
+        rows, inverse, s, log = _pivots(now.where(F.col("bj") == j), of_a, j, own, taken)
+        if inverse is None:
             dropped(now)
             if b is not None:
                 raise np.linalg.LinAlgError("the matrix is singular")
             return None, float("nan") if np.isnan(log) else 0.0, float(log)
-        # Pivot rows go to block row j in their order; the rows that they push out take the places they leave.
-        target = np.arange(j * size, j * size + own)
-        out = np.setdiff1d(target, rows)
-        to = dict(zip(rows.tolist(), target.tolist())) | dict(zip(out.tolist(), np.setdiff1d(rows, target).tolist()))
-        sign, size_log = sign * s * _parity(to), size_log + log
-        moved = _moved(now.where(F.col("bj") > j if j + 1 < width else F.lit(False)), now.where(F.col("bj") == j), to, size, shape)
+        to[rows], taken[rows] = np.arange(j * size, j * size + own), True
+        sign, size_log = sign * s, size_log + log
         if j + 1 == width:
             break
-        inverse = np.linalg.inv(values)
-        table = stored(moved, "moved")
-        dropped(now)
-        now = stored(_cleared(table, inverse, j, of_a.down, width, shape), "elimination")
-        dropped(table)
+        top = stored(_pivot_rows(now.where(F.col("bj") > j), rows, inverse, size, shape), "pivots")
+        before, now = now, stored(_cleared(now, top, rows, j, of_a.down, width, size, shape), "elimination")
+        dropped(before, top)
+    sign *= _parity(to)
     if b is None:
         dropped(now)
         return None, sign, size_log
-    return Blocked(now.withColumn("bj", F.col("bj") - shift), of_b), sign, size_log
+    out = stored(_ordered(now.withColumn("bj", F.col("bj") - shift), to, of_b), "solution")
+    dropped(now)
+    return resized(Blocked(out, of_b), own_size), sign, size_log
 
 
-def _parity(to: dict[int, int]) -> float:
-    seen, sign = set(), 1.0
-    for k in to:
+def _parity(to: np.ndarray) -> float:
+    seen, sign, to = set(), 1.0, to.tolist()
+    for k in range(len(to)):
         length = 0
         while k not in seen:
             seen.add(k)
@@ -287,56 +359,102 @@ def _parity(to: dict[int, int]) -> float:
     return sign
 
 
-def _moved(rest: DataFrame, column: DataFrame, to: dict[int, int], size: int, shape) -> DataFrame:
-    """Blocks after rows have moved: a block keeps the rows that stay, and sends the others to the blocks they go to."""
+def _sent(blocks: DataFrame, number, shape) -> DataFrame:
+    """(bi, bj, at, block): the rows of blocks by the block they go to, by what number(bi, rows) says of blocks and places in them, -1 for rows that go nowhere."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bi, bj, raw in zip(*[c.to_pylist() for c in batch.columns]):
                 x = np.frombuffer(raw).reshape(shape(bi, bj))
-                mine = [r for r in range(len(x)) if bi * size + r in to]
-                stay = np.ones(len(x), bool)
-                stay[mine] = False
-                parts = {bi: [(r, x[r]) for r in np.flatnonzero(stay).tolist()]}
-                for r in mine:
-                    t = to[bi * size + r]
-                    parts.setdefault(t // size, []).append((t % size, x[r]))
-                parts = {k: v for k, v in parts.items() if v}
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(list(parts), pa.int32()), pa.array([bj] * len(parts), pa.int32()),
-                    pa.array([np.array([r for r, _ in v], "<i4").tobytes() for v in parts.values()], pa.binary()), pa.array([np.concatenate([y for _, y in v]).tobytes() for v in parts.values()], pa.binary()),
-                ], names=["bi", "bj", "at", "block"])
-
-    def take(block, row):
-        at = np.frombuffer(row[0], "<i4")
-        block[at] = np.frombuffer(row[1]).reshape(len(at), -1)
-        return block
+                block, at = number(bi, len(x))
+                goes = [(k, np.flatnonzero(block == k)) for k in np.unique(block[block >= 0]).tolist()]
+                if goes:
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([k for k, _ in goes], pa.int32()), pa.array([bj] * len(goes), pa.int32()),
+                        pa.array([at[r].astype("<i4").tobytes() for _, r in goes], pa.binary()), pa.array([x[r].tobytes() for _, r in goes], pa.binary()),
+                    ], names=["bi", "bj", "at", "block"])
 
-    parts = rest.unionByName(column).mapInArrow(cut, "bi int, bj int, at binary, block binary")
-    return _streamed(parts, ["bi", "bj"], [], BLOCKS, lambda key: np.zeros(shape(*key)), take, lambda x: x)
+    return blocks.mapInArrow(cut, "bi int, bj int, at binary, block binary")
 
 
-def _cleared(table: DataFrame, inverse: np.ndarray, j: int, down: int, width: int, shape) -> DataFrame:
-    """Block columns after j, cleared with block row j: row j becomes inverse * row j, the others lose their part of column j times that."""
-    base = table.where(F.col("bj") > j).select("bi", "bj", F.lit(0).alias("side"), "block")
-    column = _copies(table.where((F.col("bj") == j) & (F.col("bi") != j)).select("bi", F.lit(1).alias("side"), "block"), "bj", width, j + 1)
-    row = _copies(table.where((F.col("bi") == j) & (F.col("bj") > j)).select("bj", F.lit(2).alias("side"), "block"), "bi", down)
+def _filled(block, row):
+    at = np.frombuffer(row[0], "<i4")
+    block[at] = np.frombuffer(row[1]).reshape(len(at), -1)
+    return block
 
-    def take(state, r):
-        (bi, bj), x, hold = state
-        side, raw = r
-        if side == 0:
-            x = np.array(np.frombuffer(raw).reshape(shape(bi, bj)))
-        elif side == 1:
-            hold = np.frombuffer(raw).reshape(shape(bi, j))
-        elif bi == j:
-            x = inverse @ np.frombuffer(raw).reshape(shape(j, bj))
-        elif hold is not None:
-            x = (np.zeros(shape(bi, bj)) if x is None else x) - hold @ (inverse @ np.frombuffer(raw).reshape(shape(j, bj)))
-        return (bi, bj), x, hold
 
-    end = lambda s: np.zeros(shape(*s[0])) if s[1] is None else s[1]
-    return _streamed(base.unionByName(column.select("bi", "bj", "side", "block")).unionByName(row.select("bi", "bj", "side", "block")), ["bi", "bj"], ["side"], BLOCKS, lambda key: (key, None, None), take, end)
+def _pivot_rows(rest: DataFrame, rows: np.ndarray, inverse: np.ndarray, size: int, shape) -> DataFrame:
+    """The pivots' rows of the block columns that are left, times the inverse: a block (0, bj) for each."""
+    order = np.argsort(rows)
+    found = rows[order]
+
+    def number(bi, n):
+        low, high = np.searchsorted(found, [bi * size, bi * size + n])
+        block, at = np.full(n, -1), np.zeros(n, np.int64)
+        block[found[low:high] - bi * size], at[found[low:high] - bi * size] = 0, order[low:high]
+        return block, at
+
+    return _streamed(_sent(rest, number, shape), ["bi", "bj"], [], BLOCKS, lambda key: np.zeros((len(rows), shape(*key)[1])), _filled, lambda x: inverse @ x)
+
+
+def _ordered(df: DataFrame, to: np.ndarray, grid: Grid) -> DataFrame:
+    """Blocks after row r has moved to place to[r]."""
+
+    def number(bi, n):
+        t = to[bi * grid.size : bi * grid.size + n]
+        return t // grid.size, t % grid.size
+
+    return _streamed(_sent(df, number, grid.shape), ["bi", "bj"], [], BLOCKS, lambda key: np.zeros(grid.shape(*key)), _filled, lambda x: x)
+
+
+def _cleared(now: DataFrame, top: DataFrame, rows: np.ndarray, j: int, down: int, width: int, size: int, shape) -> DataFrame:
+    """Block columns after j, cleared: the pivots' rows become those of top, the others lose their part of column j times top.
+
+    Blocks meet in tiles of the result, so that what they are cleared with is sent to each tile once.
+    """
+    t = max(1, min(TILE, down // SPREAD))
+    tile = lambda c: F.floor(F.col(c) / t).cast("int")
+    base = now.where(F.col("bj") > j).select(tile("bi").alias("ti"), tile("bj").alias("tj"), F.lit(2).alias("side"), "bi", "bj", "block")
+    column = _copies(now.where(F.col("bj") == j).select(tile("bi").alias("ti"), F.lit(0).alias("side"), "bi", "bj", "block"), "tj", (width - 1) // t + 1, (j + 1) // t)
+    row = _copies(top.select(tile("bj").alias("tj"), F.lit(1).alias("side"), "bi", "bj", "block"), "ti", (down - 1) // t + 1)
+    order = np.argsort(rows)
+    found = rows[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, left, upper, seen = None, {}, {}, set()
+
+        def result(bi, bj, x):
+            low, high = np.searchsorted(found, [bi * size, bi * size + len(left[bi])])
+            out = left[bi] @ upper[bj]
+            out = -out if x is None else x - out
+            out[found[low:high] - bi * size] = upper[bj][order[low:high]]
+            return out
+
+        def missing():
+            for bi in left:
+                for bj in upper:
+                    if (bi, bj) not in seen:
+                        yield _batch([(bi, bj, result(bi, bj, None))])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ti, tj, side, bi, bj, raw = [c[k].as_py() for c in batch.columns]
+                if key != (ti, tj):
+                    yield from missing()
+                    key, left, upper, seen = (ti, tj), {}, {}, set()
+                x = np.frombuffer(raw).reshape(-1, shape(bi, bj)[1])
+                if side == 0:
+                    left[bi] = x
+                elif side == 1:
+                    upper[bj] = x
+                else:
+                    seen.add((bi, bj))
+                    yield _batch([(bi, bj, result(bi, bj, x) if bi in left and bj in upper else x)])
+        yield from missing()
+
+    columns = ["ti", "tj", "side", "bi", "bj", "block"]
+    parts = base.unionByName(column.select(columns)).unionByName(row.select(columns))
+    return parts.repartition("ti", "tj").sortWithinPartitions("ti", "tj", "side").mapInArrow(run, BLOCKS)
 
 
 def solve(a: Blocked, b: Blocked) -> Blocked:
@@ -358,10 +476,18 @@ def cholesky(a: Blocked) -> Blocked:
     n = grid.down
     now, done = stored(a.df.where("bi >= bj"), "left"), []
     for j in range(n):
-        first = now.where((F.col("bi") == j) & (F.col("bj") == j)).first()  # one block
+        def factor(batches: Iterator[pa.RecordBatch], j=j) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for bi, bj, raw in zip(*[c.to_pylist() for c in batch.columns]):
+                    try:
+                        yield _batch([(bi, bj, np.linalg.cholesky(np.frombuffer(raw).reshape(grid.shape(j, j))))])
+                    except np.linalg.LinAlgError:
+                        pass  # no row says so
+
+        first = now.where((F.col("bi") == j) & (F.col("bj") == j)).mapInArrow(factor, BLOCKS).first()  # one block
         if first is None:
             raise np.linalg.LinAlgError("the matrix is not positive definite")
-        diagonal = np.linalg.cholesky(np.frombuffer(first["block"]).reshape(grid.shape(j, j)))
+        diagonal = np.frombuffer(first["block"]).reshape(grid.shape(j, j))
 
         def finish(batches: Iterator[pa.RecordBatch], j=j, diagonal=diagonal) -> Iterator[pa.RecordBatch]:
             for batch in batches:

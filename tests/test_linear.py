@@ -153,3 +153,21 @@ def test_leading_pairs(spark):
     v = dense(vectors)
     np.testing.assert_allclose(got, [9, -7, 5, 4], atol=1e-8)
     np.testing.assert_allclose(a @ v, v * got, atol=1e-8)
+
+
+@pytest.mark.parametrize("panel", [4, 8])
+def test_elimination_in_tasks(spark, monkeypatch, panel):
+    """Tiles of more than one block and joined blocks; the driver, whose BLAS threads can stall after a fork, factors nothing."""
+    monkeypatch.setattr(blocks, "PANEL", panel)
+    monkeypatch.setattr(blocks, "FAN", 3)
+    monkeypatch.setattr(blocks, "SPREAD", 2)
+    rng = np.random.default_rng(9)
+    a, b = rng.standard_normal((23, 23)), rng.standard_normal((23, 3))
+    a[:8, :8], a[8:16, 16:20] = 0.0, 0.0  # blocks that are not there
+    want, determinant = np.linalg.solve(a, b), np.linalg.slogdet(a)
+    m, right = blocks.kept(blocked(spark, a, 4)), blocks.kept(blocked(spark, b, 4))
+    for name in ("inv", "slogdet", "cholesky", "solve"):
+        monkeypatch.setattr(np.linalg, name, None)
+    x, sign, log = blocks.eliminate(m, right)
+    np.testing.assert_allclose(dense(x), want, atol=1e-9)
+    assert (sign, log) == pytest.approx(tuple(determinant))
