@@ -50,7 +50,11 @@ def num_str(x, decimals: int = 2, abbreviate: bool = False) -> Column:
 
 
 def num_str_percent(x, decimals: int = 2) -> Column:
-    shown = num_str(_c(x) * 100, decimals)
+    """A hundred times the number as it is written: in binary, 0.0045 * 100 is less than 0.45."""
+    x = _c(x)
+    exact = x.cast("double").try_cast("decimal(38,18)")
+    hundred = F.when(F.abs(x) < 1e15, F.round(exact * 100, decimals).cast("double")).otherwise(x * 100)
+    shown = num_str(hundred, decimals)
     return F.when(shown == "N/A", shown).otherwise(F.concat(shown, F.lit("%")))
 
 
