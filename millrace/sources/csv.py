@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ DELIMITERS = ",\t;|"
 CONTROL = "".join(map(chr, range(33)))
 #: Bytes that are parsed at once; the longest record that is read (one stray quote makes a record of the rest of a file).
 PIECE, MOST = 1 << 20, 64 << 20
+#: Rows that may rule kinds of columns out before all rows are counted.
+SAMPLE = 1000
 #: Splits of files that one read takes at most.
 SPLITS = 1_000_000
 
@@ -223,17 +226,31 @@ def quote_effect(data: bytes, delimiter: str) -> tuple[bool, bool]:
     return tuple(states(sym, start)[1] in (QUOTED, SECOND) for start in (EDGE, QUOTED))
 
 
-def _pieces(lines: pa.Array) -> Iterator[bytes]:
-    """Lines with a line feed after each, some of them joined."""
-    held, size = [], 0
-    for line in lines.to_pylist():
-        held.append(line)
-        size += len(line) + 1
-        if size > PIECE:
-            yield b"\n".join(held) + b"\n"
-            held, size = [], 0
-    if held:
-        yield b"\n".join(held) + b"\n"
+def _cuts(lines: pa.Array) -> Iterator[pa.Array]:
+    """Slices of lines of about PIECE bytes, or one line."""
+    ends = np.cumsum(pc.binary_length(lines).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    low = 0
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PIECE, "right")))
+        yield lines.slice(low, high - low)
+        low = high
+
+
+def _joined(lines: pa.Array) -> bytes:
+    """Lines with a line feed after each."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines)
+    return pc.binary_join(whole, b"\n")[0].as_py() + b"\n"
+
+
+def _plain(lines: pa.Array, delimiter: str) -> tuple[pa.ListArray, np.ndarray]:
+    """What parsed() makes of lines (UTF-8) without a quote: each is a record."""
+    rows = pc.split_pattern(lines.cast(pa.string()), delimiter)
+    values, offsets = pc.utf8_trim(rows.flatten(), characters=CONTROL), rows.offsets.to_numpy().astype(np.int64)
+    offsets -= offsets[0]
+    some = np.append(0, np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False) > 0))
+    good = some[offsets[1:]] > some[offsets[:-1]]
+    rows = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+    return rows if good.all() else rows.filter(pa.array(good)), np.flatnonzero(good)
 
 
 def _runs(batch: pa.RecordBatch, keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
@@ -262,7 +279,7 @@ def read_ragged(spark: SparkSession, path: str, delimiter: str | None = None) ->
         for batch in batches:
             for key, part in _runs(batch, 2) if batch.num_rows else ():
                 now = found.setdefault(key, [False, True, False])  # from closed, from open, whether a line is not UTF-8
-                for data in _pieces(part.column(2)):
+                for data in map(_joined, _cuts(part.column(2))):
                     effect = quote_effect(data, d)
                     now[:2] = [effect[now[0]], effect[now[1]]]
                     now[2] = now[2] or not _is_utf8(data)
@@ -292,7 +309,14 @@ def read_ragged(spark: SparkSession, path: str, delimiter: str | None = None) ->
                 if key != (name, block):
                     yield from left()
                     key, held, count, before = (name, block), b"", 0, inside
-                for data in _pieces(part.column(4)):
+                for piece in _cuts(part.column(4)):
+                    data = _joined(piece)
+                    if not (latin or held or before or b'"' in data or count == 0):
+                        rows, line = _plain(piece, d)
+                        if len(line):
+                            yield pa.RecordBatch.from_arrays([pa.array([name] * len(line)), pa.array(block + count + line), pa.array(np.full(len(line), block)), rows, pa.nulls(len(line), pa.string())], names=names)
+                        count += len(piece)
+                        continue
                     if latin:
                         data = _decoded(data, True).encode()
                     elif count == 0 and not held and data.startswith(b"\xef\xbb\xbf"):
@@ -479,6 +503,12 @@ def infer_types(df: DataFrame, columns: list[str], percent: float = 100.0) -> Da
     """(column, kind): the first of boolean, int, long, decimal, timestamp that this part of the non-empty cells parses as, else string."""
     kinds = {"boolean": lambda c: c.rlike("(?i)^(true|false|yes|no|0|1)$"), "int": lambda c: c.try_cast("int").isNotNull(), "long": lambda c: c.try_cast("long").isNotNull(), "decimal": lambda c: is_numeric(c), "timestamp": lambda c: c.try_cast("timestamp_ntz").isNotNull()}
     cell = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
-    row = df.agg(*[F.struct(F.count(cell(c)).alias("n"), *[F.count_if(f(cell(c))).alias(k) for k, f in kinds.items()]).alias(c) for c in columns])
+    # Where every cell has to fit, one that doesn't rules a kind out for good: such kinds are not counted over all rows.
+    counted = lambda rows, left: rows.agg(*[F.struct(F.count(cell(c)).alias("n"), *[(F.count_if(f(cell(c))) if k in left[c] else F.lit(-1).cast("long")).alias(k) for k, f in kinds.items()]).alias(c) for c in columns])
+    left = dict.fromkeys(columns, list(kinds))
+    if percent >= 100 and columns:
+        few = counted(df.limit(SAMPLE), left).first()
+        left = {c: [k for k in kinds if few[at][k] == few[at]["n"]] for at, c in enumerate(columns)}
+    row = counted(df, left)
     kind = lambda c: F.coalesce(*[F.when((F.col(f"{c}.n") > 0) & (F.col(f"{c}.{k}") * 100 >= F.col(f"{c}.n") * percent), k) for k in kinds], F.lit("string"))
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), kind(c).alias("kind")) for c in columns])).alias("x")).select("x.*")

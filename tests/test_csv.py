@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,21 @@ def test_nothing(spark, tmp_path):
     p.write_text("")
     assert csv.read_ragged(spark, str(p)).isEmpty() and csv.read_smart(spark, str(p)).isEmpty()
     assert spark.range(1).select(F.lit(csv.width_of(spark, str(p), ","))).first()[0] == 1
+
+
+def test_plain_lines_are_parsed_alike():
+    """Lines without quotes by the short way and by the automaton: blanks, empty and ragged rows, other letters."""
+    lines = [b"a, b ,\tc", b"", b" , ,", b"\xc3\xa4,\xe2\x82\xac ", b"x", b",,1", b"\x00z\x1f,\xc2\xa0", b"  "]
+    for some in (lines, lines[1:3], lines[:1]):
+        rows, line = csv._plain(pa.array(some, pa.binary()), ",")
+        want, start, _ = csv.parsed(b"\n".join(some) + b"\n", ",")
+        assert rows.to_pylist() == want.to_pylist() and line.tolist() == start.tolist()
+    pieces = list(csv._cuts(pa.array([b"x" * (csv.PIECE // 3)] * 7, pa.binary())))
+    assert [len(p) for p in pieces] == [2, 2, 2, 1] and csv._joined(pa.array([b"a", b"", b"b"], pa.binary()).slice(1)) == b"\nb\n"
+
+
+def test_a_late_cell_changes_the_type(spark, monkeypatch):
+    """A sample rules kinds out, and never chooses one."""
+    monkeypatch.setattr(csv, "SAMPLE", 2)
+    df = spark.createDataFrame([("1", "5", "x"), ("0", "6", "y"), ("1", "9999999999", "1"), ("7", None, "2")], "a string, b string, c string").coalesce(1)
+    assert {r["column"]: r["kind"] for r in csv.infer_types(df, ["a", "b", "c"]).collect()} == {"a": "int", "b": "long", "c": "string"}
