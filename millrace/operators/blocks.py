@@ -461,6 +461,34 @@ def solve(a: Blocked, b: Blocked) -> Blocked:
     return eliminate(a, b)[0]
 
 
+def solve_updated(u: Blocked, v: Blocked, b: Blocked) -> Blocked:
+    """The solution x of (I + u v') x = b, for tall u and v; their square product, n^2 numbers of n rows, is not made.
+
+    x = b - u s for the solution s of (I + v' u) s = v' b, a system of as many equations as u has columns,
+    which is singular where the large one is (LinAlgError). As b - u s cancels where u v' is
+    large, the same is done once more for what x leaves of b.
+    """
+    if (u.rows, u.columns, u.size) != (v.rows, v.columns, v.size) or b.rows != u.rows or b.size != u.size:
+        raise ValueError("shapes don't match")
+    turned = transposed(v)
+    small = kept(plus(matmul(turned, u), identity(u.df.sparkSession, u.columns, u.size)), "small")
+
+    def once(right: Blocked) -> Blocked:
+        return kept(plus(right, matmul(u, solve(small, kept(matmul(turned, right), "small"))), -1.0), "solution")
+
+    first = once(b)
+    left = kept(plus(b, updated(u, v, first), -1.0), "left")
+    more = once(left)
+    x = kept(plus(first, more), "solution")
+    dropped(small.df, first.df, left.df, more.df)
+    return x
+
+
+def updated(u: Blocked, v: Blocked, x: Blocked) -> Blocked:
+    """(I + u v') x, by way of v' x."""
+    return plus(x, matmul(u, kept(matmul(transposed(v), x), "small")))
+
+
 def inverse(a: Blocked) -> Blocked:
     return eliminate(a, identity(a.df.sparkSession, a.rows, a.size))[0]
 

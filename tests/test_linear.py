@@ -1,9 +1,12 @@
 """Tall and blocked matrices against NumPy."""
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pytest
 
 from millrace.operators import blocks, tall
+from millrace.plans import series
 
 
 def tall_table(spark, x):
@@ -171,3 +174,35 @@ def test_elimination_in_tasks(spark, monkeypatch, panel):
     x, sign, log = blocks.eliminate(m, right)
     np.testing.assert_allclose(dense(x), want, atol=1e-9)
     assert (sign, log) == pytest.approx(tuple(determinant))
+
+
+def test_updated_identity(spark):
+    """I + u v' is solved for without its square; a large update cancels and is refined."""
+    rng = np.random.default_rng(10)
+    u, v, b = rng.standard_normal((23, 5)), rng.standard_normal((23, 5)), rng.standard_normal((23, 3))
+    for by in (1.0, 1e4):
+        m, n, right = (blocked(spark, x, 4) for x in (by * u, v, b))
+        x = blocks.solve_updated(m, n, right)
+        want = np.linalg.solve(np.eye(23) + by * u @ v.T, b)
+        np.testing.assert_allclose(dense(x), want, atol=1e-9)
+        np.testing.assert_allclose(dense(blocks.updated(m, n, x)), b, atol=1e-11 * by)
+    one = np.zeros((9, 1))
+    one[4] = 1.0
+    with pytest.raises(np.linalg.LinAlgError):
+        blocks.solve_updated(blocked(spark, one, 4), blocked(spark, -one, 4), blocked(spark, b[:9], 4))
+    with pytest.raises(ValueError):
+        blocks.solve_updated(m, right, right)
+
+
+def test_blocked_solve_has_no_square(spark, tmp_path, monkeypatch):
+    """No system and no product of the query has as many columns as there are rows; a tie at the last digit stays one."""
+    rng, shapes = np.random.default_rng(11), []
+    x = rng.standard_normal((300, 64)).astype("float32") / 8
+    x[7, 3], x[8, 4] = 9 / 128, -9 / 128  # 0.0703125
+    spark.createDataFrame([(7 * i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    multiply = blocks.matmul
+    monkeypatch.setattr(blocks, "matmul", lambda a, b: shapes.append((a.rows, b.columns)) or multiply(a, b))
+    monkeypatch.setattr(blocks, "MOST", 64)
+    got = {(r["i"], r["j"]): r["v"] for r in series.blocked_solve(spark, str(tmp_path)).collect()}
+    assert shapes and max(map(min, shapes)) <= 64
+    assert got == {(i, j): float(Decimal(float(v)).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for (i, j), v in np.ndenumerate(x)}
