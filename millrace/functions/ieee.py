@@ -91,6 +91,17 @@ def round_half_up(x, decimals: int = 0) -> Column:
     return F.when(F.isnan(x), 0.0).when(F.abs(x) == INF, x).otherwise(F.floor(x * scale + 0.5).cast("double") / scale)
 
 
+def round_away(x, decimals: int = 0) -> Column:
+    """Half goes away from zero, as in DuckDB and C: the double x * 10^decimals is rounded and divided again; x where that overflows.
+
+    Spark's round() goes by a double's shortest decimal digits, gives other doubles beyond 2^53 / 10^decimals, and has no -0.0.
+    """
+    x, scale = _c(x).cast("double"), float(10**decimals)
+    y = F.abs(x * scale)
+    whole = F.when(y < 2.0**52, F.floor(y).cast("double") + F.when(y - F.floor(y).cast("double") >= 0.5, 1.0).otherwise(0.0)).otherwise(y)
+    return F.when(y == INF, x).otherwise(F.signum(x) * whole / scale)
+
+
 def trunc(x) -> Column:
     x = _c(x).cast("double")
     return F.when(F.isnan(x) | (F.abs(x) == INF), x).when(x < 0, F.ceil(x).cast("double")).otherwise(F.floor(x).cast("double"))

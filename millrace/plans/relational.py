@@ -141,9 +141,10 @@ def fill_clip(spark, sf):
 
 @query("arithmetic", """SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity + l_discount, 4) AS added, round(l_extendedprice * (1 - l_discount), 4) AS product, round(CASE WHEN l_tax = 0 THEN 'inf'::DOUBLE ELSE l_quantity / l_tax END, 4) AS quotient, round(-l_quantity, 2) AS negative, greatest(l_discount, l_tax) AS larger, least(l_discount, l_tax) AS smaller FROM lineitem""")
 def arithmetic(spark, sf):
-    """By its SQL, what is divided by 0 is plus infinity, whatever it is; ieee.divide() has NaN and signs there."""
-    c = F.col
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", r(c("l_quantity") + c("l_discount"), 4, "added"), r(c("l_extendedprice") * (1 - c("l_discount")), 4, "product"), r(F.when(c("l_tax") == 0, ieee.INF).otherwise(ieee.divide("l_quantity", "l_tax")), 4, "quotient"), r(-c("l_quantity"), 2, "negative"), ieee.maximum("l_discount", "l_tax").alias("larger"), ieee.minimum("l_discount", "l_tax").alias("smaller"))
+    """By its SQL, what is divided by 0 is plus infinity, whatever it is; ieee.divide() has NaN and signs there. Ties and large values are rounded as there too."""
+    c, r = F.col, lambda x, digits, name: ieee.round_away(x, digits).alias(name)
+    quotient = F.when(c("l_tax") == 0, ieee.INF).when(c("l_quantity").isNotNull() & c("l_tax").isNotNull(), ieee.divide("l_quantity", "l_tax"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", r(c("l_quantity") + c("l_discount"), 4, "added"), r(c("l_extendedprice") * (1 - c("l_discount")), 4, "product"), r(quotient, 4, "quotient"), r(-c("l_quantity"), 2, "negative"), ieee.maximum("l_discount", "l_tax").alias("larger"), ieee.minimum("l_discount", "l_tax").alias("smaller"))
 
 
 @query("elementwise_math", """SELECT event_id, round(sqrt(x), 6) AS sqrt, round(exp(-x / 50), 6) AS exp, round(ln(x + 1), 6) AS ln, round(log10(x + 1), 6) AS log10, round(log2(x + 1), 6) AS log2, round(pow(x, 2), 4) AS power, sign(x - 10) AS sign, floor(x * 10 + 0.5) / 10 AS rounded, trunc(x) AS trunc, floor(x) AS floor, ceil(x) AS ceil

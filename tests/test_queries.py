@@ -78,3 +78,13 @@ def test_formats_at_ties(spark, tmp_path):
     duckdb.sql("SELECT i AS o_orderkey, 500.0::DOUBLE * i AS o_totalprice FROM range(-3, 3000) a(i) UNION ALL SELECT -9, NULL").write_parquet(str(tmp_path / "orders.parquet"))
     ours, theirs = _both(spark, "number_formats", tmp_path)
     assert ours == theirs and len(ours) == 3004
+
+
+def test_rounding_of_arithmetic(spark, tmp_path):
+    """Ties, values beyond 2^53 / 10^4, signs of zero, and NULL beside NaN, to the last bit."""
+    values = "(VALUES (NULL::DOUBLE), ('nan'), ('inf'), (0.0), ('-0.0'), (-0.00001), (0.00005), (1.00005), (-17.00015), (0.285), (123456789012.12345), (4503599627370497.5), (-1e15 / 3), (1e305))"
+    duckdb.sql(f"SELECT row_number() OVER () AS l_orderkey, 1 AS l_linenumber, 1::BIGINT AS l_partkey, q AS l_quantity, p AS l_extendedprice, d AS l_discount, t AS l_tax FROM {values} a(q), {values} b(p), (VALUES (0.0::DOUBLE), (0.05)) c(d), {values} e(t)").write_parquet(str(tmp_path / "lineitem.parquet"))
+    found = duckdb.sql(registry.SQL["arithmetic"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet'"))
+    ours = registry.QUERIES["arithmetic"](spark, str(tmp_path)).select(*found.columns).collect()
+    ours, theirs = (sorted(tuple(map(repr, r)) for r in rows) for rows in (ours, found.fetchall()))
+    assert ours == theirs and len(ours) == 2 * 14**3
