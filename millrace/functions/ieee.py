@@ -98,8 +98,8 @@ def round_away(x, decimals: int = 0) -> Column:
     """
     x, scale = _c(x).cast("double"), float(10**decimals)
     y = F.abs(x * scale)
-    whole = F.when(y < 2.0**52, F.floor(y).cast("double") + F.when(y - F.floor(y).cast("double") >= 0.5, 1.0).otherwise(0.0)).otherwise(y)
-    return F.when(y == INF, x).otherwise(F.signum(x) * whole / scale)
+    whole = F.signum(x) * F.floor(y + 0.49999999999999994)  # the double before 0.5: what is just below a half stays below
+    return F.when(y < 2.0**52, whole / scale).when(y < INF, x * scale / scale).otherwise(x)
 
 
 def trunc(x) -> Column:
